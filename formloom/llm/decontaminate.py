@@ -315,7 +315,7 @@ def _items_digest(items: list[int]) -> str:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the removal spans of each document."""
     found = scan_documents(docs.select("doc_id", "text"), benchmark)
-    text_ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    text_ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(text_ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
