@@ -31,6 +31,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import cross_entropy_difference
+
+    return cross_entropy_difference(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -63,8 +69,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_byte_bpe, op5_quality, op6_toxicity, op7_sharding, op8_token_counts, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_byte_bpe, op4_lm_score, op5_quality, op6_toxicity, op7_sharding, op8_token_counts, op9_jaccard_join, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
