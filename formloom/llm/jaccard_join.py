@@ -13,10 +13,11 @@ Every document is the set of its distinct 3-word shingles. Two documents link wh
 3. *Pigeonhole join.* Linked sets agree in 1 + spare blocks at least. Blocks with at most one bit are
    shared by chance, so a set with no more than ``spare`` of them doesn't emit those. The other blocks
    are hashed with band and position, and classes meet that share one.
-4. *Verify.* In each block's group all are compared with the group's first class, exactly, on the
-   whole sets (after size and a 256-bit sketch rule out what they can). A second pass compares just
-   those pairs of a group that the links so far leave in different components. So no link between
-   components is lost, and a group of near copies costs a star rather than all its pairs.
+4. *Verify.* In each block's group all are compared with the group's hub, the class that meets most
+   others, exactly, on the whole sets (after size and a 1024-bit sketch rule out what they can). Then
+   pairs are compared that the links so far leave in different components, if size and sketch allow a
+   link: first in a sixteenth of the groups, then in all. So no link between components is lost, and a
+   group of near copies costs a star and what the star leaves rather than all its pairs.
 5. Components of the links; every document takes the smallest doc_id of its component.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; a text of one or
@@ -41,6 +42,9 @@ SHINGLE = 3
 NEED, OF = 90, 100
 #: More ids than this are not broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
+SKETCH_WORDS = 16
+#: Shares (one in ...) of the groups in which pairs across components are sought, in turn; the last is all.
+PASSES = (16, 1)
 _SEEN = 1 << 20
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
@@ -115,12 +119,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(digest)
             fresh = digest is not None and digest not in seen  # a copy in the same task adds no keys
             keys.append(block_keys(x).view(np.int64) if fresh else np.zeros(0, np.int64))
-            small.append(sketch(x, 4).view(np.int64) if len(x) else np.zeros(4, np.int64))
+            small.append(sketch(x, SKETCH_WORDS).view(np.int64) if len(x) else np.zeros(SKETCH_WORDS, np.int64))
             if len(seen) >= _SEEN:
                 seen.clear()
             seen.add(digest)
         ends = np.cumsum([0, *map(len, keys)])
-        rows = [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), ws.lists(np.concatenate(small), np.arange(len(sizes) + 1) * 4, pa.int64()), ws.lists(np.concatenate(keys), ends, pa.int64())] if sizes else None
+        rows = [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), ws.lists(np.concatenate(small), np.arange(len(sizes) + 1) * SKETCH_WORDS, pa.int64()), ws.lists(np.concatenate(keys), ends, pa.int64())] if sizes else None
         if rows:
             yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "n", "set_id", "sketch", "keys"])
 
@@ -166,6 +170,20 @@ def _repeats(sets: DataFrame) -> bool:
     return not sets.groupBy("set_id").count().where("count > 1").isEmpty()
 
 
+def _across(shared: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of the groups that lie in different components and may link by size and sketch."""
+    named = shared.join(label.toDF("set_id", "component"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("c"))
+    split = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+    words = [F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH_WORDS)]
+    left = checkpointed(named.join(split, "key", "left_semi").join(classes.select("set_id", "n", *words), "set_id"))
+    x, y = left.alias("x"), left.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    size = F.greatest("x.n", "y.n") * NEED <= F.least("x.n", "y.n") * OF
+    may = size & (apart * (OF + NEED) <= (F.col("x.n") + F.col("y.n")) * (OF - NEED))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.c") != F.col("y.c")) & may)
+    return met.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = docs.select("doc_id", "text")
@@ -174,21 +192,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     classes = checkpointed(base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     meet = W.partitionBy("key")
     rows = base.select("set_id", F.explode("keys").alias("key"))
-    shared = checkpointed(
-        rows.select("key", "set_id", F.min("set_id").over(meet).alias("first"), F.max("set_id").over(meet).alias("last")).where("first < last").select("key", "set_id", "first").distinct()
-    )
-    star = shared.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = _verified(docs, star, classes)
+    shared = checkpointed(rows.select("key", "set_id", F.min("set_id").over(meet).alias("first"), F.max("set_id").over(meet).alias("last")).where("first < last").select("key", "set_id").distinct())
+    # Each group's hub: the class that meets the most, over all its groups.
+    meets = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("set_id").agg(F.sum("n").alias("n"))
+    hubs = shared.join(meets, "set_id").groupBy("key").agg(F.max(F.struct("n", "set_id")).alias("hub")).select("key", F.col("hub.set_id").alias("hub"))
+    tried = shared.join(hubs, "key").where("set_id <> hub").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
+    tried = checkpointed(tried)
+    links = _verified(docs, tried, classes)
     label = components(links)
-    # What the stars leave: groups that still hold several components, and in them pairs across components.
-    named = shared.join(label.toDF("set_id", "component"), "set_id", "left").select("key", "set_id", "first", F.coalesce("component", "set_id").alias("component"))
-    split = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y and n > 2").select("key")
-    left = named.join(split, "key", "left_semi").where("set_id <> first")
-    rest = left.toDF("key", "a", "first", "ca").join(left.select("key", F.col("set_id").alias("b"), F.col("component").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    rest = checkpointed(rest.join(star, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(docs, rest, classes))
-        label = components(links)
+    for share in PASSES:
+        rest = checkpointed(_across(shared.where(F.pmod("key", F.lit(share)) == 0), label, classes).join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            tried = tried.unionByName(rest)
+            links = links.unionByName(_verified(docs, rest, classes))
+            label = components(links)
     least = classes.join(label.toDF("set_id", "component"), "set_id").groupBy("component").agg(F.min("rep").alias("component_id"))
     label = label.toDF("set_id", "component").join(least, "component").select("set_id", "component_id")
     final = classes.select("set_id", "rep").join(label, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))

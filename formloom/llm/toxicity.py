@@ -64,7 +64,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def present(text: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, row in the slab, bucket): each bucket once for each text that has it."""
-    for a, b, data, offsets in ws.slabs(text, ws.SLAB // 2):
+    for a, b, data, offsets in ws.slabs(text, ws.SLAB):
         data = ws.LOWER[data]
         found = []
         for inside, bucket in _grams(data, offsets):
