@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, digits, only_if
+from .text import clean, digits, let, only_if
 
 # Characters that recognition confuses with digits, and the digit each stands for.
 CONFUSED = r"ILJ/\|![]{}OQDCUSZB&$%GEAHT"
@@ -48,9 +48,7 @@ def length_score(c: Column) -> Column:
 def normalise(c: Column) -> Column:
     """The candidate of best length, the smallest of equals, without leading zeros."""
     best = F.array_min(F.transform(candidates(c), lambda v: F.struct((-length_score(v)).alias("s"), (-F.char_length(v)).alias("n"), v.alias("v"))))["v"]
-    best = F.coalesce(best, F.lit(""))
-    bare = F.ltrim(best, F.lit("0"))
-    return F.when(bare == "", best).otherwise(bare)
+    return let(F.coalesce(best, F.lit("")), lambda b: F.when(F.ltrim(b, F.lit("0")) == "", b).otherwise(F.ltrim(b, F.lit("0"))))
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ expressions use (?U) where spaces of all of Unicode count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +42,11 @@ PROMPT_COMPACT = ["page3of4", "page4of4", "idocdatasensitivityclassification", "
 CITIES = ["Boise", "Nampa", "Caldwell", "Meridian", "Twin Falls", "Pocatello"]
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
+
+
 def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
 
@@ -219,24 +224,36 @@ def name_value(c: Column) -> Column:
             return F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(ts) - start + 1)), window)
 
         top = F.array_max(F.flatten(F.transform(F.sequence(F.lit(1), F.size(ts)), windows)))
-        return F.slice(ts, -top["s"], -top["w"])
+        return let(top, lambda t: F.slice(ts, -t["s"], -t["w"]))
 
     def trimmed(w: Column) -> Column:
         w = F.when((F.size(w) > 2) & (F.char_length(F.element_at(w, 1)["t"]) <= 2), F.slice(w, 2, F.size(w))).otherwise(w)
+        return let(w, edges)
+
+    def edges(w: Column) -> Column:
         good = F.filter(F.transform(w, lambda x, i: F.when(~x["bad"], i + 1)), lambda i: i.isNotNull())
-        kept = F.slice(w, F.array_min(good), F.array_max(good) - F.array_min(good) + 1)
-        return F.when(F.size(good) > 0, F.array_join(F.transform(kept, lambda x: x["t"]), " ")).otherwise("")
 
-    found = F.when(F.size(raw) > 0, F.element_at(F.transform(F.array(F.transform(raw, scored)), lambda ts: trimmed(best(ts))), 1)).otherwise("")
-    out = F.regexp_replace(found, "^[^A-Za-z]+|[^A-Za-z]+$", "")
-    return only_if(out, F.char_length(F.regexp_replace(out, "[^A-Za-z]", "")) >= 2)
+        def cut(g: Column) -> Column:
+            kept = F.slice(w, F.array_min(g), F.array_max(g) - F.array_min(g) + 1)
+            return F.when(F.size(g) > 0, F.array_join(F.transform(kept, lambda x: x["t"]), " ")).otherwise("")
+
+        return let(good, cut)
+
+    def chosen(raw: Column) -> Column:
+        return F.when(F.size(raw) > 0, let(F.transform(raw, scored), lambda ts: let(best(ts), trimmed))).otherwise("")
+
+    out = F.regexp_replace(let(raw, chosen), "^[^A-Za-z]+|[^A-Za-z]+$", "")
+    return let(out, lambda v: only_if(v, F.char_length(F.regexp_replace(v, "[^A-Za-z]", "")) >= 2))
 
 
 def field_value(key: Column, value: Column) -> Column:
     """A captured value by the rule of its field; others as captured."""
+    return let(clean_capture(value), lambda v: _by_field(key, v))
+
+
+def _by_field(key: Column, v: Column) -> Column:
     from .numbers import loose_id
 
-    v = clean_capture(value)
     rules: list[tuple[list[str], Column]] = [
         (["applicant.name", "additional_form.name"], name_value(v)),
         (["applicant.idoc_number"], loose_id(v)),

@@ -113,32 +113,53 @@ def is_label(line: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.startswith(low, F.lit(x)) for x in LABELS))
 
 
-def value_after(lines: Column, anchor: str, most: int = 3) -> Column:
-    """What stands after the first line with the anchor: the rest of the line, else the next lines up to a label."""
+def prepared(docs: DataFrame) -> DataFrame:
+    """docs (.., text) with _lines, _low (in lower case) and _label (whether each is a label line), worked out once for all fields."""
+    out = docs.withColumn("_lines", text.lines(F.col("text")))
+    out = out.withColumn("_low", F.transform("_lines", lambda x: F.lower(x)))
+    starts = "^(?:" + "|".join(x.replace("?", "\\?") for x in LABELS) + ")"
+    return out.withColumn("_label", F.transform("_low", lambda x: x.rlike(starts)))
+
+
+def value_after(anchor: str, most: int = 3) -> Column:
+    """What stands after the first line with the anchor: the rest of the line, else the next lines up to a label.
+
+    Over the columns of ``prepared``.
+    """
+    lines, lowered = F.col("_lines"), F.col("_low")
     low = anchor.lower()
-    i = first_index(lines, lambda x: F.contains(F.lower(x), F.lit(low)))
-    line = F.try_element_at(lines, F.greatest(i, F.lit(1)))
-    rest = text.clean(F.substring(line, F.instr(F.lower(line), F.lit(low)) + len(low), F.lit(1 << 20)))
-    after = F.slice(lines, i + 1, most)
-    j = first_index(after, is_label)
-    block = F.when(j > 0, F.slice(after, 1, F.greatest(j - 1, F.lit(0)))).otherwise(after)
-    return F.when(i == 0, "").when(rest != "", rest).otherwise(text.clean(F.array_join(block, " ")))
+    i = first_index(lowered, lambda x: F.contains(x, F.lit(low)))
+
+    def read(i: Column) -> Column:
+        line = F.try_element_at(lines, F.greatest(i, F.lit(1)))
+        rest = text.clean(F.substring(line, F.instr(F.try_element_at(lowered, F.greatest(i, F.lit(1))), F.lit(low)) + len(low), F.lit(1 << 20)))
+        j = F.array_position(F.slice("_label", i + 1, most), True).cast("int")
+        block = F.slice(lines, i + 1, F.when(j > 0, j - 1).otherwise(most))
+        return F.when(i == 0, "").when(rest != "", rest).otherwise(text.clean(F.array_join(block, " ")))
 
+    return F.element_at(F.transform(F.array(i), read), 1)
 
-def multiline_after(lines: Column, anchor: str, stop: str | None = None) -> Column:
+
+def multiline_after(anchor: str, stop: str | None = None) -> Column:
+    """All lines after the anchor's up to one that holds ``stop``; over the columns of ``prepared``."""
+    lines, lowered = F.col("_lines"), F.col("_low")
     low = anchor.lower()
-    i = first_index(lines, lambda x: F.contains(F.lower(x), F.lit(low)))
-    line = F.try_element_at(lines, F.greatest(i, F.lit(1)))
-    rest = text.strip(F.substring(line, F.instr(F.lower(line), F.lit(low)) + len(low), F.lit(1 << 20)))
-    after = F.slice(lines, i + 1, F.size(lines))
-    if stop:
-        j = first_index(after, lambda x: F.contains(F.lower(x), F.lit(stop.lower())))
-        after = F.when(j > 0, F.slice(after, 1, F.greatest(j - 1, F.lit(0)))).otherwise(after)
-    return F.when(i > 0, text.clean(F.concat_ws(" ", rest, F.array_join(after, " ")))).otherwise("")
+    i = first_index(lowered, lambda x: F.contains(x, F.lit(low)))
+
+    def read(i: Column) -> Column:
+        line = F.try_element_at(lines, F.greatest(i, F.lit(1)))
+        rest = text.strip(F.substring(line, F.instr(F.lower(line), F.lit(low)) + len(low), F.lit(1 << 20)))
+        after = F.slice(lines, i + 1, F.size(lines))
+        if stop:
+            j = first_index(F.slice(lowered, i + 1, F.size(lines)), lambda x: F.contains(x, F.lit(stop.lower())))
+            after = F.slice(after, 1, F.when(j > 0, j - 1).otherwise(F.size(after)))
+        return F.when(i > 0, text.clean(F.concat_ws(" ", rest, F.array_join(after, " ")))).otherwise("")
 
+    return F.element_at(F.transform(F.array(i), read), 1)
 
-def bool_after(lines: Column, anchor: str) -> Column:
-    return text.yes_no(value_after(lines, anchor, 2))
+
+def bool_after(anchor: str) -> Column:
+    return text.yes_no(value_after(anchor, 2))
 
 
 def line_after(lines: Column, anchor: str, ignore: Sequence[str] = (), most: int = 4) -> Column:
@@ -242,23 +263,22 @@ def digital_form(docs: DataFrame, fields: Sequence[Field] = DIGITAL_FORM, confid
 
     A missing name comes from the file stem, a missing signing date from the form's date.
     """
-    lines = docs.withColumn("_lines", text.lines(F.col("text")))
-    L = F.col("_lines")  # noqa: N806
+    lines = prepared(docs)
 
     def read(f: Field) -> Column:
         each = []
         for anchor in f.anchors:
-            v = _rule(f.rule, value_after(L, anchor, f.most))
+            v = _rule(f.rule, value_after(anchor, f.most))
             each.append(text.strip(F.regexp_replace(v, f.cut, "")) if f.cut else v)
         return F.coalesce(*(F.nullif(v, F.lit("")) for v in each), F.lit(""))
 
-    today = text.valid_date(value_after(L, "Today's Date", 1), False)
+    today = text.valid_date(value_after("Today's Date", 1), False)
     values = {f.name: (f.kind, read(f)) for f in fields}
-    values["housing.needed_by"] = ("text", text.valid_date(multiline_after(L, "Housing needed by", "Phone"), False))
-    charges = F.coalesce(F.nullif(multiline_after(L, "EXPLAIN IN DETAIL ALL", "Name of Case"), F.lit("")), multiline_after(L, "List all charges", "Name of Case"))
+    values["housing.needed_by"] = ("text", text.valid_date(multiline_after("Housing needed by", "Phone"), False))
+    charges = F.coalesce(F.nullif(multiline_after("EXPLAIN IN DETAIL ALL", "Name of Case"), F.lit("")), multiline_after("List all charges", "Name of Case"))
     charges = F.regexp_replace(charges, r"(?i)\s*EXPLAIN IN DETAIL ALL\s*VIOLENT CHARGES:?\s*", "\n")
     values["criminal.charges"] = ("multiline_text", text.strip(F.regexp_replace(text.strip(charges), r"(?i)^VIOLENT CHARGES:?\s*", "")))
-    signed = text.valid_date(value_after(L, "Date", 1), False)
+    signed = text.valid_date(value_after("Date", 1), False)
     values["signing.application_date"] = ("text", F.coalesce(F.nullif(signed, F.lit("")), today))
     kind, name = values["applicant.name"]
     values["applicant.name"] = (kind, F.coalesce(F.nullif(name, F.lit("")), text.stem_name(F.col("stem"), "2,4")))

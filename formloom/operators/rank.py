@@ -46,7 +46,8 @@ def scored_names(candidates: DataFrame, weights: Mapping[str, float]) -> DataFra
 
 def ranked_names(candidates: DataFrame, weights: Mapping[str, float], k: int | None = None) -> DataFrame:
     """One row for each value of a document, best first (rank), k at most."""
-    best = [F.desc("score"), F.desc("confidence"), F.desc(F.char_length("value")), F.asc("ord")]
+    # Sums of floats: equal to nine digits is equal.
+    best = [F.desc(F.round("score", 9)), F.desc("confidence"), F.desc(F.char_length("value")), F.asc("ord")]
     first = scored_names(candidates, weights).withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "value").orderBy(*best))).where("_r = 1")
     out = first.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(*best))).drop("_r")
     return out.where(F.col("rank") <= k) if k else out

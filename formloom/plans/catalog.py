@@ -346,7 +346,7 @@ _SCORED = f"SELECT *, {o.name_value_score('value', 'confidence', 'copies', _WEIG
 
 
 @query(
-    f"""WITH s AS ({_SCORED}), u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, value ORDER BY score DESC, confidence DESC, length(value) DESC, ord) = 1)
+    f"""WITH s AS ({_SCORED}), u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, value ORDER BY round(score, 9) DESC, confidence DESC, length(value) DESC, ord) = 1)
  SELECT doc_id, value, source, round(score, 6) AS score, (row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, confidence DESC, length(value) DESC, ord))::INT AS rank FROM u"""
 )
 def name_candidate_rank(s, d):
