@@ -141,12 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) -> t
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], names=["place", "target", "background"])
 
     # One row for each counter at most: a bounded result.
-    got = _marked(docs, labels).mapInArrow(run, "place int, target long, background long").groupBy("place").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas()
+    got = _marked(docs, labels).mapInArrow(run, "place int, target long, background long").groupBy("place").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    got = ws.collected(got)
     models = []
     for name in ("target", "background"):
         table = np.zeros(BUCKETS + n, dtype=np.float32)
-        table[got["place"].to_numpy(dtype=np.int64)] = got[name].to_numpy(dtype=np.float32)
-        models.append(Counts(table[BUCKETS:].astype(np.float64), table[:BUCKETS]))
+        table[got["place"].astype(np.int64)] = got[name]
+        models.append(Counts(table[BUCKETS:].astype(np.float64), table[:BUCKETS].copy()))
     return v, models[0], models[1]
 
 

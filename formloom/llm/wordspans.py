@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLAB = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
@@ -111,3 +113,18 @@ def distinct(values: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Arrow list array from flat values."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """A DataFrame of numbers on the driver, as one array for each column.
+
+    Rows travel as the bytes of their Arrow columns, so the driver holds numbers only; callers bound the rows.
+    """
+    names = df.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for i in range(len(names))], names=names)
+
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(pack, ", ".join(f"{c} binary" for c in names)).collect()
+    return {c: np.frombuffer(b"".join(bytes(r[c]) for r in rows), dtype=np.float64) for c in names}
