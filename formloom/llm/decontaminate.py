@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordspans as ws
+from .columns import carrying
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -320,6 +321,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(text_ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
+@carrying
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the removal spans cut out of the texts and n_chars, where there is one, made to fit."""
     out = scan_documents(docs, benchmark, cut=True)

@@ -36,6 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordspans as ws
+from .columns import carrying
 from .components import checkpointed, components
 
 SHINGLE = 3
@@ -213,6 +214,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", "n", "set_id").join(final, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
+@carrying
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; null ids stay."""
     found = checkpointed(link_components(docs))

@@ -29,6 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import carrying
 from .components import checkpointed
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -197,6 +198,7 @@ def find(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(tuple(PATTERNS)), 256).alias("base_sha256"), text(KINDS).alias("spans"), F.size("_term").cast("long").alias("n_term"))
 
 
+@carrying
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by its kind, and disclosing terms generalised or removed; n_chars is made to fit."""
     found = _with_base(docs)
