@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
-    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_byte_bpe, op4_lm_score, op5_quality, op6_toxicity, op7_sharding, op8_token_counts, op9_jaccard_join, op10_suffix_dedup)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, w, len(w) AS n FROM (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda k: ws[k : k + 9])) AS w FROM b WHERE len(ws) > 0)),
+g AS (SELECT doc_id, k, n, ws[k : k + n - 1] AS w FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i))),
+h AS (SELECT doc_id, k, i.n, item_id FROM g JOIN i USING (w)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+e AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)
+"""
+
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda k: array_to_string(ws[k : k + 2], ' ')) END) AS x FROM d),
+u AS (SELECT doc_id, len(x) AS n, unnest(x) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT s.doc_id, len(x)::BIGINT AS n_shingles, c AS component_id FROM s JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    from . import quality
+    from . import quality, sharding
 
-    return {"op5_quality": quality.ORACLE_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_quality": quality.ORACLE_SQL, "op7_sharding": sharding.oracle_sql(), "op9_jaccard_join": OP9_SQL}
