@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordspans as ws
+from .columns import carrying
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -74,23 +75,21 @@ def present(text: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[
         yield a, b, key >> BITS, key & (BUCKETS - 1)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, l2: float = 2.0, rounds: int = 150) -> tuple[float, np.ndarray]:
-    """Logistic regression on presence times ratio; rows: the features of each text. Nesterov's method, fixed rounds."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, l2: float = 1.0, rounds: int = 300, rate: float = 0.02) -> tuple[float, np.ndarray]:
+    """Logistic regression on presence times ratio; rows: the features of each text. Adam with a fixed number of rounds."""
     n, k = len(rows), len(ratio)
     at = np.repeat(np.arange(n), [len(r) for r in rows])
     column = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     value = ratio[column]
-    step = 4.0 / (1 + np.bincount(at, weights=value**2, minlength=n).max(initial=0) / 8 + l2 / max(1, n))
-    bias, w = float(np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6))), np.zeros(k)
-    look_b, look_w = bias, w
-    for t in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(look_b + np.bincount(at, weights=value * look_w[column], minlength=n), -30, 30)))
-        error = p - labels
-        g = np.bincount(column, weights=value * error[at], minlength=k) / n + l2 / n * look_w
-        new_b, new_w = look_b - step * error.mean(), look_w - step * g
-        look_b, look_w = new_b + t / (t + 3) * (new_b - bias), new_w + t / (t + 3) * (new_w - w)
-        bias, w = new_b, new_w
-    return bias, w
+    w = np.append(np.zeros(k), np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6)))
+    first, second = np.zeros(k + 1), np.zeros(k + 1)
+    for t in range(1, rounds + 1):
+        p = 1 / (1 + np.exp(-np.clip(w[k] + np.bincount(at, weights=value * w[column], minlength=n), -30, 30)))
+        error = (p - labels) / n
+        g = np.append(np.bincount(column, weights=value * error[at], minlength=k) + l2 / n * w[:k], error.sum())
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w = w - rate * (1 - 0.9 * t / rounds) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
+    return float(w[k]), w[:k]
 
 
 def select(counts: np.ndarray, toxic: int, other: int, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         if not toxic or not other:
             rate = toxic / max(1, toxic + other)
             return Model(float(np.clip(np.log((rate + 1e-9) / (1 - rate + 1e-9)), -30, 30)), np.zeros(BUCKETS, dtype=np.float32))
-        counts = rows.mapInArrow(count, "bucket int, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic + other >= 5").toPandas()
-        bucket, ratio = select(counts.to_numpy(), toxic, other, features)
+        counts = rows.mapInArrow(count, "bucket int, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic + other >= 5")
+        counts = ws.collected(counts.select("bucket", "toxic", "other"))
+        bucket, ratio = select(np.stack([counts[c] for c in ("bucket", "toxic", "other")], axis=1), toxic, other, features)
         place = np.full(BUCKETS, -1, dtype=np.int64)
         place[bucket] = np.arange(len(bucket))
 
@@ -174,6 +174,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(_fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@carrying
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
