@@ -793,12 +793,14 @@ def hp_grid(s, d):
 
 # --- boxes, pages and sources --------------------------------------------------------------------
 
-_BOX = boxes.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+def _box() -> Column:
+    return boxes.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+
 
 
 @query("SELECT doc_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM {boxes} GROUP BY doc_id")
 def box_union(s, d):
-    b = fx(s, d, "boxes").groupBy("doc_id").agg(F.collect_list(_BOX).alias("b"))
+    b = fx(s, d, "boxes").groupBy("doc_id").agg(F.collect_list(_box()).alias("b"))
     return b.select("doc_id", boxes.union_of(F.col("b")).alias("u")).select("doc_id", "u.*")
 
 
@@ -807,12 +809,12 @@ _PX = "greatest((floor(x1 * 1700) - 4)::INT, 0) AS x1, greatest((floor(y1 * 2200
 
 @query(f"SELECT doc_id, k, x1, y1, greatest(x2, x1 + 1) AS x2, greatest(y2, y1 + 1) AS y2 FROM (SELECT doc_id, k, {_PX} FROM {{boxes}})")
 def box_pixels(s, d):
-    return fx(s, d, "boxes").select("doc_id", "k", boxes.pixels(_BOX, F.lit(1700), F.lit(2200), 4).alias("p")).select("doc_id", "k", "p.*")
+    return fx(s, d, "boxes").select("doc_id", "k", boxes.pixels(_box(), F.lit(1700), F.lit(2200), 4).alias("p")).select("doc_id", "k", "p.*")
 
 
 @query("SELECT doc_id, k, round(x1, 9) AS x1, round(y1, 9) AS y1, round(greatest(x2, x1 + 0.01), 9) AS x2, round(greatest(y2, y1 + 0.01), 9) AS y2 FROM (SELECT doc_id, k, least(greatest(x1 + 0.05, 0.0), 1.0) AS x1, least(greatest(y1 - 0.02, 0.0), 1.0) AS y1, least(greatest(x2 + 0.05, 0.0), 1.0) AS x2, least(greatest(y2 - 0.02, 0.0), 1.0) AS y2 FROM {boxes})")
 def box_shift(s, d):
-    out = fx(s, d, "boxes").select("doc_id", "k", boxes.shifted(_BOX, F.lit(0.2), F.lit(-0.02)).alias("p")).select("doc_id", "k", "p.*")
+    out = fx(s, d, "boxes").select("doc_id", "k", boxes.shifted(_box(), F.lit(0.2), F.lit(-0.02)).alias("p")).select("doc_id", "k", "p.*")
     return out.select("doc_id", "k", *(F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
