@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 WIDE = 64
-KEEP = 400_000
+KEEP = 150_000
 SLAB_CHARS = 1 << 20
 _NONE = np.int64(1) << np.int64(60)
 _NONE32 = np.int32((1 << 31) - 1)
@@ -235,6 +235,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
+        try:
+            yield from encoded(t, batches)
+        finally:
+            t.kept.clear()  # workers outlive their tasks
+
+    def encoded(t: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
             for slab in _slabs(batch.column("text").to_pylist()):
