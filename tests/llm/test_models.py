@@ -1,5 +1,9 @@
 """Trained models: held-out accuracy and defined results; the pipeline against brute force."""
 
+import collections
+import math
+import re
+
 import duckdb
 import pytest
 from conftest import rows_of
@@ -49,6 +53,38 @@ def test_lm_broadcast_and_shuffle_agree(spark, clashing, none, monkeypatch):
     assert lm_score.cross_entropy_difference(none, labels).count() == 0
 
 
+def test_lm_counts_every_ngram(spark, clashing, corpus, monkeypatch):
+    """Losses as from exact counts of all words and bigrams, however the corpus is cut into chunks and parts."""
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    words = [(i, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in corpus]
+    # More distinct words than any fixed vocabulary of 50,000.
+    rare = [f"rare{k}" for k in range(60_000)]
+    words.append((10_000, rare))
+    d = clashing.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000, " ".join(rare))], "doc_id long, text string"))
+    models = []
+    for mine in (lambda i: i is not None and i < 10, lambda i: True):
+        one, two = collections.Counter(), collections.Counter()
+        for i, w in words:
+            if mine(i):
+                one.update(["", *w] if w else [])
+                two.update(zip(["", *w[:-1]], w, strict=True) if w else [])
+        models.append((one, two))
+    v = len(models[1][0]) - 1
+
+    def loss(w, one, two):
+        n = one.total() - one[""]
+        p = [0.7 * two[a, b] / max(1, one[a]) + 0.3 * (one[b] + 0.5) / (n + 0.5 * v) for a, b in zip(["", *w[:-1]], w, strict=True)] if w else []
+        assert all(0 < x <= 1 for x in p)
+        return -sum(map(math.log, p)) / max(1, len(w))
+
+    want = sorted((i is not None, i or 0, len(w), round(loss(w, *models[0]), 6), round(loss(w, *models[1]), 6)) for i, w in words)
+    for chunk, part in ((lm_score.CHUNK_TOKENS, lm_score.PART_TOKENS), (5_000, 9_000)):
+        monkeypatch.setattr(lm_score, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(lm_score, "PART_TOKENS", part)
+        got = lm_score.cross_entropy_difference(d, labels).collect()
+        assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], round(r["target_loss"], 6), round(r["background_loss"], 6)) for r in got) == want
+
+
 def test_oracles(spark):
     small = "/root/testdata/sf0.001"
     con = duckdb.connect()
