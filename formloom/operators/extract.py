@@ -162,11 +162,18 @@ def bool_after(anchor: str) -> Column:
     return text.yes_no(value_after(anchor, 2))
 
 
+def _first(found: Column) -> Column:
+    """First value that is neither null nor '', '' without one."""
+    return F.coalesce(F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1)), F.lit(""))
+
+
 def line_after(lines: Column, anchor: str, ignore: Sequence[str] = (), most: int = 4) -> Column:
-    """First of the next lines after the anchor's that has none of the ignored words."""
-    i = first_index(lines, lambda x: x.rlike(f"(?i){anchor}"))
-    good = F.filter(F.slice(lines, i + 1, most), lambda x: ~reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w)) for w in ignore), F.lit(False)))
-    return F.when(i > 0, F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))).otherwise("")
+    """First of the next lines after an anchor's that has none of the ignored words; the first anchor with one decides."""
+
+    def good(x: Column) -> Column:
+        return ~reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w)) for w in ignore), F.lit(False))
+
+    return _first(F.transform(lines, lambda x, i: F.when(x.rlike(f"(?i){anchor}"), _first(F.filter(F.slice(lines, i + 2, most), good)))))
 
 
 def bool_by_regex(c: Column, pattern: str) -> Column:
@@ -174,11 +181,13 @@ def bool_by_regex(c: Column, pattern: str) -> Column:
 
 
 def bool_by_context(lines: Column, anchor: str) -> Column:
-    """yes or no, if only one of them stands in the anchor's line and the three after it."""
-    i = first_index(lines, lambda x: x.rlike(f"(?i){anchor}"))
-    window = F.lower(F.array_join(F.slice(lines, F.greatest(i, F.lit(1)), 4), " "))
-    yes, no = window.rlike(r"\byes\b"), window.rlike(r"\bno\b")
-    return F.when((i > 0) & yes & ~no, "yes").when((i > 0) & no & ~yes, "no").otherwise("")
+    """yes or no, if only one of them stands in an anchor's line and the three after it; the first such anchor decides."""
+
+    def read(window: Column) -> Column:
+        yes, no = window.rlike(r"\byes\b"), window.rlike(r"\bno\b")
+        return F.when(yes & ~no, "yes").when(no & ~yes, "no")
+
+    return _first(F.transform(lines, lambda x, i: F.when(x.rlike(f"(?i){anchor}"), text.let(F.lower(F.array_join(F.slice(lines, i + 1, 4), " ")), read))))
 
 
 def _answers(c: Column, patterns: Sequence[tuple[str, str]]) -> Column:
@@ -292,23 +301,91 @@ def unpivot(docs: DataFrame, values: dict[str, tuple[str, Column]], source: str,
     return long.select("doc_id", "field", "kind", F.lit(source).alias("source"), "value", F.when(F.col("value") != "", confidence).otherwise(0.0).alias("confidence"))
 
 
-def packet_form(docs: DataFrame, confidence: float = 0.85) -> DataFrame:
-    """The same for the scanned packet of docs (doc_id, text): labels and answers on lines of their own."""
-    lines = docs.withColumn("_lines", text.lines(F.col("text")))
-    L, t = F.col("_lines"), F.col("text")  # noqa: N806
-    values = {
-        "applicant.name": ("text", line_after(L, r"^name\b", ("gender", "date of birth"))),
-        "applicant.idoc_or_le_number": ("text", numbers.packet_id(line_after(L, r"idoc or le"))),
-        "applicant.gender": ("text", text.valid_gender(line_after(L, r"^gender\b"))),
-        "applicant.date_of_birth": ("text", text.valid_date(line_after(L, r"date of birth"), False)),
-        "contacts.phone": ("text", text.valid_phone(line_after(L, r"phone number"), 10, None)),
-        "contacts.email": ("text", text.valid_email(line_after(L, r"e-?mail"))),
-        "housing.preferred_city": ("text", text.valid_city(t)),
-        "history.alcoholic_or_addict": ("checkbox_group", bool_by_context(L, r"alcoholic/addict")),
-        "employment.currently_employed": ("checkbox_group", bool_by_regex(t, r"currently employed\?\s*(yes|no)\b")),
-        "supervision.on_probation_or_parole_while_housed": ("checkbox_group", bool_by_context(L, r"probation or parole")),
+#: Cities that the packet offers.
+PACKET_CITIES = ("Boise", "Caldwell", "Lewiston", "Twin Falls", "Idaho Falls", "Pocatello")
+
+
+def _optional(docs: DataFrame, name: str) -> Column:
+    """A column, '' where it is null or docs don't have it."""
+    return F.coalesce(F.col(name), F.lit("")) if name in docs.columns else F.lit("")
+
+
+def packet_form(docs: DataFrame, confidence: float = 0.85, checkbox_confidence: float = 0.9) -> DataFrame:
+    """The same for the scanned packet of docs (doc_id, text: its first page; page2, page3 and stem, if there are).
+
+    The name is the file stem's, or where there is none what follows the name's label.
+    """
+    docs = docs.select("doc_id", *(_optional(docs, c).alias(n) for c, n in (("text", "_1"), ("page2", "_2"), ("page3", "_3"), ("stem", "_stem"))))
+    docs = docs.withColumns({f"_lines{k}": text.lines(F.regexp_replace(f"_{k}", r"[ \t]+", " ")) for k in (1, 2)})
+    p1, p2, p3, l1, l2 = (F.col(c) for c in ("_1", "_2", "_3", "_lines1", "_lines2"))
+    both, both_lines = F.concat(p1, F.lit("\n"), p2), F.concat(l1, l2)
+
+    def either(*values: Column) -> Column:
+        return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+
+    def got(c: Column, pattern: str, flags: str = "i") -> Column:
+        return F.btrim(text.squeeze(F.regexp_extract(c, f"(?{flags}){pattern}", 1)), F.lit(" _:-"))
+
+    def tidy(c: Column) -> Column:
+        return F.btrim(text.squeeze(c), F.lit(" _:-.,"))
+
+    def passing(c: Column, pattern: str) -> Column:
+        return text.let(tidy(c), lambda v: text.only_if(v, v.rlike(rf"\A{pattern}\z")))
+
+    def date(c: Column) -> Column:
+        return passing(c, "[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}")
+
+    def unless(c: Column, pattern: str) -> Column:
+        return text.let(c, lambda v: text.only_if(v, ~v.rlike(f"(?i){pattern}")))
+
+    def gender(c: Column) -> Column:
+        v = F.lower(text.strip(c))
+        return F.when(v.isin("male", "m"), "Male").when(v.isin("female", "f"), "Female").otherwise("")
+
+    def phone(c: Column) -> Column:
+        return text.let(tidy(c), lambda v: text.only_if(v, F.char_length(text.digits(v)) >= 10))
+
+    def yes_no(c: Column, pattern: str, of_lines: Column, anchor: str) -> Column:
+        return either(bool_by_regex(c, pattern), bool_by_context(of_lines, anchor))
+
+    until = r"\s*(?:Name of Case Manager|Will you be on probation|I have completed)"
+    city = either(got(p1, r"preferred city of\s*(.*?)\s*Have you previously", "is"), line_after(l1, "preferred city of", ("housing", "please selecta")))
+    texts = {
+        "applicant.name": either(text.stem_name(F.col("_stem")), line_after(l1, r"^name\b", ("gender", "date of birth"))),
+        "applicant.idoc_or_le_number": numbers.packet_id(got(p1, r"IDOC\s*or\s*LE\s*#\s*([A-Za-z0-9-]+)")),
+        "applicant.gender": gender(line_after(l1, r"^gender:?$", ("name", "please print clearly", "address", "physical address"))),
+        "applicant.date_of_birth": date(got(p1, r"Date of Birth\s*([0-9/.-]+)")),
+        "applicant.age": got(p1, r"Age:?\s*([0-9]{1,3})"),
+        "contacts.phone": phone(got(p1, r"Phone(?: Number)?:?\s*([0-9() -]{7,})")),
+        "contacts.email": passing(got(p1, r"e-?mail\s*([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+        "contacts.emergency_contact": got(p1, r"Emergency Contact:?\s*([A-Za-z0-9 .()/-]{6,})\s*Name(?:\s*&\s*Phone| and Phone)?"),
+        "housing.preferred_city": text.valid_city(tidy(city), PACKET_CITIES),
+        "addictions.drug_of_choice": unless(tidy(either(got(p1, r"Drug\(s\) of Choice:?\s*([^\n]+)"), got(p2, r"Alcohol and/or drugs\s*([^\n]+)"))), r"\?"),
+        "addictions.date_of_last_use": date(either(got(p1, r"Date[- ]of[- ]Last[- ]Use:?\s*([0-9/.-]+)"), got(p2, r"Date of last use\s*([0-9/.-]+)"))),
+        "housing.needed_by": date(either(got(p1, r"Date Housing Needed:?\s*([^\n]+)"), got(p2, r"Housing needed by\s*([^\n]+)"))),
+        "support.prescribed_medications": either(got(p1, r"List any medications you are prescribed:?\s*([^\n]+)"), got(p2, r"List any medications\s*([^\n]+)\s*you are prescribed")),
+        "contacts.case_manager": unless(either(got(p2, r"Name of Case\s*Manager:?\s*([^\n]+)"), got(p2, r"Name of CaseManager,? if applicable:?\s*([^\n]+)")), "if applicable|name of case"),
+        "supervision.reporting_county": got(p2, r"Name of Idaho County you will be reporting to:?\s*([^\n]+)"),
+        "supervision.probation_or_parole_officer": unless(got(p2, r"Probation/Parole Officer(?: Name)?(?:, if known)?:?\s*([^\n]+)"), "name,? ?if known"),
+        "signing.signature_name": either(got(p2, r"Your Signature \(Type Name\)\s*([^\n]+)"), got(p2, r"Print Name:?\s*([^\n]+)")),
+        "signing.application_date": either(date(got(p1, r"Today's Date:?\s*([0-9/.-]+)")), date(either(*(got(p, r"Date\s*([0-9/.-]+)") for p in (p2, p3))))),
+    }
+    blocks = {
+        "criminal.charges": got(p2, rf"List all charges:?\s*(.*?){until}", "is"),
+        "criminal.violent_charge_explanation": got(p2, rf"violent charges:?\s*(.*?){until}", "is"),
+    }
+    boxes = {
+        "history.previously_resided": yes_no(p1, r"Have you previously\s*(Yes|No)\s*resided at", l1, r"previously\s+resided\s+at"),
+        "history.alcoholic_or_addict": yes_no(p1, r"Are you an\s*(Yes|No)\s*alcoholic/addict", l1, "alcoholic/addict"),
+        "requirements.sex_offender_registration": yes_no(p2, r"register\s*(Yes|No)\s*as a sex offender", l2, r"register\s+as\s+a\s+sex\s+offender"),
+        "employment.currently_employed": yes_no(p2, r"currently\s*(Yes|No)\s*employed", l2, r"currently\s+employed"),
+        "criminal.convicted_misdemeanor_or_felony": yes_no(both, r"convicted of a\s*(Yes|No)\s*misdemeanor or\s*felony", both_lines, r"convicted\s+of\s+a\s+misdemeanor\s+or\s+felony"),
+        "criminal.under_influence_during_crime": yes_no(p2, r"influence of\s*(Yes|No)\s*drugs/alcohol", l2, r"under\s+the\s+influence.*crime\s+was\s+committed|where\s+you\s+under\s+the\s+influence"),
+        "supervision.on_probation_or_parole_while_housed": yes_no(p2, r"Will you be on\s*(Yes|No)\s*probation or parole", l2, r"probation\s+or\s+parole\s+while\s+in\s+housing"),
     }
-    return unpivot(lines, values, "raw_text", confidence)
+    values = {k: (kind, v) for kind, group in (("text", texts), ("multiline_text", blocks), ("checkbox_group", boxes)) for k, v in group.items()}
+    long = unpivot(docs, values, "raw_text", confidence)
+    return long.withColumn("confidence", F.when((F.col("kind") == "checkbox_group") & (F.col("value") != ""), checkbox_confidence).otherwise(F.col("confidence")))
 
 
 @dataclass(frozen=True)
@@ -386,19 +463,32 @@ def _by_section(a: Column, b: Column) -> Column:
 
 
 def text_overrides(docs: DataFrame) -> DataFrame:
-    """Fields that the text of the scanned form's first page states itself."""
-    t = F.col("text")
+    """Fields that the text of the scanned form's first two pages states itself: docs (doc_id, text, and page2, if there is)."""
+    docs = docs.select("doc_id", _optional(docs, "text").alias("_1"), _optional(docs, "page2").alias("_2"))
+    docs = docs.withColumn("_lines", text.lines(F.col("_2"))).withColumn("_providers", block_between(F.col("_lines"), "27.", "28."))
+    p1, p2, named, n = F.col("_1"), F.col("_2"), F.col("_providers"), F.size("_providers")
+    last = F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit(""))
+    number = capture(p1, r"IDoc#:\s*([^\n]+)")
     values = {
-        "applicant.idoc_number": ("text", capture(t, r"IDoc#:\s*([^\n]+)")),
-        "applicant.dob": ("text", capture(t, r"DOB:\s*([A-Za-z0-9./-]+)")),
-        "applicant.age": ("text", capture(t, r"Age:\s*([0-9.]+)")),
-        "applicant.ssn_last4": ("text", capture(t, r"Last 4 digits of SSN:\s*([A-Za-z0-9./-]+)")),
-        "signing.application_date": ("text", capture(t, r"Date:\s*([0-9./-]+)")),
-        "contacts.personal_phone": ("text", capture_between(t, r"3\.\s*Personal Phone Number\s*:?", r"4\.")),
-        "contacts.emergency_name_relationship": ("text", capture_between(t, r"4\.\s*Emergency Contact Name\s*&\s*Relationship\s*:?", r"5\.")),
-        "criminal.conviction_county": ("text", capture_between(t, r"8\.\s*What county was the crime committed in\?", r"9\.")),
+        "applicant.idoc_number": number,
+        "applicant.dob": capture(p1, r"DOB:\s*([A-Za-z0-9./-]+)"),
+        "applicant.age": capture(p1, r"Age:\s*([0-9.]+)"),
+        "applicant.ssn_last4": capture(p1, r"Last 4 digits of SSN:\s*([A-Za-z0-9./-]+)"),
+        "release.tpd_or_needed_date": capture(p1, r"housing needed:\s*([^\n]+?)\s+Have you had your Parole Hearing"),
+        "addictions.drug_of_choice": capture(p2, r"drug\(s\)of Choice:\s*([^\n]+?)\s*Dateoflastuse"),
+        "signing.application_date": capture(p2, r"Date:\s*([0-9./-]+)"),
+        "additional_form.idoc_number": number,
+        "contacts.personal_phone": capture_between(p1, r"3\.\s*Personal Phone Number\s*:?", r"4\."),
+        "contacts.emergency_name_relationship": capture_between(p1, r"4\.\s*Emergency Contact Name\s*&\s*Relationship\s*:?", r"5\."),
+        "contacts.emergency_phone": capture_between(p1, r"5\.\s*Emergency Contact Phone Number(?:\s*\(include area code\))?\s*:?", r"6\."),
+        "criminal.most_recent_convictions": capture_between(p1, r"7\.\s*What was your most recent conviction\(s\)\?", r"8\."),
+        "criminal.conviction_county": capture_between(p1, r"8\.\s*What county was the crime committed in\?", r"9\."),
+        "support.prescribed_medications": labelled_block(F.col("_lines"), r"21\.\s*List any prescribed medications you currently take\.\s*", r"22\."),
+        "addictions.date_of_last_use": capture(p2, r"Date\s*of\s*last\s*use:?\s*([A-Za-z0-9./-]+)"),
+        "housing.preferred_providers": text.clean(F.array_join(F.slice(named, 1, F.greatest(n - 1, F.lit(1))), " ")),
+        "contacts.case_manager_or_po": text.only_if(last, F.char_length(last) <= 40),
     }
-    return unpivot(docs, values, "text_override", 0.65).where("value <> ''")
+    return unpivot(docs, {k: ("text", v) for k, v in values.items()}, "text_override", 0.65).where("value <> ''")
 
 
 def detail_page(pages: DataFrame) -> DataFrame:

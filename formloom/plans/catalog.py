@@ -213,12 +213,13 @@ def form_fields_long(s, d):
 
 @query()
 def packet_fields_long(s, d):
-    return extract.packet_form(fx(s, d, "forms").select("doc_id", "text"))
+    # The fixture has one page: it stands for the second, too.
+    return extract.packet_form(fx(s, d, "forms").withColumn("page2", F.col("text")))
 
 
 @query()
 def text_overrides(s, d):
-    return extract.text_overrides(fx(s, d, "forms").select("doc_id", F.concat(F.lit("IDoc#: "), "text").alias("text")))
+    return extract.text_overrides(fx(s, d, "forms").select("doc_id", F.concat(F.lit("IDoc#: "), "text").alias("text"), F.col("text").alias("page2")))
 
 
 _HINTS = " UNION ALL ".join(f"SELECT '{k}' AS field, {p} AS page, '{a}' AS anchor" for k, (p, a) in extract.QUESTIONS.items())
