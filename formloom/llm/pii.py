@@ -10,13 +10,13 @@ t (a word of four letters or more) within ``REACH`` characters of an occurrence
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 - log(n(t) / n(t, e)) / log(N / n(e))
 
-estimates how strongly t reveals e: n(t, e) counts the distinct contexts of e that hold t (copies of
-a context count once), n(e) those of e, n(t) all occurrences of t and N all text positions. Terms
-with at least ``SUPPORT`` such contexts and a disclosure of ``REMOVE`` or more are removed, from
+estimates how strongly t reveals e: n(t, e) counts the occurrences of t in contexts of e, n(e) the
+contexts of e, n(t) all occurrences of t and N all text positions, copies included in each. Terms
+that at least ``SUPPORT`` contexts hold and a disclosure of ``REMOVE`` or more are removed, from
 ``GENERALISE`` on they are generalised, within reach of that entity. Base spans always stay.
 
 Shuffled are entity contexts, and counts of candidate terms; texts are read in place. Hot entities
-are pre-aggregated (distinct contexts) before they meet.
+are pre-aggregated (distinct contexts and how often they occur) before they meet.
 
 Defined results: null text is empty; repeated rows get the same spans; a null doc_id is a value of
 its own; further columns are carried by ``sanitise`` and ignored by ``find``.
@@ -143,11 +143,14 @@ def _contexts(found: DataFrame) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """entity, term, disclosure of the terms that exceed the lower threshold."""
-    terms = F.array_distinct(F.transform(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)), F.lower))
-    distinct = contexts.select("entity", "context").distinct()
-    pairs = distinct.select("entity", F.explode(terms).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    # Copies of a context are one row with their number: all counts are of occurrences.
+    distinct = contexts.groupBy("entity", "context").agg(F.count("*").alias("m"))
+    terms = distinct.select("entity", "m", F.transform(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)), F.lower).alias("terms"))
+    each = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.array_position("terms", t) == i + 1).alias("first")))
+    pairs = terms.select("entity", "m", F.explode(each).alias("t")).groupBy("entity", F.col("t.term").alias("term"))
+    pairs = pairs.agg(F.sum("m").alias("n_te"), F.sum(F.when(F.col("t.first"), F.col("m"))).alias("held")).where(F.col("held") >= SUPPORT).drop("held")
     pairs = checkpointed(pairs)
-    entities = distinct.groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = distinct.groupBy("entity").agg(F.sum("m").alias("n_e"))
     wanted = pairs.select("term").distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term"))

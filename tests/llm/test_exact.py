@@ -262,6 +262,23 @@ def test_disclosing_terms_are_found(spark):
     assert "Zanzibarov" not in text[0] and "[EMAIL]" in text[0] and text[50] == rows[6][1]
 
 
+def test_disclosing_terms_of_copies_are_found(spark):
+    """Copies count in all counts or in none: terms that occur only beside their entity stay disclosing."""
+    filler = "common words only " * 40
+    once = "Quixotesson writes from secret.person@corp.org today"
+    rows = [(i, once) for i in range(300)]  # one context in a large group of copies
+    rows += [(1000 + i, f"{'left' if i % 2 else 'right'} Zanzibarov other.person@corp.org") for i in range(400)]  # two contexts, 200 copies each
+    rows += [(5000 + i, f"Thrice Thrice Thrice third.person{i}@corp.org") for i in range(3)]  # one context of each entity
+    rows += [(9000, filler)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i, word in ((0, "Quixotesson"), (299, "Quixotesson"), (1000, "Zanzibarov"), (1399, "Zanzibarov")):
+        at = text[i].index(word)
+        assert f"term:{at}:{at + len(word)}" in got[i]
+    assert not any(x.startswith("term") for x in got[5000])
+    assert got[9000] == [""]
+
+
 def test_quality(clashing, none, corpus):
     got = quality.judge(clashing)
     want = []
