@@ -13,7 +13,8 @@ All windows of the benchmark are searched backwards at once; their occurrences a
 walking to the next sampled position; spans that touch are merged into removal spans.
 
 Everything is one narrow map: no shuffle. The benchmark goes to the executors in blocks of at most
-``BLOCK_WORDS`` words (a proven bound); a larger benchmark is applied block after block.
+``BLOCK_WORDS`` words (a proven bound); a larger benchmark is applied block after block, each to the
+whole text: spans are merged over the blocks and cut once, so results don't depend on the blocks.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
 window; repeated rows are scored one by one; an empty benchmark finds nothing; further columns of
@@ -219,7 +220,10 @@ def shard_hits(ids: np.ndarray, first: np.ndarray, p: Patterns):
 
 
 def _scan(p: Patterns, cut: bool):
-    """The map over Arrow batches. Columns: row fields as they come, text, items, spans."""
+    """The map over Arrow batches. Columns: row fields as they come, text, items, spans.
+
+    With ``cut`` the merged spans, of this block and those before, are taken out of the text: for the last block.
+    """
 
     def finish(held: list, ids: list[np.ndarray], sizes: list[int]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -249,10 +253,10 @@ def _scan(p: Patterns, cut: bool):
                 spans.append([{"start": x, "end": y} for x, y in both])
                 items.append(sorted(found.get(base + r, set()) | set(batch.column("items")[r].as_py())))
                 text = texts[r].as_py()
-                if cut and own:
+                if cut and both:
                     raw, w = text.encode(), int(firsts[r])
                     out, last = [], 0
-                    for x, y in own:
+                    for x, y in both:
                         out.append(raw[last : int(starts[w + x])])
                         last = int(ends[w + y - 1])
                     text = b"".join([*out, raw[last:]]).decode()
@@ -298,14 +302,18 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, cut: bool = False) ->
     """``docs`` plus n_words, items (ids of the items found) and spans (merged removal spans, in words).
 
     With ``cut`` the spans' text, from the first to the last byte of its words, is taken out of ``text``;
-    spans then tell the words of the text as it came (of each block's input, if there are several blocks).
+    spans tell the words of the text as it came. All blocks read the uncut text, the last one cuts.
     """
     fields = [f for f in docs.schema.fields if f.name not in ("items", "spans", "n_words")]
     out = docs.select(*(F.col(f"`{f.name}`") for f in fields))
     empty = "cast(array() as array<bigint>) as items", "cast(array() as array<struct<start:int,end:int>>) as spans", "0L as n_words"
     out = out.selectExpr("*", *empty)
-    for block in _blocks(benchmark):
-        out = out.mapInArrow(_scan(Patterns(block), cut), out.schema)
+    blocks = _blocks(benchmark)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        out = out.mapInArrow(_scan(Patterns(block), cut and following is None), out.schema)
+        block = following
     return out
 
 

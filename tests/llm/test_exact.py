@@ -66,6 +66,21 @@ def test_decontamination(docs, clashing, none, corpus, bench, block, monkeypatch
         assert "tie" not in text[507] and text[5] == dict(corpus)[5] and text[500] is None
 
 
+def test_cut_text_is_the_same_for_all_block_sizes(spark, docs, bench, monkeypatch):
+    """Windows of items in different blocks overlap, and words meet that only a cut brings together."""
+    w = [f"w{k}" for k in range(40)]
+    text = " ".join(w)
+    items = [(1, " ".join(w[:15])), (2, " ".join(w[7:22])), (3, " ".join(w[25:35])), (4, f"{w[22]} {w[23]} {w[24]} {w[35]} {w[36]}")]
+    some, b = spark.createDataFrame([(1, text), (2, None), (3, "plain"), (4, f"é {text.upper()}. {text}")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for size in (decontaminate.BLOCK_WORDS, 40, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
+        got.append((rows_of(decontaminate.decontaminate(some, b)), rows_of(decontaminate.decontaminate(docs, bench)), rows_of(decontaminate.scan_documents(some, b, cut=True))))
+    assert got[0] == got[1] == got[2]
+    left = " ".join(w[22:25]) + "  " + " ".join(w[35:])
+    assert {r[0]: r[1] for r in got[0][0]} == {1: " " + left, 2: None, 3: "plain", 4: f"é  {left.upper()}.  {left}"}
+
+
 def test_fm_index_finds_all():
     rng = np.random.default_rng(2)
     runs = [rng.integers(1, 4, rng.integers(1, 30)) for _ in range(60)]
