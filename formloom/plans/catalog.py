@@ -848,6 +848,13 @@ def number_from_text(s, d):
     return r.select("doc_id", joined(numbers.text_candidates(F.concat(F.lit("Form IDOC#: "), "raw", F.lit("\nsee "), "number"))).alias("found"))
 
 
+@query()
+def number_from_text_all(s, d):
+    """number_from_text over all readings, noisy ones too; its SQL can only say those that are read without noise."""
+    text = F.concat(F.lit("Form IDOC#: "), "raw", F.lit("\nsee "), "number")
+    return fx(s, d, "readings").select("doc_id", joined(numbers.text_candidates(text)).alias("found"))
+
+
 @query("SELECT doc_id, 'data:image/png;base64,' || base64(encode(left(source, 20))) AS uri FROM documents")
 def data_uri(s, d):
     return fx(s, d, "documents").select("doc_id", sinks.data_uri(F.substring("source", 1, 20).cast("binary")).alias("uri"))
