@@ -9,68 +9,110 @@ from pyspark.sql import functions as F
 
 from .text import clean, strip, tokens
 
-# Nicknames by the first name they stand for.
-_NICKNAMES = """
-robert: bob bobby rob robby
-william: bill billy will willy willie
-james: jim jimmy jamie
-joseph: joe joey
-michael: mike mikey
-daniel: dan danny
-david: dave davey
-thomas: tom tommy
-richard: dick rick ricky rich
-steven: steve stevie
-anthony: tony
-christopher: chris
-matthew: matt
-patrick: pat
-edward: ed eddie ted teddy
-lawrence: larry
-gerald: jerry gerry
-terrence: terry terri
-charles: charlie chuck chas
-samuel: sam sammy
-john: jack johnny jon
-alexander: alex
-albert: al
-benjamin: ben benny
-kenneth: ken kenny
-timothy: tim timmy
-bradley: brad
-frederick: fred freddy
-jeffrey: jeff
-gregory: greg
-nicholas: nick
-andrew: andy drew
-ronald: ron ronny
-donald: don donny
-elizabeth: liz beth lizzy
-katherine: kathy kate katie katy
-jennifer: jenny jen
-christine: chris
-susan: sue suzy
-pamela: pam
-margaret: peggy maggie meg
-deborah: debbie deb
-barbara: barb
-rebecca: becky
-cynthia: cindy
-sandra: sandy
-amanda: mandy
-victoria: vicky vicki
-catherine: cathy
-"""
-#: A later line wins: chris is short for christine, so Chris and Christopher have different keys.
-NICKNAMES = {short: name for name, shorts in (line.split(":") for line in _NICKNAMES.strip().splitlines()) for short in shorts.split()}
+# Short first names and what each stands for. chris is short for christine, so Chris and
+# Christopher have different keys.
+NICKNAMES = {
+    "bob": "robert",
+    "bobby": "robert",
+    "rob": "robert",
+    "robby": "robert",
+    "bill": "william",
+    "billy": "william",
+    "will": "william",
+    "willy": "william",
+    "willie": "william",
+    "jim": "james",
+    "jimmy": "james",
+    "jamie": "james",
+    "joe": "joseph",
+    "joey": "joseph",
+    "mike": "michael",
+    "mikey": "michael",
+    "dan": "daniel",
+    "danny": "daniel",
+    "dave": "david",
+    "davey": "david",
+    "tom": "thomas",
+    "tommy": "thomas",
+    "dick": "richard",
+    "rick": "richard",
+    "ricky": "richard",
+    "rich": "richard",
+    "steve": "steven",
+    "stevie": "steven",
+    "tony": "anthony",
+    "chris": "christine",
+    "matt": "matthew",
+    "pat": "patrick",
+    "ed": "edward",
+    "eddie": "edward",
+    "ted": "edward",
+    "teddy": "edward",
+    "larry": "lawrence",
+    "jerry": "gerald",
+    "gerry": "gerald",
+    "terry": "terrence",
+    "terri": "terrence",
+    "charlie": "charles",
+    "chuck": "charles",
+    "chas": "charles",
+    "sam": "samuel",
+    "sammy": "samuel",
+    "jack": "john",
+    "johnny": "john",
+    "jon": "john",
+    "alex": "alexander",
+    "al": "albert",
+    "ben": "benjamin",
+    "benny": "benjamin",
+    "ken": "kenneth",
+    "kenny": "kenneth",
+    "tim": "timothy",
+    "timmy": "timothy",
+    "brad": "bradley",
+    "fred": "frederick",
+    "freddy": "frederick",
+    "jeff": "jeffrey",
+    "greg": "gregory",
+    "nick": "nicholas",
+    "andy": "andrew",
+    "drew": "andrew",
+    "ron": "ronald",
+    "ronny": "ronald",
+    "don": "donald",
+    "donny": "donald",
+    "liz": "elizabeth",
+    "beth": "elizabeth",
+    "lizzy": "elizabeth",
+    "kathy": "katherine",
+    "kate": "katherine",
+    "katie": "katherine",
+    "katy": "katherine",
+    "jenny": "jennifer",
+    "jen": "jennifer",
+    "sue": "susan",
+    "suzy": "susan",
+    "pam": "pamela",
+    "peggy": "margaret",
+    "maggie": "margaret",
+    "meg": "margaret",
+    "debbie": "deborah",
+    "deb": "deborah",
+    "barb": "barbara",
+    "becky": "rebecca",
+    "cindy": "cynthia",
+    "sandy": "sandra",
+    "mandy": "amanda",
+    "vicky": "victoria",
+    "vicki": "victoria",
+    "cathy": "catherine",
+}
 
 
 def normalise(c: Column) -> Column:
-    """First Last order at the first comma, letters and digits only, lower case."""
-    v = clean(F.coalesce(c, F.lit("")))
-    parts = F.split(v, ",", 2)
-    v = F.when(F.contains(v, F.lit(",")), F.concat(strip(F.element_at(parts, 2)), F.lit(" "), strip(F.element_at(parts, 1)))).otherwise(v)
-    return F.lower(clean(F.regexp_replace(v, "[^A-Za-z0-9 ]+", " ")))
+    """First Last order at the first comma, letters and digits only, lower case: words with one space between."""
+    turned = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)\A([^,]*),(.*)\z", "$2 $1")
+    return F.lower(F.trim(F.regexp_replace(turned, "[^A-Za-z0-9]+", " ")))
 
 
 def canonical_first(c: Column) -> Column:
@@ -84,8 +126,19 @@ def key(c: Column) -> Column:
 
 
 def key_of_normal(normal: Column) -> Column:
-    t = tokens(normal)
-    return F.when(F.size(t) >= 2, F.struct(canonical_first(F.element_at(t, 1)).alias("first"), F.element_at(t, -1).alias("last")))
+    """struct(first, last) of a normal form of two words or more, else null."""
+    return F.when(F.contains(normal, F.lit(" ")), F.struct(canonical_first(F.substring_index(normal, " ", 1)).alias("first"), F.substring_index(normal, " ", -1).alias("last")))
+
+
+def unique(found: Column) -> Column:
+    """array<struct<name, normal>> of an array of names: the first of each normal form, in order, empty ones left out."""
+    forms = F.transform(found, lambda n: F.struct(F.trim(F.coalesce(n, F.lit(""))).alias("name"), normalise(n).alias("normal")))
+
+    def first(forms: Column) -> Column:
+        normals = F.transform(forms, lambda x: x["normal"])
+        return F.filter(forms, lambda x, i: (x["normal"] != "") & (F.array_position(normals, x["normal"]) == i + 1))
+
+    return F.element_at(F.transform(F.array(forms), first), 1)
 
 
 def display(c: Column) -> Column:
@@ -108,7 +161,8 @@ def match_features(a: Column, b: Column, ratio: Column) -> Column:
     struct(score, last_name_match, first_name_match, overlap_count, sequence_ratio, level): in this
     order greater means better.
     """
-    x, y = tokens(a), tokens(b)
+    # Points and thresholds are fixed values.
+    x, y = F.split(a, " "), F.split(b, " ")
     shared = F.size(F.array_intersect(x, y))
     share = shared / F.greatest(F.size(x), F.size(y), F.lit(1))
     same_words = (F.size(x) == F.size(y)) & (F.array_sort(F.array_distinct(x)) == F.array_sort(F.array_distinct(y)))
@@ -148,13 +202,10 @@ def truth_level(a: Column, b: Column) -> Column:
     )
 
 
-def batch_similarity(a: Column, b: Column) -> Column:
-    """exact by key, partial by last or first word, none; over names as written."""
-    na, nb = normalise(a), normalise(b)
-    x, y = tokens(na), tokens(nb)
-    same = F.coalesce(key_of_normal(na) == key_of_normal(nb), F.lit(False))
-    either = (F.try_element_at(x, F.lit(-1)) == F.try_element_at(y, F.lit(-1))) | (F.try_element_at(x, F.lit(1)) == F.try_element_at(y, F.lit(1)))
-    return F.when(same, "exact").when(F.coalesce(either, F.lit(False)), "partial").otherwise("none")
+def batch_similarity(a: Column, b: Column, key_a: Column, key_b: Column) -> Column:
+    """exact by key, partial by last or first word, none; over normal forms and their keys. An empty form fits none."""
+    either = (F.substring_index(a, " ", -1) == F.substring_index(b, " ", -1)) | (F.substring_index(a, " ", 1) == F.substring_index(b, " ", 1))
+    return F.when((a == "") | (b == ""), "none").when(F.coalesce(key_a == key_b, F.lit(False)), "exact").when(F.coalesce(either, F.lit(False)), "partial").otherwise("none")
 
 
 def evaluation_match(a: Column, b: Column) -> Column:

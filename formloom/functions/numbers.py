@@ -15,6 +15,7 @@ CONFUSED_SHORT = r"OoIlLJZSBG/\|!"
 MEANT_SHORT = "00111125861111"
 #: Score of a number's length.
 LENGTH_SCORES = {4: 2, 5: 4, 6: 5, 7: 4, 8: 3}
+# What follows the label of a number, and the labels in turn.
 CAPTURE = r"([A-Za-z0-9.,\-/\\()\[\]{}!|&$%'\" ]{4,15})"
 LABELS = [r"(?i)ID[O0]C\s*#\s*:?\s*", r"(?i)IDOC\s*(?:or\s*LE\s*)?#\s*:?\s*", r"(?i)IDOC\s*Number\s*:?\s*"]
 

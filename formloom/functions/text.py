@@ -11,12 +11,71 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that never belong to a name, and fragments that mark form text.
-NAME_STOPWORDS = (
-    "name ame lame current status please check one relationship phone number include area code gender dob idoc doc "
-    "information lack due needs helps support better reentry success special accommodations for your and id ido idc ob oa ao ht qd fit"
-).split()
-NAME_BLOCKED = "inform ormat status relation phone number accommod support reentry success current please check include lack leav conven name".split()
+# Words that never belong to a name.
+NAME_STOPWORDS = [
+    "name",
+    "ame",
+    "lame",
+    "current",
+    "status",
+    "please",
+    "check",
+    "one",
+    "relationship",
+    "phone",
+    "number",
+    "include",
+    "area",
+    "code",
+    "gender",
+    "dob",
+    "idoc",
+    "doc",
+    "information",
+    "lack",
+    "due",
+    "needs",
+    "helps",
+    "support",
+    "better",
+    "reentry",
+    "success",
+    "special",
+    "accommodations",
+    "for",
+    "your",
+    "and",
+    "id",
+    "ido",
+    "idc",
+    "ob",
+    "oa",
+    "ao",
+    "ht",
+    "qd",
+    "fit",
+]
+# Fragments that mark form text.
+NAME_BLOCKED = [
+    "inform",
+    "ormat",
+    "status",
+    "relation",
+    "phone",
+    "number",
+    "accommod",
+    "support",
+    "reentry",
+    "success",
+    "current",
+    "please",
+    "check",
+    "include",
+    "lack",
+    "leav",
+    "conven",
+    "name",
+]
 # Fixed value: labels that leak into a name; everything from one on is dropped.
 NAME_LEAKS = (
     r"(?i)\b(?:ne:?|me:?|Age:?|DOB:?|D\.?O\.?B:?|Last\s*\d+\s*digits?\s*(?:of\s*)?(?:SSN)?:?|IDoc#?:?|ID[O0]C#?:?"
@@ -64,6 +123,11 @@ def clean_capture(c: Column, edge: str = " _:-") -> Column:
     return F.trim(squeeze(F.btrim(c, F.lit(edge))))
 
 
+def line_text(c: Column) -> Column:
+    """Stripped lines that aren't blank, with a newline between them."""
+    return strip(F.regexp_replace(c, r"(?U)\s*\R\s*", "\n"))
+
+
 def lines(c: Column) -> Column:
     """Stripped lines that aren't blank."""
     return F.filter(F.transform(F.split(c, r"\R"), lambda x: strip(x)), lambda x: x != "")
@@ -158,7 +222,28 @@ def preview(c: Column, limit: int = 120) -> Column:
 
 
 def path_fragment(c: Column) -> Column:
-    return F.regexp_replace(c, "[^A-Za-z0-9._-]+", "_")
+    """A part of a path: other characters as one underscore each run, none at the ends; item for nothing."""
+    bare = F.btrim(F.regexp_replace(F.trim(c), "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit("item"))
+
+
+def recognised(c: Column, multiline: bool = False) -> Column:
+    """Recognised text in normal form: NFKC, straight quotes, runs of blanks squeezed, edges free of blanks and _,-.
+
+    Several lines keep their breaks, two in a row at most.
+    """
+    from .udfs import nfkc
+
+    v = F.coalesce(nfkc(c), F.lit(""))
+    if not multiline:
+        return F.btrim(F.regexp_replace(F.replace(v, F.lit("\n"), F.lit(" ")), r"(?U)\s+", " "), F.lit(" _,-"))
+    v = F.regexp_replace(F.regexp_replace(v, "[ \t]+", " "), "\n{3,}", "\n\n")
+    return F.btrim(F.regexp_replace(v, " *\n *", "\n"), F.lit(" _,-\n"))
+
+
+def flag(c: Column) -> Column:
+    """Whether a setting is switched on."""
+    return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("1", "true", "yes", "on")
 
 
 def format_phone(c: Column) -> Column:

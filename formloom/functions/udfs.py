@@ -17,6 +17,25 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The greater similarity of a name, as it is or with its words turned round, to another; each pair once a batch."""
+    known: dict[tuple[str, str], float] = {}
+
+    def one(x: str, y: str) -> float:
+        if not x or not y:
+            return 0.0
+        turned = " ".join(reversed(x.split(" ")))
+        if y in (x, turned):
+            return 1.0
+        return max(SequenceMatcher(None, v, y).ratio() for v in {x, turned})
+
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            known[pair] = one(*pair)
+    return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).replace("’", "'"))
@@ -39,16 +58,24 @@ def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class _Page(HTMLParser):
-    """Text of a page, its title, and its tables as rows of cell texts."""
+    """Text of a page, of its main region, its title, and its tables as rows of cell texts."""
+
+    #: Class of the div whose text is the main region.
+    REGION = "region-content"
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.text: list[str] = []
+        self.region: list[str] = []
         self.titles: list[str] = []
         self.rows: list[list[str]] = []
         self.open: set[str] = set()
+        self.depth = 0  # of divs, inside the first region; -1 after it
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "div":
+            own = any(k == "class" and self.REGION in (v or "") for k, v in attrs)
+            self.depth += self.depth > 0 or (own and self.depth == 0)
         if tag == "tr":
             self.rows.append([])
         elif tag == "td" and self.rows:
@@ -58,6 +85,8 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.open.discard(tag)
+        if tag == "div" and self.depth > 0:
+            self.depth = self.depth - 1 or -1
 
     def handle_data(self, data: str) -> None:
         if self.open & {"script", "style"}:
@@ -66,21 +95,23 @@ class _Page(HTMLParser):
             self.titles.append(data)
             return
         self.text.append(data)
+        if self.depth > 0:
+            self.region.append(data)
         if "td" in self.open and self.rows and self.rows[-1]:
             self.rows[-1][-1] += data
 
 
-_PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))])
+_PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("region", T.StringType()), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))])
 
 
 @F.pandas_udf(_PAGE)
 def html_page(html: pd.Series) -> pd.DataFrame:
-    """Title, text and table rows (cells squeezed, blank ones dropped) of real-world HTML."""
+    """Title, text, main region (null without one) and table rows (cells squeezed, blank ones dropped) of real-world HTML."""
     out = []
     for source in html:
         page = _Page()
         page.feed(source or "")
         page.close()
         cells = [[c for c in (" ".join(x.split()) for x in row) if c] for row in page.rows]
-        out.append((" ".join("".join(page.titles).split()), " ".join(" ".join(page.text).split()), [r for r in cells if r]))
-    return pd.DataFrame(out, columns=["title", "text", "rows"])
+        out.append((" ".join("".join(page.titles).split()), " ".join(" ".join(page.text).split()), "".join(page.region) if page.depth else None, [r for r in cells if r]))
+    return pd.DataFrame(out, columns=["title", "text", "region", "rows"])

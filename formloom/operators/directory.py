@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.text import tokens
 
 LEAST_DIGITS, MOST_DIGITS = 5, 6
 
@@ -46,33 +45,42 @@ def unknown_only(docs: DataFrame, known: DataFrame) -> DataFrame:
     return docs.join(known.select("number"), "number", "left_anti")
 
 
-def _deletions(column: str):
-    """The string, and the string without each of its characters: two strings within one edit share one."""
-    c = F.col(column)
-    cut = F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(99))))
-    return F.explode(F.array_distinct(F.concat(F.array(c), F.when(F.char_length(c) > 0, cut).otherwise(F.array().cast("array<string>"))))).alias("deletion")
+#: Digits of a candidate at most; longer ones are no candidates.
+LONGEST = 8
+
+
+def _edits() -> Column:
+    """array of (before, digit, turn, rest): keep so many characters, put a digit or turn the next two, go on at the position."""
+    one = [(i, d, False, i + 2) for i in range(LONGEST) for d in "0123456789"]  # another digit at i + 1
+    one += [(i, d, False, i + 1) for i in range(LONGEST) for d in "0123456789"]  # a digit put in after i
+    one += [(i, "", False, i + 2) for i in range(LONGEST)]  # without the digit at i + 1
+    one += [(i, "", True, i + 3) for i in range(LONGEST - 1)]  # the two after i turned
+    names = ("before", "digit", "turn", "rest")
+    return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, e, strict=True))) for e in one))
 
 
 def fuzzy(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """candidate, match: known numbers at one substitution, insertion (to 6 digits at most), deletion (from
     over 5 digits, to 5 at least) or swap of neighbours, and the number itself.
 
-    An equi-join of deletion neighbourhoods and a check; no pair is compared that can't match.
+    The edits of each distinct candidate, some 150, are looked up by an equi-join with the directory: no two
+    numbers are compared, and what comes out are matches.
     """
-    a = candidates.select(F.col("candidate")).where("candidate is not null").distinct()
-    left = a.select("candidate", _deletions("candidate"))
-    right = known.select(F.col("number").alias("match")).distinct().select("match", _deletions("match"))
-    met = left.join(right, "deletion").select("candidate", "match").distinct()
-    x, y = F.col("candidate"), F.col("match")
-    n, m = F.char_length(x), F.char_length(y)
-    same = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: p == q)
-    wrong = F.filter(F.transform(same, lambda s, i: F.when(~s, i)), lambda i: i.isNotNull())
-    i = F.try_element_at(wrong, F.lit(1))
-    swap = (F.size(wrong) == 2) & (F.try_element_at(wrong, F.lit(2)) == i + 1) & (F.substring(x, i + 1, F.lit(1)) == F.substring(y, i + 2, F.lit(1))) & (F.substring(x, i + 2, F.lit(1)) == F.substring(y, i + 1, F.lit(1)))
-    equal = (n == m) & ((F.size(wrong) <= 1) | F.coalesce(swap, F.lit(False)))
-    longer = (m == n + 1) & (m <= MOST_DIGITS) & (F.levenshtein(x, y) == 1)
-    shorter = (m == n - 1) & (n > LEAST_DIGITS) & (m >= LEAST_DIGITS) & (F.levenshtein(x, y) == 1)
-    return met.where(equal | longer | shorter)
+    x, n = F.col("candidate"), F.char_length("candidate")
+    each = candidates.select("candidate").where("candidate is not null").distinct().where(n <= LONGEST).withColumn("e", F.explode(_edits()))
+    fits = (
+        F.when(F.col("e.turn"), n >= F.col("e.before") + 2)
+        .when(F.col("e.digit") == "", (n > F.col("e.before")) & (n > LEAST_DIGITS) & (n - 1 >= LEAST_DIGITS))
+        .when(F.col("e.rest") == F.col("e.before") + 1, (n >= F.col("e.before")) & (n + 1 <= MOST_DIGITS))
+        .otherwise(n > F.col("e.before"))
+    )
+    turned = F.concat(F.substring(x, F.col("e.before") + 2, F.lit(1)), F.substring(x, F.col("e.before") + 1, F.lit(1)))
+    put = F.when(F.col("e.turn"), turned).otherwise(F.col("e.digit"))
+    edit = F.concat(F.substring(x, F.lit(1), F.col("e.before")), put, F.substring(x, F.col("e.rest"), F.lit(LONGEST)))
+    near = each.where(fits).select("candidate", edit.alias("match"))
+    # The empty candidate and one at its longest have no further edits; each is near itself.
+    near = near.unionByName(candidates.select("candidate", F.col("candidate").alias("match")).where("candidate is not null"))
+    return near.join(known.select(F.col("number").alias("match")), "match", "left_semi").select("candidate", "match").distinct()
 
 
 def best_match(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -129,7 +137,3 @@ def first_known_names(docs: DataFrame, rows: DataFrame, k: int = 6) -> DataFrame
     joined = each.join(index, (F.col("_k.first") == F.col("first")) & (F.col("_k.last") == F.col("last")), "left")
     order = F.struct(F.col("is_known").isNull().alias("u"), "pos", "name")
     return joined.groupBy("doc_id").agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["name"])), 1, k).alias("names"))
-
-
-def words_shared(a: str, b: str):
-    return F.size(F.array_intersect(tokens(F.col(a)), tokens(F.col(b))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -109,57 +110,32 @@ def block_between(lines: Column, start: str, stop: str) -> Column:
 
 
 def is_label(line: Column) -> Column:
-    low = F.lower(line)
-    return reduce(lambda a, b: a | b, (F.startswith(low, F.lit(x)) for x in LABELS))
+    return F.lower(line).rlike(rf"\A(?:{_STARTS})")
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """docs (.., text) with _lines, _low (in lower case) and _label (whether each is a label line), worked out once for all fields."""
-    out = docs.withColumn("_lines", text.lines(F.col("text")))
-    out = out.withColumn("_low", F.transform("_lines", lambda x: F.lower(x)))
-    starts = "^(?:" + "|".join(x.replace("?", "\\?") for x in LABELS) + ")"
-    return out.withColumn("_label", F.transform("_low", lambda x: x.rlike(starts)))
+    """docs (.., text) with _text, its lines stripped and without blank ones, worked out once for all fields."""
+    return docs.withColumn("_text", text.line_text(F.col("text")))
 
 
-def value_after(anchor: str, most: int = 3) -> Column:
-    """What stands after the first line with the anchor: the rest of the line, else the next lines up to a label.
+_STARTS = "|".join(re.escape(x) for x in LABELS)
 
-    Over the columns of ``prepared``.
-    """
-    lines, lowered = F.col("_lines"), F.col("_low")
-    low = anchor.lower()
-    i = first_index(lowered, lambda x: F.contains(x, F.lit(low)))
 
-    def read(i: Column) -> Column:
-        line = F.try_element_at(lines, F.greatest(i, F.lit(1)))
-        rest = text.clean(F.substring(line, F.instr(F.try_element_at(lowered, F.greatest(i, F.lit(1))), F.lit(low)) + len(low), F.lit(1 << 20)))
-        j = F.array_position(F.slice("_label", i + 1, most), True).cast("int")
-        block = F.slice(lines, i + 1, F.when(j > 0, j - 1).otherwise(most))
-        return F.when(i == 0, "").when(rest != "", rest).otherwise(text.clean(F.array_join(block, " ")))
+def value_after(anchor: str, most: int = 3) -> Column:
+    """What stands after the first anchor: the rest of its line, else the next lines, ``most`` at most, up to a label.
 
-    return F.element_at(F.transform(F.array(i), read), 1)
+    One match over the column _text of ``prepared``: no line is looked at twice.
+    """
+    pattern = rf"(?i){re.escape(anchor)}[^\S\n]*(\S.*|(?:\n(?!{_STARTS}).*){{0,{most}}})"
+    return text.clean(F.regexp_extract("_text", pattern, 1))
 
 
 def multiline_after(anchor: str, stop: str | None = None) -> Column:
-    """All lines after the anchor's up to one that holds ``stop``; over the columns of ``prepared``."""
-    lines, lowered = F.col("_lines"), F.col("_low")
-    low = anchor.lower()
-    i = first_index(lowered, lambda x: F.contains(x, F.lit(low)))
-
-    def read(i: Column) -> Column:
-        line = F.try_element_at(lines, F.greatest(i, F.lit(1)))
-        rest = text.strip(F.substring(line, F.instr(F.lower(line), F.lit(low)) + len(low), F.lit(1 << 20)))
-        after = F.slice(lines, i + 1, F.size(lines))
-        if stop:
-            j = first_index(F.slice(lowered, i + 1, F.size(lines)), lambda x: F.contains(x, F.lit(stop.lower())))
-            after = F.slice(after, 1, F.when(j > 0, j - 1).otherwise(F.size(after)))
-        return F.when(i > 0, text.clean(F.concat_ws(" ", rest, F.array_join(after, " ")))).otherwise("")
-
-    return F.element_at(F.transform(F.array(i), read), 1)
-
-
-def bool_after(anchor: str) -> Column:
-    return text.yes_no(value_after(anchor, 2))
+    """The rest of the anchor's line and all lines after it up to one that holds ``stop``; over _text of ``prepared``."""
+    after = F.regexp_extract("_text", rf"(?is){re.escape(anchor)}(.*)", 1)
+    if stop:
+        after = F.regexp_extract(after, rf"(?is)\A(.*?)(?:\n[^\n]*{re.escape(stop)}.*)?\z", 1)
+    return text.clean(after)
 
 
 def _first(found: Column) -> Column:
@@ -230,6 +206,7 @@ class Field:
     kind: str = "text"
 
 
+# Anchors of the digital form's fields, the lines each may take and what is cut from it.
 DIGITAL_FORM = [
     Field("applicant.name", ("Name",), 1, "name"),
     Field("applicant.idoc_or_le_number", ("IDOC or LE#",), 1, "id"),
@@ -256,6 +233,7 @@ DIGITAL_FORM = [
     Field("history.alcoholic_or_addict", ("alcoholic/addict",), 2, "bool", kind="checkbox_group"),
     Field("signing.signature_name", ("Name)", "Your Signature"), 3, "", r"(?i)^\(Type.*?\)\s*"),
 ]
+# Fixed value: words that a name of the digital form doesn't have.
 NOT_NAMES = "gender|physical|address|male|female"
 
 
@@ -350,6 +328,7 @@ def packet_form(docs: DataFrame, confidence: float = 0.85, checkbox_confidence:
 
     until = r"\s*(?:Name of Case Manager|Will you be on probation|I have completed)"
     city = either(got(p1, r"preferred city of\s*(.*?)\s*Have you previously", "is"), line_after(l1, "preferred city of", ("housing", "please selecta")))
+    # The patterns of the packet's labels, here and below.
     texts = {
         "applicant.name": either(text.stem_name(F.col("_stem")), line_after(l1, r"^name\b", ("gender", "date of birth"))),
         "applicant.idoc_or_le_number": numbers.packet_id(got(p1, r"IDOC\s*or\s*LE\s*#\s*([A-Za-z0-9-]+)")),
@@ -440,15 +419,50 @@ def bundle_pages(pages: DataFrame, markers: Sequence[str], most: int = 4) -> Dat
     return kept.where((F.col("n") <= 5) | (F.col("r") <= most)).select("doc_id", F.when(F.col("n") > 5, F.col("r")).otherwise(F.col("page")).alias("page"), "text")
 
 
+#: Confidence of what the page's text itself states.
+STATED = 0.65
+#: What may stand for a field, by precedence.
+PRECEDENCE = ["name", "override", "region"]
+
+
 def assemble(proposals: DataFrame) -> DataFrame:
-    """doc_id, field, value, confidence, source: the proposal of least precedence for each field.
+    """doc_id, field, value, confidence, source: one row for each field that any source proposes.
 
-    proposals: doc_id, field, precedence, value, confidence, source. Form text is blanked, then each value
-    is normalised by its field.
+    proposals: doc_id, field, kind, source (in ``PRECEDENCE``), origin (shown as the source), value, confidence
+    and, for checkbox groups of the region, selected and options (arrays) and answer (what the page's text
+    says, or null). In turn: the name of the candidate ensemble; what the text states, with a confidence of
+    0.65 at least; a checkbox group with yes and no and not one choice takes the text's answer; a region's text
+    that the form printed itself is blanked. Then text is put in the form of its field, blanks have confidence 0.
+    """
+    rank = F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("source"))
+    stated = F.when((F.col("source") == "region") | (F.col("value") != ""), F.struct(rank.alias("r"), "origin", "value", "confidence", "kind", "selected", "options", "answer"))
+    found = proposals.groupBy("doc_id", "field").agg(F.min(stated).alias("b"), F.max(F.when(F.col("source") == "region", F.col("confidence"))).alias("seen")).where("b is not null").select("doc_id", "field", "b.*", "seen")
+    box = F.col("kind") == "checkbox_group"
+    name, override = F.col("r") == 1, F.col("r") == 2
+    unclear = box & ~name & ~override & (F.array_sort("options") == F.array(F.lit("no"), F.lit("yes"))) & (F.size("selected") != 1) & F.col("answer").isNotNull()
+    printed = ~box & ~name & ~override & text.is_prompt(F.col("value"))
+    raw = F.when(unclear, F.col("answer")).when(box & ~override, F.array_join(F.array_sort("selected"), ",")).when(printed, "").otherwise(F.col("value"))
+    out = found.withColumn("_raw", raw).withColumn("_v", F.when(box, F.col("_raw")).otherwise(text.field_value(F.col("field"), F.col("_raw"))))
+    blanked = ~box & (F.col("_v") == "") & (F.col("_raw") != "")
+    confidence = F.when(printed | blanked, 0.0).when(override, F.greatest(F.coalesce("seen", F.lit(0.0)), F.lit(STATED))).otherwise(F.col("confidence"))
+    source = F.when(blanked, "normalized_blank").when(printed, "prompt_filtered_blank").when(unclear, "raw_text_checkbox_override").when(override, "raw_text_override").otherwise(F.col("origin"))
+    return out.select("doc_id", "field", F.col("_v").alias("value"), confidence.alias("confidence"), source.alias("source"))
+
+
+def detected_flag(fields: DataFrame, detected: DataFrame, field: str) -> DataFrame:
+    """assemble's rows with a field's answer from the detector of its checkbox (doc_id, prediction, confidence, method), where the field is there."""
+    d = detected.select("doc_id", F.lit(field).alias("field"), "prediction", F.col("confidence").alias("_c"), F.concat(F.lit("template_"), F.col("method")).alias("_s"))
+    joined = fields.join(d, ["doc_id", "field"], "left")
+    return joined.select("doc_id", "field", F.coalesce("prediction", "value").alias("value"), F.coalesce("_c", "confidence").alias("confidence"), F.coalesce("_s", "source").alias("source"))
+
+
+def best_variant(readings: DataFrame) -> DataFrame:
+    """doc_id, field, text, confidence: of a field's readings the one with text, then the longest, then the surest, then the first.
+
+    readings: doc_id, field, ord, text, confidence.
     """
-    best = proposals.where("value <> ''").groupBy("doc_id", "field").agg(F.min(F.struct("precedence", "value", "confidence", "source")).alias("b"))
-    value = F.when(text.is_prompt(F.col("b.value")), "").otherwise(text.field_value(F.col("field"), F.col("b.value")))
-    return best.select("doc_id", "field", value.alias("value"), F.when(value == "", 0.0).otherwise(F.col("b.confidence")).alias("confidence"), "b.source")
+    best = F.struct((F.col("text") != "").alias("some"), F.char_length("text").alias("n"), "confidence", (-F.col("ord")).alias("o"), "text")
+    return readings.groupBy("doc_id", "field").agg(F.max(best).alias("b")).select("doc_id", "field", "b.text", "b.confidence")
 
 
 def nested(fields: DataFrame) -> DataFrame:
@@ -469,6 +483,7 @@ def text_overrides(docs: DataFrame) -> DataFrame:
     p1, p2, named, n = F.col("_1"), F.col("_2"), F.col("_providers"), F.size("_providers")
     last = F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit(""))
     number = capture(p1, r"IDoc#:\s*([^\n]+)")
+    # The patterns of this form's labels.
     values = {
         "applicant.idoc_number": number,
         "applicant.dob": capture(p1, r"DOB:\s*([A-Za-z0-9./-]+)"),
@@ -491,21 +506,43 @@ def text_overrides(docs: DataFrame) -> DataFrame:
     return unpivot(docs, {k: ("text", v) for k, v in values.items()}, "text_override", 0.65).where("value <> ''")
 
 
-def detail_page(pages: DataFrame) -> DataFrame:
-    """page_id, title, name, number, status, age, phone, address, n_rows of pages (page_id, html)."""
+# Headers that the cells of a detail page's table repeat.
+CELL_HEADERS = ["Offense", "Sentencing County", "Case No.", "Status", "Released to Supervision*", "Sentence Satisfaction Date"]
+
+
+def detail_page(pages: DataFrame, heading: str = "Resident/Client Search") -> DataFrame:
+    """page_id, title, n_chars, name, number, status, age, mailing_address, phone, sentences of pages (page_id, html).
+
+    Read in the page's main region only; '' (age: null) where it doesn't say. sentences: rows of the page's
+    tables with four cells or more, without the headers that cells repeat.
+    """
     from ..functions.udfs import html_page
 
     p = pages.select("page_id", html_page("html").alias("p"))
-    t = F.col("p.text")
+    t = F.coalesce("p.region", F.lit(""))
     got = lambda pattern: F.regexp_extract(t, pattern, 1)
+    headers = F.array(*map(F.lit, CELL_HEADERS))
+
+    def bare(cell: Column, i: Column) -> Column:
+        head = F.try_element_at(headers, i + 1)
+        return F.when(F.startswith(cell, head), F.trim(F.substring(cell, F.char_length(head) + 1, F.char_length(cell)))).otherwise(cell)
+
+    def entry(row: Column) -> Column:
+        at = lambda i: F.try_element_at(row, F.lit(i))
+        return F.struct(at(1).alias("offense"), at(2).alias("county"), at(3).alias("case_number"), at(4).alias("sentence_status"), at(5).alias("released_to_supervision"), at(6).alias("termination_date"))
+
+    rows = F.transform(F.filter("p.rows", lambda r: F.size(r) >= 4), lambda r: F.transform(r, bare))
+    sentences = F.transform(F.filter(rows, lambda r: F.element_at(r, 1) != ""), entry)
+    # What the region's labels read.
     return p.select(
         "page_id",
         F.col("p.title").alias("title"),
-        F.char_length(t).alias("n_chars"),
-        got(r"Number:?\s*(\d+)").alias("number"),
-        got(r"Status:\s*(\w+)").alias("status"),
+        F.char_length("p.text").alias("n_chars"),
+        text.clean(got(rf"(?s){re.escape(heading)}\s+(.+?)\s*IDOC\s*#")).alias("name"),
+        got(r"IDOC\s*#:\s*(\d+)").alias("number"),
+        text.clean(got(r"(?s)Status:\s*(.+?)(?:Age:|\z)")).alias("status"),
         got(r"Age:\s*(\d+)").try_cast("int").alias("age"),
         text.clean(got(r"(?s)Mailing Address\s*(.+?)\s*Phone Number")).alias("mailing_address"),
         text.format_phone(got(r"Phone Number\s*(\d{7,})")).alias("phone"),
-        F.filter("p.rows", lambda r: F.size(r) >= 4).alias("rows"),
+        F.when(F.col("p.region").isNotNull(), sentences).otherwise(F.slice(sentences, 1, 0)).alias("sentences"),
     )

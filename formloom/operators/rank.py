@@ -21,6 +21,7 @@ def name_score(value: Column, confidence: Column, copies: Column, weight: Column
     solid = F.greatest(F.lit(1), F.char_length(F.regexp_replace(value, r"\s+", "")))
     suspicious = F.lower(value).rlike("|".join(SUSPICIOUS))
     minus = lambda condition, points: F.when(condition, points).otherwise(0.0)
+    # Points are fixed values.
     return (
         weight
         + F.least(n, F.lit(4)) * 3.0
@@ -125,28 +126,28 @@ def cascade(candidates: DataFrame) -> DataFrame:
 
 
 def match_score(hits: DataFrame) -> DataFrame:
-    """hits (doc_id, ord, number, directory_name, name_ord, ocr_name) with the match features of each pair."""
-    from ..functions.udfs import sequence_ratio
+    """hits (doc_id, ord, number, directory_name, directory_normal, name_ord, ocr_name, ocr_normal) with the match features of each pair."""
+    from ..functions.udfs import name_ratio
 
-    a, b = names.normalise(F.col("ocr_name")), names.normalise(F.col("directory_name"))
-    pairs = hits.withColumns({"_a": a, "_b": b})
-    turned = F.array_join(F.reverse(text.tokens(F.col("_a"))), " ")
-    ratio = F.greatest(sequence_ratio("_a", "_b"), sequence_ratio(turned, F.col("_b")))
-    return pairs.withColumn("ratio", ratio).withColumn("m", names.match_features(F.col("_a"), F.col("_b"), F.col("ratio"))).drop("_a", "_b", "ratio")
+    a, b = F.col("ocr_normal"), F.col("directory_normal")
+    return hits.withColumn("ratio", name_ratio(a, b)).withColumn("m", names.match_features(a, b, F.col("ratio"))).drop("ratio")
 
 
-_ORDER = [F.desc, F.desc, F.desc, F.desc, F.desc]
 _FEATURES = ["score", "last_name_match", "first_name_match", "overlap_count", "sequence_ratio"]
 
 
 def ranked_hits(hits: DataFrame) -> DataFrame:
     """Directory hits of each document, best name match first.
 
-    hits: doc_id, ord, number, directory_name, names (array of read names). A name counts once by its
-    normal form; a hit takes its best name; without names all hits score 0 and keep their order.
+    hits: doc_id, ord, number, directory_name, names (array of read names, each normal form counts once); or
+    with directory_normal, and names as structs (name, normal) of ``names.unique``, if they are known. A hit takes its best name; without names all hits score 0 and keep their order.
     """
-    each = hits.select("doc_id", "ord", "number", "directory_name", F.posexplode_outer("names").alias("name_ord", "ocr_name"))
-    each = each.withColumn("ocr_name", F.coalesce("ocr_name", F.lit("")))
+    if "directory_normal" not in hits.columns:
+        hits = hits.withColumn("directory_normal", names.normalise(F.col("directory_name")))
+    if hits.schema["names"].dataType.simpleString() == "array<string>":
+        hits = hits.withColumn("names", names.unique(F.col("names")))
+    each = hits.select("doc_id", "ord", "number", "directory_name", "directory_normal", F.posexplode_outer("names").alias("name_ord", "n"))
+    each = each.select("doc_id", "ord", "number", "directory_name", "directory_normal", "name_ord", F.coalesce("n.name", F.lit("")).alias("ocr_name"), F.coalesce("n.normal", F.lit("")).alias("ocr_normal"))
     m = match_score(each)
     order = [F.desc(f"m.{f}") for f in _FEATURES]
     best = m.withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "ord").orderBy(*order, F.asc_nulls_last("name_ord")))).where("_r = 1")

@@ -2,10 +2,48 @@
 
 from __future__ import annotations
 
-from ..functions.names import NICKNAMES
-from ..functions.numbers import CONFUSED, CONFUSED_SHORT, LENGTH_SCORES, MEANT, MEANT_SHORT
 from ..sources.fixtures import expand
 
+# Fixed values, written out here once more: what the library has must equal them, not just itself.
+NICKNAMES_SQL = """bob robert, bobby robert, rob robert, robby robert, bill william, billy william, will william, willy william, willie william,
+ jim james, jimmy james, jamie james, joe joseph, joey joseph, mike michael, mikey michael, dan daniel, danny daniel, dave david, davey david,
+ tom thomas, tommy thomas, dick richard, rick richard, ricky richard, rich richard, steve steven, stevie steven, tony anthony, chris christine,
+ matt matthew, pat patrick, ed edward, eddie edward, ted edward, teddy edward, larry lawrence, jerry gerald, gerry gerald, terry terrence,
+ terri terrence, charlie charles, chuck charles, chas charles, sam samuel, sammy samuel, jack john, johnny john, jon john, alex alexander, al albert,
+ ben benjamin, benny benjamin, ken kenneth, kenny kenneth, tim timothy, timmy timothy, brad bradley, fred frederick, freddy frederick, jeff jeffrey,
+ greg gregory, nick nicholas, andy andrew, drew andrew, ron ronald, ronny ronald, don donald, donny donald, liz elizabeth, beth elizabeth,
+ lizzy elizabeth, kathy katherine, kate katherine, katie katherine, katy katherine, jenny jennifer, jen jennifer, sue susan, suzy susan,
+ pam pamela, peggy margaret, maggie margaret, meg margaret, debbie deborah, deb deborah, barb barbara, becky rebecca, cindy cynthia,
+ sandy sandra, mandy amanda, vicky victoria, vicki victoria, cathy catherine"""
+CONFUSED, MEANT = r"ILJ/\|![]{}OQDCUSZB&$%GEAHT", "111111111110000052888866447"
+CONFUSED_SHORT, MEANT_SHORT = r"OoIlLJZSBG/\|!", "00111125861111"
+LENGTH_SCORES = {6: 5, 5: 4, 7: 4, 8: 3, 4: 2}
+PROMPTS = "please check;additional information form;housing application;phone number;current status;company:;page 3 of 4;page 4 of 4;v2.0;special accommodations;of information;for your convenience".split(";")
+PROMPTS_COMPACT = "page3of4;page4of4;idocdatasensitivityclassification;pleasecheckboxes".split(";")
+LABELS = (
+    "today's date;idoc or le#;name;gender;physical address;city;state;zipcode;e-mail;date of birth;age:;phone number;emergency contact:;name & phone;please select a;preferred city of;"
+    "have you previously;are you an;alcohol and/or drugs;date of last use;do you have to register;housing needed by;phone:;are you currently;employer:;list any medications;have you been;"
+    "where you under;list all charges;explain in detail;name of case;will you be on;probation/parole;your signature;date;you can edit this"
+).split(";")
+QUESTIONS = """requirements.sex_offender_registration 1 doyouneedtoregisterasasexoffender
+requirements.backup_plan 1 isthisabackupplanforaninterstatecompactoranicedetainer
+requirements.children_visitation_required 1 isatransitionalhomewithvisitationorovernightstaysforchildrenrequired
+history.disciplined_or_discharged 1 haveyoueverbeendisciplinedandinvoluntarilydischargedfromatransitionalhome
+history.violent_crimes_or_dor 1 haveyouhadanyviolentcrimesordisciplinaryoffensereportsdorforviolence
+release.on_probation_or_parole 1 willyoubeonprobationorparolewhenyouarerelease
+release.parole_hearing_completed 1 haveyouhadyourparolehearing
+transportation.vehicle_on_site 1 willyouhaveavehicleonsite
+background.served_in_military 1 haveyoueverservedinthemilitary
+background.enrolled_at_va 1 enrolledattheva
+employment.has_employment_upon_release 1 doyouhaveemploymentuponrelease
+support.medical_or_mental_health_support 2 doyouneedmedicalormentalhealthsupport
+support.communicable_disease 2 doyouhaveanycontagiousorcommunicablediseases
+benefits.plan_to_apply 2 doyouplantoapplyforssissdissrbmedicareormedicaid
+addictions.has_addictions 2 doyouhaveaddictions
+addictions.under_influence_during_crime 2 wereyouundertheinfluenceofdrugsalcoholwhencrimewascommitted
+preferences.faith_based_provider 2 wouldyoupreferafaithbasedhousingprovider
+housing.previously_in_transitional_home 2 haveyoupreviouslyresidedinatransitionalhome"""
+
 
 def sql(text: str) -> str:
     """Fixtures expanded, tables by name."""
@@ -34,7 +72,7 @@ def toks(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
 
 
-NICK = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in NICKNAMES.items()) + "}"
+NICK = "MAP {" + ", ".join("{}: {}".format(*map(lit, pair.split())) for pair in NICKNAMES_SQL.split(",")) + "}"
 
 
 def first_key(n: str) -> str:
@@ -109,3 +147,33 @@ FUZZY = """(SELECT DISTINCT a.candidate, b.match FROM
  JOIN (SELECT match, unnest(list_distinct([match] || list_transform(range(1, length(match) + 1), lambda i: substr(match, 1, i - 1) || substr(match, i + 1)))) AS d FROM (SELECT DISTINCT number AS match FROM {directory})) b USING (d)
  WHERE damerau_levenshtein(candidate, match) <= 1 AND (length(candidate) = length(match) OR (length(match) = length(candidate) + 1 AND length(match) <= 6)
   OR (length(match) = length(candidate) - 1 AND length(candidate) > 5 AND length(match) >= 5)))"""
+
+
+def text_numbers(x: str) -> str:
+    """Numbers of a text: the labelled reading, then every 5 or 6 digit number, once each in order."""
+    capture_ = r"([A-Za-z0-9.,\-/\\()\[\]{}!|&$%''\" ]{4,15})"
+    labels = [r"(?i)ID[O0]C\s*#\s*:?\s*", r"(?i)IDOC\s*(?:or\s*LE\s*)?#\s*:?\s*", r"(?i)IDOC\s*Number\s*:?\s*"]
+    raw = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract({x}, '{p}{capture_}', 1)), '')" for p in labels) + ", '')"
+    c, r = candidates("raw"), read_digits("raw")
+    labelled = f"(SELECT CASE WHEN raw = '' THEN [] WHEN regexp_full_match(raw, '[0-9]{{4,8}}') THEN [raw] WHEN len({c}) > 0 THEN {c} WHEN ({r}) IS NOT NULL THEN [{r}] ELSE [] END FROM (SELECT {raw} AS raw))"
+    every = rf"list_concat({labelled}, regexp_extract_all({x}, '\b(\d{{5,6}})\b', 1))"
+    return f"(SELECT list_filter(l, lambda v, i: list_position(l, v) = i) FROM (SELECT {every} AS l))"
+
+
+STOPWORDS = "name ame lame current status please check one relationship phone number include area code gender dob idoc doc information lack due needs helps support better reentry success special accommodations for your and id ido idc ob oa ao ht qd fit".split()
+BLOCKED = "inform|ormat|status|relation|phone|number|accommod|support|reentry|success|current|please|check|include|lack|leav|conven|name"
+
+
+def name_values(source: str) -> str:
+    """doc_id, name of rows (doc_id, value): the best run of one to four name-like words, as a subquery."""
+    leaks = r"(?i)\b(?:ne:?|me:?|Age:?|DOB:?|D\.?O\.?B:?|Last\s*\d+\s*digits?\s*(?:of\s*)?(?:SSN)?:?|IDoc#?:?|ID[O0]C#?:?|special\s*accommodations?|of\s*information|Gender:?|Date\s*of\s*Birth:?|Hia\d+)\b.*"
+    v = clean(rf"regexp_replace(trim(regexp_replace(trim(regexp_replace(value, '{leaks}', '')), '[Aa]ge\s*:\s*\d.*$', '')), '[_|]+', ' ', 'g')")
+    stop = "[" + ", ".join(map(lit, STOPWORDS)) + "]"
+    return f"""(WITH t AS (SELECT doc_id, regexp_extract_all({v}, '[A-Za-z][A-Za-z''.-]*') AS ts FROM {source}),
+ w AS (SELECT doc_id, ts, s, w, ts[s : s + w - 1] AS x FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS s FROM t), (SELECT unnest([1, 2, 3, 4]) AS w) WHERE s + w - 1 <= len(ts)),
+ p AS (SELECT *, list_sum(list_transform(x, lambda k: least(length(k), 10) + 3 - CASE WHEN length(k) <= 2 THEN 3 ELSE 0 END - CASE WHEN list_contains({stop}, lower(k)) THEN 6 ELSE 0 END - CASE WHEN regexp_matches(lower(k), '{BLOCKED}') THEN 6 ELSE 0 END))
+  + CASE WHEN w >= 2 THEN 4 ELSE 0 END + CASE WHEN len(list_filter(x, lambda k: list_contains({stop}, lower(k)))) = 0 THEN 2 ELSE 0 END AS points FROM w),
+ b AS (SELECT doc_id, CASE WHEN len(x) > 2 AND length(x[1]) <= 2 THEN x[2:] ELSE x END AS x FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, s, w) = 1),
+ g AS (SELECT doc_id, x, list_filter(range(1, len(x) + 1), lambda i: NOT list_contains({stop}, lower(x[i])) AND NOT regexp_matches(lower(x[i]), '{BLOCKED}')) AS good FROM b),
+ n AS (SELECT doc_id, CASE WHEN len(good) > 0 THEN regexp_replace(array_to_string(x[list_min(good) : list_max(good)], ' '), '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g') ELSE '' END AS name FROM g)
+ SELECT t.doc_id, CASE WHEN length(regexp_replace(coalesce(name, ''), '[^A-Za-z]', '', 'g')) >= 2 THEN name ELSE '' END AS name FROM t LEFT JOIN n USING (doc_id))"""

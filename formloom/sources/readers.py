@@ -20,11 +20,30 @@ def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
 
 
 def files_by_year(spark: SparkSession, folders: dict[int, str], pattern: str = "*.pdf") -> DataFrame:
+    """The files of each year's folder; folders that don't exist have none."""
     out = None
     for year, path in sorted(folders.items()):
+        if not exists(spark, path):
+            continue
         part = files(spark, path, pattern).withColumn("year", F.lit(year))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary, year int")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def crop_files(crops: DataFrame, found: DataFrame) -> DataFrame:
+    """crops (.., path) with content, joined with files; crops without a file, or with an empty one, are left out."""
+    return crops.join(found.where("length > 0").select("path", "content"), "path")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """doc_id, page, text of all pages, blank where there is none: no threshold, unlike ``digital``."""
+    return pages.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def digital(pages: DataFrame, least: int = DIGITAL_CHARS) -> DataFrame:
@@ -50,10 +69,20 @@ def directory_sheet(rows: DataFrame) -> DataFrame:
 
 
 def label_sheet(rows: DataFrame) -> DataFrame:
-    """First and last word of each name, the first row of a label kept."""
-    words = F.regexp_extract_all("name", F.lit(NAME_TOKEN), F.lit(0))
-    label = F.concat_ws(" ", F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(-1)))
-    return rows.select("ord", label.alias("label")).where("label <> ''").groupBy("label").agg(F.min("ord").alias("ord"))
+    """clean, label of rows (ord, name): the first and last word of each name, the first row of a name kept; names in lower case."""
+    name = F.trim("name")
+    words = F.filter(F.split(name, r"(?U)\s+"), lambda x: x != "")
+    label = F.when(F.size(words) >= 2, F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, -1))).otherwise(name)
+    some = rows.where(F.trim(F.coalesce("name", F.lit(""))) != "").select("ord", F.lower(name).alias("clean"), label.alias("label"))
+    return some.groupBy("clean").agg(F.min_by("label", "ord").alias("label"))
+
+
+def sheet_columns(names: Sequence[str]) -> tuple[str | None, str | None, str | None]:
+    """Which columns of a truth sheet hold the name, the number and the flag, by their headers; None without one."""
+    low = {n: n.lower() for n in names}
+    name = next((n for n in names if "name" in low[n]), None)
+    number = next((n for n in names if "number" in low[n] or low[n].strip().endswith("#")), None)
+    return name, number, next((n for n in names if low[n].strip() == "rso"), None)
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -77,13 +106,20 @@ def splits(spark: SparkSession, folder: str, names: Sequence[str] = ("train", "v
 
 
 def template(spark: SparkSession, source: str) -> DataFrame:
-    """Fields of a form template given as JSON; pos keeps their order, option keys true and false read yes and no."""
-    spec = json.loads(source)
+    """Fields of a form template given as JSON or YAML; pos keeps their order, option keys true and false read yes and no."""
+    try:
+        spec = json.loads(source)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("templates in YAML need a YAML parser; give JSON") from e
+        spec = yaml.safe_load(source)
     rows = []
     for pos, f in enumerate(spec["fields"]):
-        named = {{"true": "yes", "false": "no"}.get(k.lower(), k): [float(x) for x in v] for k, v in (f.get("boxes") or {}).items()}
+        named = {{"true": "yes", "false": "no"}.get(str(k).lower(), str(k)): [float(x) for x in v] for k, v in (f.get("boxes") or {}).items()}
         box = [float(x) for x in f["box"]] if f.get("box") else None
-        rows.append((pos, f["key"], f["page"], f["kind"], box, named, float(f.get("threshold", 0.055))))
+        rows.append((pos, f["key"], int(f["page"]), f["kind"], box, named, float(f.get("threshold", 0.055))))
     return spark.createDataFrame(rows, "pos int, key string, page int, kind string, box array<double>, boxes map<string,array<double>>, threshold double")
 
 

@@ -19,21 +19,27 @@ def incremental(spark: SparkSession, source: str, schema: str, plan: Callable[[D
 
 
 def upsert_missing(spark: SparkSession, source: str, schema: str, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Like ``incremental`` for plans with joins or windows: each batch is a plain DataFrame, keys already written are skipped."""
+    """Like ``incremental`` for plans with joins or windows: each batch is a plain DataFrame, keys already written are skipped.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch goes to a folder of its own, which a repeated batch replaces whole, so a crash leaves no half-written keys behind.
+    Only the key column of earlier batches is read.
+    """
+    def write(batch: DataFrame, number: int) -> None:
         rows = plan(batch)
-        try:
-            rows = rows.join(spark.read.parquet(sink).select(key).distinct(), key, "left_anti")
-        except Exception as e:  # the first batch: no sink yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(sink)
+        if _there(spark, sink):
+            earlier = spark.read.option("basePath", sink).parquet(sink).where(F.col("batch") < number)
+            rows = rows.join(earlier.select(key).distinct(), key, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     new = spark.readStream.schema(schema).parquet(source)
     return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _there(spark: SparkSession, sink: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Extension: events by type and tumbling window, with a watermark on a stream. ts: timestamp."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))

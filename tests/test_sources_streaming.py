@@ -17,7 +17,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "a" / "x.pdf").write_bytes(b"%PDF")
     (tmp_path / "y.txt").write_bytes(b"no")
     assert [r["length"] for r in readers.files(spark, str(tmp_path)).collect()] == [4]
-    assert readers.files_by_year(spark, {2025: str(tmp_path / "a")}).first()["year"] == 2025
+    assert [r["year"] for r in readers.files_by_year(spark, {2025: str(tmp_path / "a"), 2026: str(tmp_path / "none")}).collect()] == [2025]
+    assert readers.files_by_year(spark, {2026: str(tmp_path / "none")}).count() == 0
+    (tmp_path / "a" / "empty.pdf").write_bytes(b"")
+    found = readers.files(spark, str(tmp_path))
+    crops = spark.createDataFrame([(r["path"], k) for k, r in enumerate(found.collect())] + [("gone.pdf", 9)], "path string, k int")
+    assert [bytes(r["content"]) for r in readers.crop_files(crops, found).collect()] == [b"%PDF"]
 
 
 def test_csv_and_splits(spark, tmp_path):
@@ -28,7 +33,22 @@ def test_csv_and_splits(spark, tmp_path):
     sinks.split_files(spark.createDataFrame([("i", "train"), ("j", "test"), ("k", "val")], "image string, split string"), str(tmp_path / "s"))
     assert {(r["image"], r["split"]) for r in readers.splits(spark, str(tmp_path / "s")).collect()} == {("i", "train"), ("j", "test"), ("k", "val")}
     manifest = sinks.documents(rows.select("doc_id", "field"), str(tmp_path / "d"))
-    assert manifest.count() == 2 and spark.read.json(str(tmp_path / "d")).count() == 2
+    assert {r["doc_id"] for r in manifest.collect()} == {1, 2} and all((tmp_path / "d" / r["path"].rsplit("/", 1)[1]).exists() for r in manifest.collect())
+    assert spark.read.json(str(tmp_path / "d")).count() == 2
+
+
+def test_reports_and_templates(spark, tmp_path):
+    sinks.report(spark.createDataFrame([("f.pdf", "evaluated", 4)], "source_pdf string, status string, page_count int"), str(tmp_path / "live"), "live")
+    back = readers.csv(spark, str(tmp_path / "live"))
+    assert back.columns == sinks.LAYOUTS["live"] and len(back.columns) == 23 and back.first()["status"] == "evaluated"
+    sinks.manifest(back, str(tmp_path / "m"))
+    sinks.summary(spark.createDataFrame([(3, 0.5)], "n int, rate double"), str(tmp_path / "s"))
+    assert readers.csv(spark, str(tmp_path / "m")).count() == 1 and spark.read.json(str(tmp_path / "s")).first()["rate"] == 0.5
+    as_json = '{"fields": [{"key": "a", "page": 1, "kind": "checkbox_group", "boxes": {"True": [0, 0, 1, 1], "False": [1, 1, 2, 2]}}]}'
+    as_yaml = "fields:\n  - key: a\n    page: 1\n    kind: checkbox_group\n    boxes: {yes: [0, 0, 1, 1], no: [1, 1, 2, 2]}\n"
+    assert readers.template(spark, as_json).collect() == readers.template(spark, as_yaml).collect()
+    assert set(readers.template(spark, as_json).first()["boxes"]) == {"yes", "no"}
+    assert readers.sheet_columns(["Last, First Name", "Supervision #", "RSO"]) == ("Last, First Name", "Supervision #", "RSO") and readers.sheet_columns(["x"]) == (None, None, None)
 
 
 def test_uploads_filter(spark):
@@ -42,6 +62,14 @@ def test_engines(spark):
     assert engines.candidates_or_none(spark, None, None).count() == 0
 
 
+def test_a_path_stands_for_the_model_engine(tmp_path, monkeypatch):
+    monkeypatch.setattr(engines, "_ENGINES", {})
+    engines.register(engines.MODEL_ENGINE, lambda rest: ("engine", rest))
+    assert engines.engine(str(tmp_path)) == ("engine", str(tmp_path)) and engines.engine("trocr:x") == ("engine", "x")
+    with pytest.raises(ValueError, match="unknown name engine"):
+        engines.engine(str(tmp_path / "none"))
+
+
 @pytest.mark.parametrize("run", [incremental, upsert_missing])
 def test_batch_equals_stream(spark, tmp_path, run):
     forms = fixture(spark, FOLDER, "forms").where("doc_id < 60")
@@ -53,7 +81,7 @@ def test_batch_equals_stream(spark, tmp_path, run):
     forms.where("doc_id >= 30").write.mode("append").parquet(source)
     run(*args).awaitTermination()
     run(*args).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     want = plan(forms)
     assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).isEmpty()
 
