@@ -225,15 +225,129 @@ def form_fields_long(s, d):
     return extract.digital_form(fx(s, d, "forms"))
 
 
-@query()
+def _tidy(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'), ' _:-.,')"
+
+
+def _packet_sql() -> str:
+    """The packet's 27 fields, pattern by pattern, in DuckDB's SQL."""
+
+    def got(page: str, pattern: str, flags: str = "i") -> str:
+        return rf"trim(regexp_replace(regexp_extract({page}, '(?{flags}){pattern}', 1), '\s+', ' ', 'g'), ' _:-')"
+
+    def either(*values: str) -> str:
+        return "coalesce(" + ", ".join(f"nullif({v}, '')" for v in values) + ", '')"
+
+    def passing(value: str, pattern: str) -> str:
+        return f"(SELECT CASE WHEN regexp_full_match(v, '{pattern}') THEN v ELSE '' END FROM (SELECT {_tidy(value)} AS v))"
+
+    def day(value: str) -> str:
+        return passing(value, "[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}")
+
+    def unless(value: str, pattern: str) -> str:
+        return f"(SELECT CASE WHEN regexp_matches(v, '(?i){pattern}') THEN '' ELSE v END FROM (SELECT {value} AS v))"
+
+    def first(found: str) -> str:
+        return f"coalesce(list_filter({found}, lambda x: x IS NOT NULL AND x <> '')[1], '')"
+
+    def line_after(anchor: str, ignored: str) -> str:
+        return first(f"list_transform(range(1, len(A) + 1), lambda i: CASE WHEN regexp_matches(A[i], '(?i){anchor}') THEN list_filter(A[i + 1 : i + 4], lambda x: NOT regexp_matches(lower(x), '{ignored}'))[1] END)")
+
+    def yes_no(pages_: str, pattern: str, lines: str, anchor: str) -> str:
+        said = f"(SELECT CASE WHEN lower(v) IN ('yes', 'no') THEN lower(v) ELSE '' END FROM (SELECT regexp_extract({pages_}, '(?is){pattern}', 1) AS v))"
+        window = f"lower(array_to_string({lines}[i : i + 3], ' '))"
+        yes, no = rf"regexp_matches({window}, '\byes\b')", rf"regexp_matches({window}, '\bno\b')"
+        return either(said, first(f"list_transform(range(1, len({lines}) + 1), lambda i: CASE WHEN regexp_matches({lines}[i], '(?i){anchor}') THEN CASE WHEN {yes} AND NOT {no} THEN 'yes' WHEN {no} AND NOT {yes} THEN 'no' END END)"))
+
+    until = r"\s*(?:Name of Case Manager|Will you be on probation|I have completed)"
+    city = either(got("page1", r"preferred city of\s*(.*?)\s*Have you previously", "is"), line_after("preferred city of", "housing|please selecta"))
+    cities = " ".join(f"WHEN contains(lower(v), '{c.lower()}') THEN '{c}'" for c in ("Boise", "Caldwell", "Lewiston", "Twin Falls", "Idaho Falls", "Pocatello"))
+    number = got("page1", r"IDOC\s*or\s*LE\s*#\s*([A-Za-z0-9-]+)")
+    fields = {
+        "applicant.name": ("text", either(rf"trim(regexp_replace(stem, '\s+\d{{1,2}}-\d{{1,2}}-\d{{2}}$', ''))", line_after(r"^name\b", "gender|date of birth"))),
+        "applicant.idoc_or_le_number": ("text", f"CASE WHEN length({o.digits(number)}) >= 4 THEN {o.digits(number)} ELSE '' END"),
+        "applicant.gender": ("text", f"CASE lower(trim({line_after('^gender:?$', 'name|please print clearly|address|physical address')})) WHEN 'male' THEN 'Male' WHEN 'm' THEN 'Male' WHEN 'female' THEN 'Female' WHEN 'f' THEN 'Female' ELSE '' END"),
+        "applicant.date_of_birth": ("text", day(got("page1", r"Date of Birth\s*([0-9/.-]+)"))),
+        "applicant.age": ("text", got("page1", r"Age:?\s*([0-9]{1,3})")),
+        "contacts.phone": ("text", f"(SELECT CASE WHEN length({o.digits('v')}) >= 10 THEN v ELSE '' END FROM (SELECT {_tidy(got('page1', r'Phone(?: Number)?:?\s*([0-9() -]{7,})'))} AS v))"),
+        "contacts.email": ("text", passing(got("page1", r"e-?mail\s*([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")),
+        "contacts.emergency_contact": ("text", got("page1", r"Emergency Contact:?\s*([A-Za-z0-9 .()/-]{6,})\s*Name(?:\s*&\s*Phone| and Phone)?")),
+        "housing.preferred_city": ("text", f"(SELECT CASE {cities} ELSE '' END FROM (SELECT {_tidy(city)} AS v))"),
+        "addictions.drug_of_choice": ("text", unless(_tidy(either(got("page1", r"Drug\(s\) of Choice:?\s*([^\n]+)"), got("page2", r"Alcohol and/or drugs\s*([^\n]+)"))), r"\?")),
+        "addictions.date_of_last_use": ("text", day(either(got("page1", r"Date[- ]of[- ]Last[- ]Use:?\s*([0-9/.-]+)"), got("page2", r"Date of last use\s*([0-9/.-]+)")))),
+        "housing.needed_by": ("text", day(either(got("page1", r"Date Housing Needed:?\s*([^\n]+)"), got("page2", r"Housing needed by\s*([^\n]+)")))),
+        "support.prescribed_medications": ("text", either(got("page1", r"List any medications you are prescribed:?\s*([^\n]+)"), got("page2", r"List any medications\s*([^\n]+)\s*you are prescribed"))),
+        "contacts.case_manager": ("text", unless(either(got("page2", r"Name of Case\s*Manager:?\s*([^\n]+)"), got("page2", r"Name of CaseManager,? if applicable:?\s*([^\n]+)")), "if applicable|name of case")),
+        "supervision.reporting_county": ("text", got("page2", r"Name of Idaho County you will be reporting to:?\s*([^\n]+)")),
+        "supervision.probation_or_parole_officer": ("text", unless(got("page2", r"Probation/Parole Officer(?: Name)?(?:, if known)?:?\s*([^\n]+)"), "name,? ?if known")),
+        "signing.signature_name": ("text", either(got("page2", r"Your Signature \(Type Name\)\s*([^\n]+)"), got("page2", r"Print Name:?\s*([^\n]+)"))),
+        "signing.application_date": ("text", either(day(got("page1", r"Today''s Date:?\s*([0-9/.-]+)")), day(either(got("page2", r"Date\s*([0-9/.-]+)"), got("page3", r"Date\s*([0-9/.-]+)"))))),
+        "criminal.charges": ("multiline_text", got("page2", rf"List all charges:?\s*(.*?){until}", "is")),
+        "criminal.violent_charge_explanation": ("multiline_text", got("page2", rf"violent charges:?\s*(.*?){until}", "is")),
+        "history.previously_resided": ("checkbox_group", yes_no("page1", r"Have you previously\s*(Yes|No)\s*resided at", "A", r"previously\s+resided\s+at")),
+        "history.alcoholic_or_addict": ("checkbox_group", yes_no("page1", r"Are you an\s*(Yes|No)\s*alcoholic/addict", "A", "alcoholic/addict")),
+        "requirements.sex_offender_registration": ("checkbox_group", yes_no("page2", r"register\s*(Yes|No)\s*as a sex offender", "B", r"register\s+as\s+a\s+sex\s+offender")),
+        "employment.currently_employed": ("checkbox_group", yes_no("page2", r"currently\s*(Yes|No)\s*employed", "B", r"currently\s+employed")),
+        "criminal.convicted_misdemeanor_or_felony": ("checkbox_group", yes_no("(page1 || chr(10) || page2)", r"convicted of a\s*(Yes|No)\s*misdemeanor or\s*felony", "C", r"convicted\s+of\s+a\s+misdemeanor\s+or\s+felony")),
+        "criminal.under_influence_during_crime": ("checkbox_group", yes_no("page2", r"influence of\s*(Yes|No)\s*drugs/alcohol", "B", r"under\s+the\s+influence.*crime\s+was\s+committed|where\s+you\s+under\s+the\s+influence")),
+        "supervision.on_probation_or_parole_while_housed": ("checkbox_group", yes_no("page2", r"Will you be on\s*(Yes|No)\s*probation or parole", "B", r"probation\s+or\s+parole\s+while\s+in\s+housing")),
+    }
+    lines = lambda x: f"list_filter(list_transform(string_split(regexp_replace({x}, '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    each = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS field, '{kind}' AS kind, {v} AS value FROM l" for k, (kind, v) in fields.items())
+    return f"WITH l AS (SELECT *, {lines('page1')} AS A, {lines('page2')} AS B, list_concat({lines('page1')}, {lines('page2')}) AS C FROM {{packets}}) SELECT doc_id, field, kind, value, CASE WHEN value = '' THEN 0.0::DOUBLE WHEN kind = 'checkbox_group' THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM ({each})"
+
+
+@query(_packet_sql())
 def packet_fields_long(s, d):
-    # The fixture has one page: it stands for the second, too.
-    return extract.packet_form(fx(s, d, "forms").withColumn("page2", F.col("text")))
+    docs = fx(s, d, "packets").select("doc_id", F.col("page1").alias("text"), "page2", "page3", "stem")
+    return extract.packet_form(docs).select("doc_id", "field", "kind", "value", "confidence")
 
 
-@query()
+def _stated_sql() -> str:
+    """The 17 values that the scanned form's first two pages state themselves, in DuckDB's SQL."""
+
+    def got(page: str, pattern: str, flags: str = "im") -> str:
+        return o.capture(f"regexp_extract({page}, '(?{flags}){pattern}', 1)")
+
+    def between(page: str, start: str, stop: str) -> str:
+        return got(page, rf"{start}\s*(.*?)\s*{stop}", "is")
+
+    at = lambda l, test: f"coalesce(list_position(list_transform({l}, lambda x: {test}), true), 0)"
+    label = r"(?i)^21\.\s*List any prescribed medications you currently take\.\s*"
+    i = at("L", f"regexp_matches(x, '{label}')")
+    after = f"L[{i} + 1 :]"
+    j = at(after, "regexp_matches(x, '^22\\.')")
+    rest = o.capture(f"regexp_replace(L[greatest({i}, 1)], '{label}', '')")
+    block = f"CASE WHEN {j} > 0 THEN ({after})[1 : {j} - 1] ELSE {after} END"
+    values = {
+        "applicant.idoc_number": got("page1", r"IDoc#:\s*([^\n]+)"),
+        "applicant.dob": got("page1", r"DOB:\s*([A-Za-z0-9./-]+)"),
+        "applicant.age": got("page1", r"Age:\s*([0-9.]+)"),
+        "applicant.ssn_last4": got("page1", r"Last 4 digits of SSN:\s*([A-Za-z0-9./-]+)"),
+        "release.tpd_or_needed_date": got("page1", r"housing needed:\s*([^\n]+?)\s+Have you had your Parole Hearing"),
+        "addictions.drug_of_choice": got("page2", r"drug\(s\)of Choice:\s*([^\n]+?)\s*Dateoflastuse"),
+        "signing.application_date": got("page2", r"Date:\s*([0-9./-]+)"),
+        "additional_form.idoc_number": got("page1", r"IDoc#:\s*([^\n]+)"),
+        "contacts.personal_phone": between("page1", r"3\.\s*Personal Phone Number\s*:?", r"4\."),
+        "contacts.emergency_name_relationship": between("page1", r"4\.\s*Emergency Contact Name\s*&\s*Relationship\s*:?", r"5\."),
+        "contacts.emergency_phone": between("page1", r"5\.\s*Emergency Contact Phone Number(?:\s*\(include area code\))?\s*:?", r"6\."),
+        "criminal.most_recent_convictions": between("page1", r"7\.\s*What was your most recent conviction\(s\)\?", r"8\."),
+        "criminal.conviction_county": between("page1", r"8\.\s*What county was the crime committed in\?", r"9\."),
+        "support.prescribed_medications": f"CASE WHEN {i} = 0 THEN '' ELSE {o.capture(f"array_to_string(list_concat(list_filter([{rest}], lambda x: x <> ''), {block}), ' ')")} END",
+        "addictions.date_of_last_use": got("page2", r"Date\s*of\s*last\s*use:?\s*([A-Za-z0-9./-]+)"),
+        "housing.preferred_providers": o.clean("array_to_string(P[1 : greatest(len(P) - 1, 1)], ' ')"),
+        "contacts.case_manager_or_po": "CASE WHEN length(P[-1]) <= 40 THEN P[-1] ELSE '' END",
+    }
+    i27 = at("L", "starts_with(x, '27.')")
+    j28 = at(f"L[{i27} + 1 :]", "starts_with(x, '28.')")
+    each = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS field, {v} AS value FROM p" for k, v in values.items())
+    return f"""WITH l AS (SELECT *, list_filter(list_transform(string_split(page2, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS L FROM {{scanned}}), p AS (SELECT *, CASE WHEN {i27} > 0 AND {j28} > 0 THEN (L[{i27} + 1 :])[1 : {j28} - 1] ELSE [] END AS P FROM l)
+ SELECT doc_id, field, value FROM ({each}) WHERE value <> ''"""
+
+
+@query(_stated_sql())
 def text_overrides(s, d):
-    return extract.text_overrides(fx(s, d, "forms").select("doc_id", F.concat(F.lit("IDoc#: "), "text").alias("text"), F.col("text").alias("page2")))
+    return extract.text_overrides(fx(s, d, "scanned").select("doc_id", F.col("page1").alias("text"), "page2")).select("doc_id", "field", "value")
 
 
 _HINTS = " UNION ALL ".join("SELECT '{}' AS field, {} AS page, '{}' AS anchor".format(*line.split()) for line in o.QUESTIONS.splitlines())

@@ -69,6 +69,20 @@ SQL["outcomes"] = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 10 WHEN 0 TH
  CASE o_orderstatus WHEN 'F' THEN 'green' WHEN 'O' THEN 'yellow' ELSE 'red' END AS verification_status FROM {orders}"""
 SQL["boxes"] = """SELECT l_orderkey AS doc_id, l_partkey AS k, l_tax AS x1, l_discount AS y1, l_tax + l_quantity / 100 AS x2, l_discount + l_quantity / 200 AS y2 FROM {lineitem}"""
 
+SQL["scanned"] = f"""SELECT id AS doc_id, 'IDoc#: ' || number || {_NL} || 'DOB: 1/' || CAST(1 + id % 28 AS STRING) || '/19' || CAST(60 + id % 40 AS STRING) || ' Age: ' || CAST(20 + id % 50 AS STRING) || {_NL} || 'Last 4 digits of SSN: ' || CAST(1000 + id % 9000 AS STRING) || {_NL} ||
+ CASE WHEN id % 3 = 0 THEN 'housing needed: ' || priority || ' Have you had your Parole Hearing' ELSE '' END || {_NL} || '3. Personal Phone Number: 208' || CAST(id AS STRING) || ' 4. Emergency Contact Name & Relationship : ' || first_name || ', aunt' || {_NL} ||
+ '5. Emergency Contact Phone Number (include area code) 209' || CAST(id AS STRING) || {_NL} || '6. x' || {_NL} || '7. What was your most recent conviction(s)? theft,' || {_NL} || ' fraud 8. What county was the crime committed in? ' || CASE WHEN id % 4 = 0 THEN 'Ada' ELSE '' END || ' 9. y' AS page1,
+ CASE WHEN id % 2 = 0 THEN 'drug(s)of Choice: ' || last_name || ' Dateoflastuse: 3/4/20' || CAST(10 + id % 10 AS STRING) ELSE 'Date of last use 1-2-2019' END || {_NL} || '21. List any prescribed medications you currently take. ' || CASE WHEN id % 3 = 0 THEN '' ELSE first_name END || {_NL} || 'and iron' || {_NL} || '22. z' || {_NL} ||
+ CASE WHEN id % 5 = 0 THEN '' ELSE '27. Providers' || {_NL} || 'House ' || first_name || {_NL} || CASE WHEN id % 5 = 1 THEN '' ELSE 'Bob ' || last_name || {_NL} END || '28. w' END || {_NL} || 'Date: ' || CAST(1 + id % 12 AS STRING) || '/8/2025' AS page2 FROM {{people}}"""
+SQL["packets"] = f"""SELECT id AS doc_id, CASE WHEN id % 4 = 0 THEN '' ELSE first_name || ' ' || last_name || ' 3-4-25' END AS stem,
+ 'Today''s Date: ' || CASE WHEN id % 6 = 0 THEN 'none' ELSE '0' || CAST(1 + id % 9 AS STRING) || '/03/2025' END || {_NL} || 'IDOC or LE # ' || number || {_NL} || 'Name' || {_NL} || first_name || ' ' || last_name || {_NL} || 'Gender:' || {_NL} || 'Address' || {_NL} ||
+ CASE id % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'f' ELSE 'x' END || {_NL} || 'Date of Birth 1/2/19' || CAST(50 + id % 50 AS STRING) || '.' || {_NL} || 'Age: ' || CAST(10 + id % 100 AS STRING) || {_NL} || 'Phone Number: ' || CASE WHEN id % 2 = 0 THEN '(208) 555-1234' ELSE '555-1234' END || {_NL} || 'E-mail ' || last_name || '@example.org' || {_NL} ||
+ 'Emergency Contact: Jane Roe 208 555 ' || CAST(1000 + id % 9000 AS STRING) || {_NL} || 'Name & Phone' || {_NL} || 'preferred city of' || {_NL} || CASE id % 5 WHEN 0 THEN 'twin falls' WHEN 1 THEN 'housing: BOISE' ELSE 'elsewhere' END || {_NL} || 'Have you previously' || {_NL} || CASE WHEN id % 2 = 0 THEN 'No' ELSE 'Yes' END || {_NL} || 'resided at the house' || {_NL} ||
+ 'Are you an ' || CASE WHEN id % 3 = 0 THEN 'Yes' ELSE '' END || ' alcoholic/addict' || {_NL} || 'Drug(s) of Choice: _' || CASE WHEN id % 7 = 0 THEN 'which?' ELSE last_name END || '_' || {_NL} || 'Date of Last Use: 3-4-20' || CAST(10 + id % 10 AS STRING) || {_NL} || CASE WHEN id % 2 = 0 THEN 'Date Housing Needed: 5/6/2025' ELSE '' END || {_NL} || 'List any medications you are prescribed: ' || priority AS page1,
+ 'register ' || CASE WHEN id % 3 = 0 THEN 'Yes' ELSE 'No' END || ' as a sex offender' || {_NL} || 'Are you currently employed?' || {_NL} || CASE WHEN id % 4 = 0 THEN 'no' WHEN id % 4 = 1 THEN 'yes and no' ELSE 'filler' END || {_NL} || 'filler' || {_NL} || 'filler' || {_NL} || 'convicted of a Yes misdemeanor or' || {_NL} || 'felony' || {_NL} || 'where you under the influence' || {_NL} || CASE WHEN id % 2 = 0 THEN 'yes' ELSE 'no' END || {_NL} || 'filler' || {_NL} || 'filler' || {_NL} ||
+ 'Will you be on No probation or parole' || {_NL} || 'Housing needed by 7/8/2025' || {_NL} || 'List all charges: theft' || {_NL} || 'fraud ' || number || {_NL} || 'violent charges: none at all' || {_NL} || 'Name of Case Manager: ' || CASE WHEN id % 5 = 0 THEN 'x, if applicable' ELSE first_name END || {_NL} || 'Name of Idaho County you will be reporting to: Ada' || {_NL} || 'Probation/Parole Officer Name, if known: ' || last_name || {_NL} ||
+ CASE WHEN id % 2 = 0 THEN 'Your Signature (Type Name) ' ELSE 'Print Name: ' END || first_name AS page2, 'Date 1/' || CAST(1 + id % 28 AS STRING) || '/2025' AS page3 FROM {{people}}"""
+
 
 def expand(sql: str, leaf: str = "{%s}") -> str:
     """Fixture names in braces as subqueries; tables stay as ``leaf`` has them."""
