@@ -8,7 +8,11 @@ size of an Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLAB = 1 << 20
+BATCH_BYTES = 4 << 20
+_MMAP_THRESHOLD = -3  # of mallopt
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -115,6 +122,53 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Arrow binary array of the bytes of each row of a matrix of 8-byte numbers."""
+    flat = np.ascontiguousarray(rows)
+    offsets = np.arange(len(flat) + 1, dtype=np.int32) * (8 * flat.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The inverse of ``binaries``: rows of ``width`` 8-byte numbers."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros((0, width), dtype=np.uint64)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(-1, width)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The map, with memory that it has freed given back at once (large arrays) and when a task ends: workers outlive their tasks."""
+
+    def libc(call: str, *args: int) -> None:
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            getattr(ctypes.CDLL("libc.so.6"), call)(*args)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc("mallopt", _MMAP_THRESHOLD, 4 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            libc("malloc_trim", 0)
+
+    return mapped
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_BYTES, as a few thousand rows of very long texts would be gigabytes.
+
+    The limit is a setting of the session, which is lowered where it is higher.
+    """
+    conf = df.sparkSession.conf
+    if not re.fullmatch("[0-9]+b?", now := conf.get(_BATCH)) or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(released(run), schema)
+
+
 def collected(df: DataFrame) -> dict[str, np.ndarray]:
     """A DataFrame of numbers on the driver, as one array for each column.
 
@@ -126,5 +180,5 @@ def collected(df: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for i in range(len(names))], names=names)
 
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(pack, ", ".join(f"{c} binary" for c in names)).collect()
+    rows = mapped(df.select(*(F.col(c).cast("double").alias(c) for c in names)), pack, ", ".join(f"{c} binary" for c in names)).collect()
     return {c: np.frombuffer(b"".join(bytes(r[c]) for r in rows), dtype=np.float64) for c in names}
