@@ -4,40 +4,51 @@ A passage is repeated if ``LENGTH`` words or more of it also stand, in the same
 document. Words are runs of letters, digits and non-ASCII characters of the lower-cased text.
 
 1. *Sample.* Suffixes are kept at minimiser positions only: the least hash of ``PREFIX``-word grams
-   in every run of LENGTH - PREFIX + 1 grams. The choice depends on content alone, so two equal
-   passages of LENGTH words keep a suffix at the same place in both (about 1 suffix in 13).
-2. *Sort and compare.* Sampled suffixes are brought together by the hash of their first PREFIX words;
-   those with no equal neighbour from another document are dropped.
-3. *Extend.* From each suffix that is left, the match is extended to the left and to the right: every
-   window of LENGTH words that covers the anchor is compared with those of the other documents, and
-   windows found in two documents or more are merged to maximal spans.
-
-Documents of equal word sequences form one class first (64-bit digest), which is extended once; a class
-of several documents repeats as a whole. No pair of documents is ever formed, so a passage in n
-documents costs n rows; counting is pre-aggregated before it shuffles.
+   in every run of LENGTH - PREFIX + 1 grams, the first of them if several are least. The choice
+   depends on content alone, so two equal passages of LENGTH words keep a suffix at the same place
+   in both (about 1 suffix in 13). Suffixes whose PREFIX-word gram no other document has are dropped.
+2. *Sort and compare neighbours.* The suffixes left, with ``PREFIX`` words before and ``LENGTH`` words
+   after their position, are sorted over the cluster by their words; so long equal passages are split
+   over range partitions by what follows them, before them, and by document. Each suffix is compared
+   with its neighbours from other documents on both sides: the common prefix is the longest with any
+   document. A second order, by the words before the position within an equal gram, gives the longest
+   common part to the left.
+3. *Extend.* From each pair of neighbours the match is extended to the left and to the right; from
+   LENGTH words on it is a span in the document.
+4. *Rest.* A suffix isn't settled if its longest parts to the left and to the right come from different
+   neighbours and their spans leave a gap, or if a neighbour is in another partition. All suffixes of
+   such grams are compared by the windows of LENGTH words that cover them, so no passage is lost.
+
+Documents of equal word sequences form one class first (128-bit digest), which is extended once; a
+class of several documents repeats as a whole. No pair of documents is ever formed, so a passage in n
+documents costs n rows. Keys with many rows are joined where the rows are.
 
 Defined results: null, empty and short texts (under LENGTH words) repeat nothing; repeated rows are
-copies of each other; a repeat within one document alone doesn't count; documents without a
-repeated passage are not returned; further columns are ignored.
+copies of each other; a repeat within one document alone doesn't count, however long the text;
+documents without a repeated passage are not returned, so an empty table gives an empty one; rows
+with a null doc_id are documents like others; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordspans as ws
-from .components import checkpointed
-from .jaccard_join import by_ids
+from .tables import Scratch, identified, join_by, repeats, texts_of, written
 
 LENGTH = 50
 PREFIX = 25
+#: Places that a window of LENGTH words can start before its minimiser.
+REACH = LENGTH - PREFIX
 _SEEN = 1 << 20
-_BASE = 0xD6E8FEB86659FD93
+_SLICE = 10_000
+_SPAN = "struct<start:int,end:int>"
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -53,7 +64,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes of the PREFIX-word grams) of the sampled suffixes of one text."""
     g = grams(h, PREFIX)
-    width = LENGTH - PREFIX + 1
+    width = REACH + 1
     if len(g) < width:
         return np.zeros(0, np.int64), g[:0]
     windows = np.lib.stride_tricks.sliding_window_view(g, width)
@@ -71,12 +82,8 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
             yield h[first[i] : first[i + 1]]
 
 
-def _digest(h: np.ndarray) -> int:
-    return int(grams(h, len(h)).view(np.int64)[0])
-
-
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for batch in batches:
         sizes, digests, places, keys = [], [], [], []
         for h in _texts(batch.column("text")):
@@ -84,7 +91,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, key = np.zeros(0, np.int64), np.zeros(0, np.uint64)
             digest = None
             if len(h) >= LENGTH:
-                digest = _digest(h)
+                digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                 if digest not in seen:  # a copy in the same task adds nothing
                     at, key = minimisers(h)
                 if len(seen) >= _SEEN:
@@ -96,28 +103,171 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sizes:
             ends = np.cumsum([0, *map(len, places)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), ws.lists(np.concatenate(places), ends, pa.int32()), ws.lists(np.concatenate(keys).view(np.int64), ends, pa.int64())],
-                names=["doc_id", "n_words", "class", "places", "keys"],
+                [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), ws.lists(np.concatenate(places), ends, pa.int32()), ws.lists(np.concatenate(keys).view(np.int64), ends, pa.int64())],
+                names=["doc_id", "h", "n_words", "class", "places", "keys"],
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of LENGTH words that cover an anchor."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words before (the nearest first) and after each anchor, as hashes; zeros beyond the text."""
     for batch in batches:
+        anchors = batch.column("anchors")
         for k, h in enumerate(_texts(batch.column("text"))):
-            g = grams(h, LENGTH)
-            anchors = np.array(batch.column("anchors")[k].as_py(), dtype=np.int64)
-            cover = np.zeros(len(g) + 1, dtype=np.int64)
-            np.add.at(cover, np.clip(anchors - (LENGTH - PREFIX), 0, len(g)), 1)
-            np.add.at(cover, np.clip(anchors + 1, 0, len(g)), -1)
-            start = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-            n = len(start)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("class")[k].as_py()), pa.int64()), pa.array(start, pa.int32()), pa.array(g[start].view(np.int64))], names=["class", "start", "window"])
+            padded = np.concatenate([np.zeros(REACH, np.uint64), h, np.zeros(LENGTH, np.uint64)])
+            gram = grams(h, PREFIX)
+            every = np.array(anchors[k].as_py(), dtype=np.int64)
+            for x in range(0, len(every), _SLICE):
+                at = every[x : x + _SLICE]
+                left = padded[at[:, None] + (REACH - 1 - np.arange(REACH))]
+                right = padded[at[:, None] + (REACH + np.arange(LENGTH))]
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column("class")[k].as_py()] * n, pa.binary()),
+                        pa.array(at, pa.int32()),
+                        pa.array(gram[at].view(np.int64)),
+                        ws.binaries(left),
+                        ws.binaries(right),
+                        pa.array(np.minimum(at, REACH), pa.int32()),
+                        pa.array(np.minimum(len(h) - at, LENGTH), pa.int32()),
+                    ],
+                    names=["class", "place", "gram", "left", "right", "n_left", "n_right"],
+                )
+
+
+def _bits(least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Numbers with the bits least..most set; 0 where most is smaller."""
+    one = np.int64(1)
+    return np.where(most >= least, (one << (np.maximum(most, 0) + 1)) - (one << np.maximum(least, 0)), 0)
+
+
+def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of rows, at most ``most``."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
+
+
+class Suffixes:
+    """Sorted suffixes: rows as arrays."""
+
+    NAMES = ("class", "place", "gram", "left", "right", "n_left", "n_right")
 
+    def __init__(self, columns: dict[str, np.ndarray]):
+        self.c = columns
+        self.n = len(columns["place"])
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that stand in two classes or more; partial sums first, so a hot key is a few rows a task."""
-    return rows.groupBy(key).agg(F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x <> _y").select(key)
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Suffixes:
+        wide = {"class": 2, "left": REACH, "right": LENGTH}
+        return cls({k: ws.matrix(batch.column(k), wide[k]) if k in wide else batch.column(k).to_numpy(zero_copy_only=False) for k in cls.NAMES})
+
+    def part(self, a: int, b: int) -> Suffixes:
+        return Suffixes({k: v[a:b] for k, v in self.c.items()})
+
+    def __add__(self, other: Suffixes) -> Suffixes:
+        return Suffixes({k: np.concatenate([v, other.c[k]]) for k, v in self.c.items()})
+
+    def runs(self) -> np.ndarray:
+        """Where runs of one class begin."""
+        x = self.c["class"]
+        return np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])[: self.n])
+
+    def match(self, at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words equal to the left, to the right) of rows and their partners; none where the gram isn't equal."""
+        c = self.c
+        right = _common(c["right"][at], c["right"][other], np.minimum(c["n_right"][at], c["n_right"][other]))
+        left = _common(c["left"][at], c["left"][other], np.minimum(c["n_left"][at], c["n_left"][other]))
+        same = right >= PREFIX
+        return np.where(same, left, 0).astype(np.int64), np.where(same, right, 0).astype(np.int64)
+
+    def settled(self, a: int, b: int) -> pa.RecordBatch:
+        """What rows a..b have in common with the nearest rows of another class; unknown where there is none in sight."""
+        start = self.runs()
+        run = np.searchsorted(start, np.arange(a, b), "right") - 1
+        before = start[run] - 1
+        after = np.append(start, self.n)[run + 1]
+        at = np.arange(a, b)
+        mask, most_left, most_right = (np.zeros(b - a, np.int64) for _ in range(3))
+        known = np.ones(b - a, bool)
+        for other, there in ((before, before >= 0), (after, after < self.n)):
+            left, right = self.match(at, np.clip(other, 0, self.n - 1))
+            left, right = np.where(there, left, 0), np.where(there, right, 0)
+            mask |= np.where(left + right >= LENGTH, _bits(LENGTH - right, left), 0)
+            most_left, most_right = np.maximum(most_left, left), np.maximum(most_right, right)
+            known &= there
+        own = _bits(LENGTH - self.c["n_right"][a:b].astype(np.int64), self.c["n_left"][a:b].astype(np.int64))
+        possible = np.where(known, _bits(LENGTH - most_right, most_left), own)
+        x = self.c["class"][a:b]
+        return pa.RecordBatch.from_arrays(
+            [ws.binaries(x), pa.array(self.c["place"][a:b], pa.int32()), pa.array(self.c["gram"][a:b]), pa.array(mask), pa.array(most_left), pa.array(most_right), pa.array(own), pa.array(known)],
+            names=["class", "place", "gram", "mask", "most_left", "most_right", "own", "known"],
+        ) if len(possible) else pa.RecordBatch.from_pylist([], schema=_SETTLED)
+
+
+_SETTLED = pa.schema([("class", pa.binary()), ("place", pa.int32()), ("gram", pa.int64()), ("mask", pa.int64()), ("most_left", pa.int64()), ("most_right", pa.int64()), ("own", pa.int64()), ("known", pa.bool_())])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares each row of a sorted partition with the nearest rows of other classes before and after it."""
+    held, done = None, 0  # rows from the last of the run before the last run on; so many of them are settled
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = Suffixes.of(batch)
+        rows = held + new if held is not None else new
+        last = int(rows.runs()[-1])
+        if last > done:
+            yield rows.settled(done, last)
+        keep = max(0, last - 1)
+        held, done = rows.part(keep, rows.n), last - keep
+    if held is not None:
+        yield held.settled(done, held.n)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 128-bit digests of all windows of LENGTH words that cover an anchor."""
+    for batch in batches:
+        for x in range(0, batch.num_rows, _SLICE):
+            part = Suffixes.of(batch.slice(x, _SLICE))
+            c = part.c
+            words = np.concatenate([c["left"][:, ::-1], c["right"]], axis=1)
+            names, starts, digests = [], [], []
+            for back in range(REACH + 1):
+                good = np.flatnonzero((c["n_left"] >= back) & (c["n_right"] >= LENGTH - back))
+                window = np.ascontiguousarray(words[good, REACH - back : REACH - back + LENGTH])
+                names.append(c["class"][good])
+                starts.append(c["place"][good] - back)
+                digests += [hashlib.blake2b(w, digest_size=16).digest() for w in window]
+            yield pa.RecordBatch.from_arrays([ws.binaries(np.concatenate(names)), pa.array(np.concatenate(starts), pa.int32()), pa.array(digests, pa.binary())], names=["class", "start", "window"])
+
+
+def _sharing(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Rows of keys that stand in two classes or more."""
+    meets = scratch.write(rows.groupBy(key).agg(F.min("class").alias("_x"), F.max("class").alias("_y"), F.count("*").alias("n")).where("_x <> _y").select(key, "n"))
+    return join_by(rows, meets, key, how="left_semi")
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans joined where they touch."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")).cast(_SPAN)))
+        return F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{_SPAN}>"), step)
+
+
+def _spans(mask: Column, place: Column) -> Column:
+    """Spans of the windows that start so many places before the anchor as the mask has bits set."""
+
+    def span(first: Column, last: Column) -> Column:
+        return F.struct((place - first).cast("int").alias("start"), (place - last + LENGTH).cast("int").alias("end")).cast(_SPAN)
+
+    bits = F.transform(F.array(*(F.lit(i) for i in range(REACH + 1))), lambda i: F.when(F.getbit(mask, i) == 1, i))
+    bits = F.array_compact(bits)
+    whole = F.array_max(bits) - F.array_min(bits) + 1 == F.size(bits)
+    return F.when(whole, F.array(span(F.array_max(bits), F.array_min(bits)))).otherwise(F.transform(bits, lambda i: span(i, i)))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -127,26 +277,40 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = checkpointed(docs.mapInArrow(_sample, f"doc_id {kind}, n_words long, class long, places array<int>, keys array<long>"))
-    classes = checkpointed(base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n_words"), F.count("*").alias("n_copies")))
+    base = written(ws.mapped(identified(docs), _sample, f"doc_id {kind}, h long, n_words long, class binary, places array<int>, keys array<long>"))
+    scratch = Scratch()
+    classes = scratch.write(base.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.max("n_words").alias("n_words"), F.count("*").alias("n_copies")))
     suffixes = base.select("class", F.explode(F.arrays_zip("places", "keys")).alias("s")).select("class", F.col("s.places").alias("place"), F.col("s.keys").alias("key"))
-    found = suffixes.join(_shared(suffixes, "key"), "key", "left_semi")
-    anchors = checkpointed(found.groupBy("class").agg(F.collect_set("place").alias("anchors")).join(classes.select("class", "rep"), "class").where("rep is not null"))
-    texts = by_ids(docs, anchors.select("rep").distinct(), "left_semi")
-    meet = texts.select("doc_id", "text").join(anchors, F.col("doc_id") == F.col("rep")).select("class", "text", "anchors")
-    windows = checkpointed(meet.mapInArrow(_windows, "class long, start int, window long"))
-    hits = windows.join(_shared(windows, "window"), "window", "left_semi")
-    starts = hits.groupBy("class").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    span = "struct<start:int,end:int>"
-
-    def merge(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), (s + LENGTH).alias("end")).cast(span)))
-        new = F.concat(acc, F.array(F.struct(s.alias("start"), (s + LENGTH).alias("end")).cast(span)))
-        return F.when((F.size(acc) > 0) & (s <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(new)
+    anchors = _sharing(suffixes, "key", scratch).groupBy("class").agg(F.collect_set("place").alias("anchors"))
+    anchors = scratch.write(anchors.join(classes.select("class", "rep.*"), "class"))
+
+    # The sparse suffix array, in two orders.
+    texts = texts_of(docs, anchors, repeats(base))
+    met = texts.alias("t").join(anchors.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.h") == F.col("a.h")))
+    met = met.select("class", "text", F.sort_array("anchors").alias("anchors"))
+    contexts = scratch.write(ws.mapped(met, _contexts, "class binary, place int, gram long, left binary, right binary, n_left int, n_right int"))
+    settled = "class binary, place int, gram long, mask long, most_left long, most_right long, own long, known boolean"
+
+    def compared(*order: str) -> DataFrame:
+        return ws.mapped(contexts.repartitionByRange(*map(F.expr, order)).sortWithinPartitions(*map(F.expr, order)), _neighbours, settled)
+
+    both = compared("right", "left", "class", "place").unionByName(compared(f"substring(right, 1, {8 * PREFIX})", "left", "right", "class", "place"))
+    found = both.groupBy("class", "place").agg(F.first("gram").alias("gram"), F.bit_or("mask").alias("mask"), F.max("most_left").alias("l"), F.max("most_right").alias("r"), F.first("own").alias("own"), F.bool_and("known").alias("known"))
+    # Windows that could still be equal to another's: as far as the longest parts reach, or all where a neighbour isn't known.
+    reached = F.expr(f"if(l + r >= {LENGTH}, shiftleft(1L, cast(l as int) + 1) - shiftleft(1L, cast(greatest({LENGTH} - r, 0L) as int)), 0L)")
+    found = scratch.write(found.withColumn("open", F.when(F.col("known"), reached).otherwise(F.col("own")).bitwiseAND(F.bitwise_not("mask")) != 0))
+    hits = found.where("mask <> 0").select("class", _spans(F.col("mask"), F.col("place")).alias("spans"))
+
+    # What isn't settled is compared window by window.
+    rest = scratch.write(found.where("open").groupBy("gram").agg(F.count("*").alias("k")).join(found.groupBy("gram").agg(F.count("*").alias("n")), "gram").select("gram", "n"))
+    if not rest.isEmpty():
+        windows = scratch.write(ws.mapped(join_by(contexts, rest, "gram", how="left_semi"), _windows, "class binary, start int, window binary"))
+        one = F.struct(F.col("start"), (F.col("start") + LENGTH).alias("end")).cast(_SPAN)
+        hits = hits.unionByName(_sharing(windows, "window", scratch).select("class", F.array(one).alias("spans")))
+    spans = hits.groupBy("class").agg(merged(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
-    spans = starts.select("class", F.aggregate("starts", F.array().cast(f"array<{span}>"), merge).alias("spans"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")).cast(span))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")).cast(_SPAN))
     out = classes.join(spans, "class", "left").withColumn("spans", F.when(F.col("n_copies") > 1, whole).otherwise(F.col("spans"))).where("spans is not null")
-    out = out.select("class", "n_copies", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"]).alias("n_repeated"))
-    return base.select("doc_id", "n_words", "class").join(out, "class").select("doc_id", "n_words", "n_repeated", "n_copies", "spans")
+    out = written(out.select("class", "n_copies", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"]).alias("n_repeated")))
+    scratch.clear()
+    return join_by(base.select("doc_id", "n_words", "class"), out, "class", "n_copies").select("doc_id", "n_words", "n_repeated", "n_copies", "spans")
