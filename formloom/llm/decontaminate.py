@@ -12,27 +12,32 @@ found in them). Over the rest the task builds
 All windows of the benchmark are searched backwards at once; their occurrences are located by
 walking to the next sampled position; spans that touch are merged into removal spans.
 
-Everything is one narrow map: no shuffle. The benchmark goes to the executors in blocks of at most
-``BLOCK_WORDS`` words (a proven bound); a larger benchmark is applied block after block, each to the
-whole text: spans are merged over the blocks and cut once, so results don't depend on the blocks.
-
-Defined results: a null or empty text has no words and no hits; an item without words has no
-window; repeated rows are scored one by one; an empty benchmark finds nothing; further columns of
-the inputs are ignored, whatever their names. Null item ids are left out.
+Everything is one narrow map: no shuffle. The benchmark's texts go to the executors in blocks of at
+most ``BLOCK_WORDS`` words (a proven bound), and a task makes a block's windows itself; a larger
+benchmark is applied block after block, each to the whole text, with a table written in between, so
+that the driver and a task hold one block at a time: spans are merged over the blocks and cut once,
+so results don't depend on the blocks.
+
+Defined results: a null or empty text has no words and no hits; texts of any length are taken whole;
+an item without words has no window; items may share windows, and each is found; item ids are of any
+type, null ones are left out; repeated rows are scored one by one; an empty benchmark finds nothing
+and empty documents give an empty table; further columns of the inputs are ignored by ``contamination``
+and carried by ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordspans as ws
 from .columns import carrying
+from .tables import written
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -43,27 +48,30 @@ SAMPLE = 4
 class Patterns:
     """Windows of benchmark items over a vocabulary of word hashes; ids start at 1, 0 separates."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        texts = pa.array([t or "" for _, t in items], pa.string())
+    def __init__(self, names: list[str], texts: list[str], window: int = WINDOW):
         hashes: list[np.ndarray] = []
-        for a, b, data, offsets in ws.slabs(texts):
+        for a, b, data, offsets in ws.slabs(pa.array(texts, pa.string())):
             data = ws.LOWER[data]
             s, e, first = ws.words(data, offsets, ws.ALNUM)
             h = ws.word_hashes(data, s, e)
             hashes += [h[first[i] : first[i + 1]] for i in range(b - a)]
-        self.vocabulary = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
-        seen: dict[tuple[int, ...], set[int]] = {}
-        for (item, _), h in zip(items, hashes, strict=True):
-            ids = (np.searchsorted(self.vocabulary, h) + 1).tolist()
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                seen.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.windows = np.zeros((len(seen), window), dtype=np.int64)
-        self.sizes = np.array([len(w) for w in seen], dtype=np.int64)
-        for i, w in enumerate(seen):
-            self.windows[i, : len(w)] = w
-        self.item_of = np.array([x for v in seen.values() for x in sorted(v)], dtype=np.int64)
-        self.item_at = np.cumsum([0, *(len(v) for v in seen.values())])
-        self.shortest = int(self.sizes.min()) if len(seen) else 0
+        self.names = names
+        sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+        flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        self.vocabulary = np.unique(flat)
+        ids = np.concatenate([np.searchsorted(self.vocabulary, flat) + 1, np.zeros(window, np.int64)]).astype(np.int32)
+        # Every place where a window starts, its item and its size; words beyond a short item's end are 0.
+        many = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+        item = np.repeat(np.arange(len(sizes)), many)
+        inside = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        start = np.repeat(np.cumsum(sizes) - sizes, many) + inside
+        rows = np.where(np.arange(window)[None, :] < sizes[item][:, None], ids[start[:, None] + np.arange(window)], 0).astype(np.int32)
+        self.windows, of = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        self.sizes = (self.windows > 0).sum(axis=1).astype(np.int64)
+        pairs = np.unique(np.stack([of.ravel().astype(np.int64), item], axis=1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.item_of = pairs[:, 1]
+        self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
         self._known = np.zeros(1 << 16, dtype=bool)
         self._known[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -77,6 +85,24 @@ class Patterns:
         return out
 
 
+class Block:
+    """Items of the benchmark as they are sent; a worker makes their patterns once."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.texts: list[str] = []
+        self._patterns: Patterns | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_patterns": None}
+
+    @property
+    def patterns(self) -> Patterns:
+        if self._patterns is None:
+            self._patterns = Patterns(self.names, self.texts)
+        return self._patterns
+
+
 class WaveletMatrix:
     """Rank of a symbol in a prefix, vectorised over many questions."""
 
@@ -155,7 +181,7 @@ class FMIndex:
         for back in range(1, windows.shape[1] + 1):
             live = np.flatnonzero((sizes >= back) & (low < high))
             if len(live):
-                c = windows[live, sizes[live] - back]
+                c = windows[live, sizes[live] - back].astype(np.int64)
                 low[live] = self.before[c] + self.wavelet.rank(c, low[live])
                 high[live] = self.before[c] + self.wavelet.rank(c, high[live])
         return low, np.maximum(low, high)
@@ -207,7 +233,7 @@ def occurrences(ids: np.ndarray, first: np.ndarray, p: Patterns) -> tuple[np.nda
 
 
 def shard_hits(ids: np.ndarray, first: np.ndarray, p: Patterns):
-    """(hit per word, documents and item ids of the distinct pairs that occur), documents by number."""
+    """(hit per word, documents and items of the distinct pairs that occur), both by number."""
     window, at = occurrences(ids, first, p)
     step = np.bincount(at, minlength=len(ids) + 1) - np.bincount(at + p.sizes[window], minlength=len(ids) + 1)
     hit = np.cumsum(step[:-1]) > 0
@@ -219,18 +245,18 @@ def shard_hits(ids: np.ndarray, first: np.ndarray, p: Patterns):
     return hit, np.repeat(doc, many), p.item_of[flat]
 
 
-def _scan(p: Patterns, cut: bool):
-    """The map over Arrow batches. Columns: row fields as they come, text, items, spans.
+def _scan(sent: Broadcast, cut: bool):
+    """The map over Arrow batches; sent: a block of items. Columns: row fields as they come, text, items, spans.
 
     With ``cut`` the merged spans, of this block and those before, are taken out of the text: for the last block.
     """
 
-    def finish(held: list, ids: list[np.ndarray], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    def finish(p: Patterns, held: list, ids: list[np.ndarray], sizes: list[int]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         hit, doc, item = shard_hits(np.concatenate([*ids, np.zeros(0, np.int32)]), first, p)
-        found: dict[int, set[int]] = {}
+        found: dict[int, set[str]] = {}
         for d, i in zip(doc.tolist(), item.tolist(), strict=True):
-            found.setdefault(d, set()).add(i)
+            found.setdefault(d, set()).add(p.names[i])
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
         runs_a, runs_b = edges[::2], edges[1::2]
         base = 0
@@ -262,10 +288,11 @@ def _scan(p: Patterns, cut: bool):
                     text = b"".join([*out, raw[last:]]).decode()
                 cleaned.append(text)
             base += n
-            new = {"text": pa.array(cleaned, pa.string()), "items": pa.array(items, pa.list_(pa.int64())), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+            new = {"text": pa.array(cleaned, pa.string()), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value.patterns
         held, ids, sizes, total = [], [], [], 0
         for batch in batches:
             for a, b, data, offsets in ws.slabs(batch.column("text")):
@@ -277,56 +304,58 @@ def _scan(p: Patterns, cut: bool):
                 held.append((batch.slice(a, b - a), s - low if cut else None, e - low if cut else None, first))
                 total += len(s)
                 if total >= SHARD_WORDS:
-                    yield from finish(held, ids, sizes)
+                    yield from finish(p, held, ids, sizes)
                     held, ids, sizes, total = [], [], [], 0
         if held:
-            yield from finish(held, ids, sizes)
+            yield from finish(p, held, ids, sizes)
 
     return scan
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most BLOCK_WORDS words, or one item."""
-    block, size = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator():
+def _blocks(benchmark: DataFrame) -> Iterator[Block]:
+    """Items in blocks of at most BLOCK_WORDS words, or one item; one block is in memory at a time."""
+    block, size = Block(), 0
+    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").toLocalIterator():
         n = len(text) // 2 + 1
-        if block and size + n > BLOCK_WORDS:
+        if block.names and size + n > BLOCK_WORDS:
             yield block
-            block, size = [], 0
-        block.append((item, text))
+            block, size = Block(), 0
+        block.names.append(item)
+        block.texts.append(text)
         size += n
     yield block
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> DataFrame:
-    """``docs`` plus n_words, items (ids of the items found) and spans (merged removal spans, in words).
+    """``docs`` plus n_words, items (ids of the items found, as text) and spans (merged removal spans, in words).
 
     With ``cut`` the spans' text, from the first to the last byte of its words, is taken out of ``text``;
     spans tell the words of the text as it came. All blocks read the uncut text, the last one cuts.
     """
     fields = [f for f in docs.schema.fields if f.name not in ("items", "spans", "n_words")]
     out = docs.select(*(F.col(f"`{f.name}`") for f in fields))
-    empty = "cast(array() as array<bigint>) as items", "cast(array() as array<struct<start:int,end:int>>) as spans", "0L as n_words"
+    empty = "cast(array() as array<string>) as items", "cast(array() as array<struct<start:int,end:int>>) as spans", "0L as n_words"
     out = out.selectExpr("*", *empty)
+    context, schema = docs.sparkSession.sparkContext, out.schema
     blocks = _blocks(benchmark)
     block = next(blocks)
     while block is not None:
-        following = next(blocks, None)
-        out = out.mapInArrow(_scan(Patterns(block), cut and following is None), out.schema)
-        block = following
+        sent = context.broadcast(block)  # at most BLOCK_WORDS words
+        block = next(blocks, None)
+        out = ws.mapped(out, _scan(sent, cut and block is None), schema)
+        if block is not None:
+            # A task, and the driver, hold one block's tables at a time.
+            out = written(out)
+            sent.destroy()
     return out
 
 
-def _items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the removal spans of each document."""
     found = scan_documents(docs.select("doc_id", "text"), benchmark)
-    text_ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(text_ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
+    digest = F.sha2(F.array_join(F.sort_array("items"), ","), 256)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
 @carrying
