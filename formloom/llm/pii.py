@@ -6,20 +6,26 @@ loops, and look-behinds that only let a match start where a run starts or the la
 Offsets (code points) come from the lengths of the matches and of the pieces between them.
 
 The values found are the protected entities. Over the whole corpus, for each entity e and each term
-t (a word of four letters or more) within ``REACH`` characters of an occurrence of e,
+t (a word of ``LETTERS`` letters or more) within ``REACH`` characters of an occurrence of e, the
+context that the method counts in,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 - log(n(t) / n(t, e)) / log(N / n(e))
 
 estimates how strongly t reveals e: n(t, e) counts the occurrences of t in contexts of e, n(e) the
-contexts of e, n(t) all occurrences of t and N all text positions, copies included in each. Terms
-that at least ``SUPPORT`` contexts hold and a disclosure of ``REMOVE`` or more are removed, from
-``GENERALISE`` on they are generalised, within reach of that entity. Base spans always stay.
+contexts of e, n(t) all occurrences of t and N all text positions, copies included in each. Of terms
+that at least ``SUPPORT`` contexts hold (one context tells nothing about the rate at which two words
+occur together: every word of it that is rare would count) those of a disclosure of ``REMOVE`` or
+more are removed, and from ``GENERALISE`` on they are generalised, within reach of that entity: to
+the kind of word that they are by their letters, a name, an acronym or a word. Base spans always stay.
 
 Shuffled are entity contexts, and counts of candidate terms; texts are read in place. Hot entities
-are pre-aggregated (distinct contexts and how often they occur) before they meet.
+are pre-aggregated (distinct contexts and how often they occur) before they meet, and the places of a
+hot entity's terms are found where its contexts lie.
 
-Defined results: null text is empty; repeated rows get the same spans; a null doc_id is a value of
-its own; further columns are carried by ``sanitise`` and ignored by ``find``.
+Defined results: null text is empty; texts of any length are searched whole; repeated rows get the same
+spans; a null doc_id is a value of its own; of spans that overlap, a term's gives way to base ones, and
+of base ones the first, then the longer, is replaced (counts and spans list all); an empty table gives
+an empty one; further columns are carried by ``sanitise`` and ignored by ``find``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import carrying
-from .components import checkpointed
+from .tables import join_by, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Each finds what the contract's pattern finds; \G stands for the end of the last match.
@@ -43,7 +49,9 @@ PATTERNS = {
 }
 #: A text without this can't match.
 NEEDS = {"email": "@", "ip": ".", "card": "0|1|2|3|4|5|6|7|8|9", "phone": "+"}
-TERM = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?![\p{L}\p{N}])"
+#: Single letters, and numbers, are no terms.
+LETTERS = 2
+TERM = rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{LETTERS},}}+(?![\p{{L}}\p{{N}}])"
 REACH = 80
 SUPPORT = 2
 REMOVE, GENERALISE = 0.9, 0.75
@@ -149,7 +157,7 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     each = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.array_position("terms", t) == i + 1).alias("first")))
     pairs = terms.select("entity", "m", F.explode(each).alias("t")).groupBy("entity", F.col("t.term").alias("term"))
     pairs = pairs.agg(F.sum("m").alias("n_te"), F.sum(F.when(F.col("t.first"), F.col("m"))).alias("held")).where(F.col("held") >= SUPPORT).drop("held")
-    pairs = checkpointed(pairs)
+    pairs = written(pairs)
     entities = distinct.groupBy("entity").agg(F.sum("m").alias("n_e"))
     wanted = pairs.select("term").distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -160,19 +168,25 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     total = docs.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
     ratio = 1 - F.log(F.greatest("n_t", "n_te") / F.col("n_te")) / F.log(F.greatest(F.lit(float(total)) / F.col("n_e"), F.lit(2.0)))
     out = pairs.join(entities, "entity").join(counts, "term").withColumn("disclosure", ratio)
-    return out.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    return out.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure", "n_te")
+
+
+def generalised(term: Column) -> Column:
+    """The kind of word that stands for a term."""
+    return F.when(term.rlike(r"^\p{Lu}{2,}$"), "[ACRONYM]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
 
 
 def _term_spans(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """_key, _term: the spans of disclosing terms of each document that has any, sorted; value: how it is replaced."""
-    revealing = disclosing_terms(docs, contexts)
+    pair = F.struct("entity", "term").alias("pair")
+    revealing = written(disclosing_terms(docs, contexts).select(pair, F.col("disclosure").alias("d"), F.col("n_te").alias("n")))
     spots = contexts.select("_key", "entity", "at", F.explode(spans_of(F.col("context"), TERM)).alias("s"), F.col("start").alias("e_start"), F.col("end").alias("e_end"))
-    spots = spots.select("_key", "entity", F.lower("s.value").alias("term"), (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"), "e_start", "e_end")
+    spots = spots.select("_key", "entity", F.lower("s.value").alias("term"), "s.value", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"), "e_start", "e_end")
     # The entity's own letters are covered by its base span.
-    spots = spots.where((F.col("end") <= F.col("e_start")) | (F.col("start") >= F.col("e_end")))
-    hit = spots.join(revealing, ["entity", "term"]).groupBy("_key", "start", "end").agg(F.max("disclosure").alias("d"))
-    one = F.struct("start", "end", F.when(F.col("d") >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("value")).cast(SPAN)
-    return checkpointed(hit.groupBy("_key").agg(F.sort_array(F.collect_list(one)).alias("_term")))
+    spots = spots.where((F.col("end") <= F.col("e_start")) | (F.col("start") >= F.col("e_end"))).select("_key", pair, "value", "start", "end")
+    hit = join_by(spots, revealing, "pair").groupBy("_key", "start", "end").agg(F.max("d").alias("d"), F.first("value").alias("value"))
+    one = F.struct("start", "end", F.when(F.col("d") >= REMOVE, F.lit("")).otherwise(generalised(F.col("value"))).alias("value")).cast(SPAN)
+    return written(hit.groupBy("_key").agg(F.sort_array(F.collect_list(one)).alias("_term")))
 
 
 def _joined(found: DataFrame, term_spans: DataFrame) -> DataFrame:
@@ -191,7 +205,7 @@ def find(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = _with_base(docs)
     occurrences = F.size(F.concat(*(F.col(f"_{k}") for k in PATTERNS)))
-    contexts = checkpointed(_contexts(found.where(occurrences > 0)))
+    contexts = written(_contexts(found.where(occurrences > 0)))
     found = _joined(found.select("doc_id", "_key", *(f"_{k}" for k in PATTERNS)), _term_spans(docs, contexts))
 
     def text(kinds: tuple[str, ...]) -> Column:
@@ -206,7 +220,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by its kind, and disclosing terms generalised or removed; n_chars is made to fit."""
     found = _with_base(docs)
     occurrences = F.size(F.concat(*(F.col(f"_{k}") for k in PATTERNS)))
-    contexts = checkpointed(_contexts(found.where(occurrences > 0)))
+    contexts = written(_contexts(found.where(occurrences > 0)))
     found = _joined(found, _term_spans(docs.select("doc_id", "text"), contexts))
     marked = [F.transform(f"_{k}", _mark(k)) for k in PATTERNS]
     spans = F.sort_array(F.concat(*marked, F.col("_term")))
