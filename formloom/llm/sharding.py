@@ -9,12 +9,15 @@ the child whose weight changed and its siblings: movement stays within the subtr
 added later opens a region of its own, with the weight of one shard. Hence the law ``key``: doc_id
 and the number of shards decide, and one more shard takes rows only into itself.
 
-Slots are dealt without putting a shard into one task: rows are numbered within (shard, bucket), for
-``BUCKETS`` hash buckets of the key, and a table of shards x buckets counts, of a fixed size, gives
-each bucket's first slot.
+Slots are dealt without putting a shard into one task: rows alike in key, size and crc are counted
+first and take slots that follow one another; these counts are added up within (shard, bucket), for
+``BUCKETS`` hash buckets of key, size and crc, and a table of shards x buckets counts, of a fixed size,
+gives each bucket's first slot. So neither a key with a third of all rows nor a shard is one task.
 
 Defined results: equal keys (repeated rows too) share a shard and get slots of their own; a null doc_id
-is the key "null"; a null text has 16 bytes and the crc of no bytes; further columns are ignored.
+is the key "null"; a null text has 16 bytes and the crc of no bytes; texts of any length count whole;
+equal draws go to the child that comes first; an empty table gives an empty one; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import written
+
 SHARDS = 40
 RACKS, RACK = 2, 5
-BUCKETS = 64
+BUCKETS = 256
 OVERHEAD = 16
 
 
@@ -80,17 +85,20 @@ def descend(key: Column, node: Node) -> Column:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    place = {"shard": descend(name, tree(shards)), "_bucket": F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int")}
-    # Counts need the key only, so this pass reads one column.
-    counts = docs.select("doc_id").withColumns(place).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long")
+    alike = ["doc_id", "size", "text_crc32"]
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")).groupBy(*alike).agg(F.count("*").alias("_n"))
+    of_bucket = F.md5(F.concat_ws("/", name, "size", "text_crc32").cast("binary"))
+    place = {"shard": descend(name, tree(shards)), "grown_shard": descend(name, tree(shards + 1)), "_bucket": F.pmod(F.conv(F.substring(of_bucket, 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int")}
+    rows = written(rows.withColumns(place))
+    counts = rows.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_all"))
     before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select(F.col("shard").alias("_shard"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    rows = rows.withColumns(place | {"grown_shard": descend(name, tree(shards + 1))})
-    order = W.partitionBy("shard", "_bucket").orderBy("doc_id", "size", "text_crc32")
+    first = counts.select(F.col("shard").alias("_shard"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_first"))
+    earlier = W.partitionBy("shard", "_bucket").orderBy(*alike).rowsBetween(W.unboundedPreceding, -1)
     # shards x BUCKETS rows: a bounded broadcast.
-    out = rows.withColumn("_slot", F.row_number().over(order) - 1).join(F.broadcast(first), (F.col("shard") == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_slot")).cast("long").alias("slot"), "grown_shard")
+    out = rows.withColumn("_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(F.broadcast(first), (F.col("shard") == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
+    from_slot = F.col("_first") + F.col("_slot")
+    return out.select(*alike, F.lit("key").alias("law"), "shard", F.explode(F.sequence(from_slot, from_slot + F.col("_n") - 1)).alias("slot"), "grown_shard")
 
 
 def _sql(node: Node) -> str:
@@ -115,6 +123,6 @@ d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(strlen(tex
       list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
 c AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, t.crc[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, t),
 s AS (SELECT doc_id, size::BIGINT AS size, text_crc32, {_sql(tree(shards))}::INT AS shard, {_sql(tree(shards + 1))}::INT AS grown_shard,
-      (('0x' || substr(md5(k), 1, 8))::BIGINT % {BUCKETS})::INT AS b FROM c)
+      (('0x' || substr(md5(k || '/' || size || '/' || text_crc32), 1, 8))::BIGINT % {BUCKETS})::INT AS b FROM c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY b, doc_id, size, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM s
 """
