@@ -17,17 +17,18 @@ gives every chunk its entry state, and the heads are then run from there. A docu
 difference of the prefix sums of emitted counts at its ends.
 
 One narrow map, no shuffle; each worker keeps a transducer of at most ``STATES`` states, and starts
-afresh beyond that. Defined results: a null text is empty; repeated rows are counted one by one;
-further columns are ignored. Special tokens' strings in a text count one token each, as the file
+afresh beyond that. Defined results: a null text is empty; texts of any length are counted whole; repeated rows are counted one by one;
+an empty table gives an empty one; further columns are ignored, whatever their names. Special tokens' strings in a text count one token each, as the file
 says; nothing is added, cut or padded.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordspans as ws
+
 CHUNK = 256
 STATES = 120_000
 _BITS = 18
@@ -54,6 +57,25 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
+def normaliser(spec: dict | None) -> Callable[[str], str]:
+    """The file's normaliser as a function."""
+    kind = spec["type"] if spec else None
+    if kind is None:
+        return lambda text: text
+    if kind == "Sequence":
+        steps = [normaliser(x) for x in spec["normalizers"]]
+        return lambda text: functools.reduce(lambda t, f: f(t), steps, text)
+    if kind in ("NFC", "NFD", "NFKC", "NFKD"):
+        return functools.partial(unicodedata.normalize, kind)
+    if kind == "Lowercase":
+        # Character by character: no final sigma.
+        return lambda text: text.replace("Σ", "σ").lower()
+    if kind == "Replace":
+        pattern = regex.compile(spec["pattern"]["Regex"] if "Regex" in spec["pattern"] else regex.escape(spec["pattern"]["String"]))
+        return lambda text: pattern.sub(lambda _: spec["content"], text)
+    raise ValueError(f"normaliser {kind} isn't supported")
+
+
 class Transducer:
     """Lazily compiled transducer of a tokenizer file."""
 
@@ -89,8 +111,12 @@ class Transducer:
         tokens = [parsed(t) for t in model["vocab"] if all(c in back for c in t.removesuffix(suffix))]
         self.begins = {t[:k] for t, _ in tokens for k in range(1, len(t))}
         self.finals = {t for t, last in tokens if last}
-        special = sorted((t["content"] for t in spec["added_tokens"] if t["special"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        added = spec["added_tokens"]
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take part in the normalisation, or the space around them, aren't supported")
+        self.added = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
+        self.normalise = normaliser(spec["normalizer"])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.findall = regex.compile(split["pattern"]["Regex"]).findall
         self.column = np.full(256, -1, dtype=np.int64)  # of the table, for each byte seen
@@ -102,7 +128,7 @@ class Transducer:
         self.state_of, self.tails = {b"": 0}, [b""]
         self.encoded: dict[bytes, list[int]] = {b"": []}
         self.next = np.full((1024, 1 << self.shift), -1, dtype=np.int32)
-        self.count = np.zeros((1024, 1 << self.shift), dtype=np.uint8)
+        self.count = np.zeros((1024, 1 << self.shift), dtype=np.uint16)
 
     def columns_of(self, stream: np.ndarray) -> np.ndarray:
         """Table columns of the stream's bytes."""
@@ -171,7 +197,7 @@ class Transducer:
     def run(self, chunks: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(exit states, counts by position) of chunks of table columns (one row each), side by side."""
         state, columns = entry.astype(np.int64), np.ascontiguousarray(chunks.T)
-        out = np.zeros(columns.shape, dtype=np.uint8)
+        out = np.zeros(columns.shape, dtype=np.uint16)
         for j in range(columns.shape[0]):
             at = state << self.shift | columns[j]
             to = self.next.reshape(-1)[at]
@@ -214,14 +240,12 @@ class Transducer:
     def words(self, text: str) -> tuple[list[str], int]:
         """Words of the normalised text, and the number of special tokens in it."""
         parts, specials = [text], 0
-        if self.special is not None and "<|" in text:
+        if self.special is not None and any(t in text for t in self.added):
             parts = self.special.split(text)
             specials = len(parts) - 1
         out: list[str] = []
         for part in parts:
-            # Lower case is taken character by character: no final sigma.
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            out += self.findall(part)
+            out += self.findall(self.normalise(part))
         return out, specials
 
     def count_texts(self, texts: list[str]) -> np.ndarray:
@@ -268,4 +292,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.concatenate(counts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return ws.mapped(rows, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
