@@ -12,7 +12,9 @@ still takes n log n steps. Encoded pieces are kept in a bounded dictionary per P
 
 A plain narrow map: no shuffle; ranks are read on each executor from the vocabulary file that the
 ``path`` parameter names. Defined results: null text is encoded as the empty text (0 tokens);
-repeated rows are encoded one by one; further columns are ignored.
+texts and pieces of any length are encoded whole; of pairs of equal rank the leftmost is merged first;
+repeated rows are encoded one by one; an empty table gives an empty one; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import wordspans as ws
+
 WIDE = 64
-KEEP = 150_000
+KEEP = 60_000
 SLAB_CHARS = 1 << 20
 _NONE = np.int64(1) << np.int64(60)
 _NONE32 = np.int32((1 << 31) - 1)
@@ -259,4 +263,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
                 row += len(slab)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return ws.mapped(docs.select("doc_id", "text"), run, schema)

@@ -23,8 +23,10 @@ Target ids go to the executors while there are at most ``BROADCAST_IDS``, else d
 labels by a shuffle.
 
 Defined results: null and empty texts have no tokens and score 0, as does everything if no document
-is marked; repeated rows count and are scored one by one; labels that are null count as 0; null ids
-are background; further columns are ignored.
+is marked; texts of any length are counted and scored whole; every word and bigram counts, so there
+are no ties to break; repeated rows count and are scored one by one; of ids with several labels one
+that is good marks them; labels that are null count as 0; null ids are background; an empty table of
+documents gives an empty one; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ def count_words(marked: DataFrame) -> DataFrame:
                     keys, counts, size = [k], [c], len(k)
         yield packed(*_summed(keys, counts))
 
-    return marked.select("text", "target").mapInArrow(run, "word long, target long, n long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("n").alias("n"))
+    return ws.mapped(marked.select("text", "target"), run, "word long, target long, n long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("n").alias("n"))
 
 
 class Chunk:
