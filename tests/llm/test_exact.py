@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import itertools
+import math
+import random
 import re
 import zlib
 
@@ -15,7 +17,8 @@ import tokenizers
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from formloom.llm import bpe, components, decontaminate, jaccard_join, pii, quality, sharding, suffix_dedup, token_counts
+from formloom.llm import bpe, components, decontaminate, jaccard_join, pii, quality, sharding, suffix_dedup, tables, token_counts
+from formloom.llm import wordspans as ws
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BPE = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
@@ -66,6 +69,15 @@ def test_decontamination(docs, clashing, none, corpus, bench, block, monkeypatch
         assert "tie" not in text[507] and text[5] == dict(corpus)[5] and text[500] is None
 
 
+def test_items_of_any_id(spark, docs, bench):
+    named = bench.withColumn("item_id", F.concat(F.lit("item "), F.col("item_id").cast("string"))).withColumn("spans", F.lit(1))
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, named).where("doc_id is not null").collect()}
+    assert got == {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, bench).where("doc_id is not null").collect()}
+    items = [(None, "one two"), ("a", "one two"), ("b", "one two")]
+    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert {r["items_sha256"] for r in found.where("doc_id = 504").collect()} == {hashlib.sha256(b"a,b").hexdigest()}
+
+
 def test_cut_text_is_the_same_for_all_block_sizes(spark, docs, bench, monkeypatch):
     """Windows of items in different blocks overlap, and words meet that only a cut brings together."""
     w = [f"w{k}" for k in range(40)]
@@ -125,6 +137,14 @@ def test_token_counts(clashing, none, corpus):
     assert t.count_texts(hard).tolist() == [len(ref.encode(x, add_special_tokens=False).ids) for x in hard]
 
 
+def test_normalisers():
+    spec = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Replace", "pattern": {"String": "."}, "content": "\\1"}, {"type": "Lowercase"}]}
+    f = token_counts.normaliser(spec)
+    assert f("E\u0301A \t\nB.ΟΔΟΣ") == "éa b\\1οδοσ" and token_counts.normaliser(None)(" A") == " A"
+    with pytest.raises(ValueError):
+        token_counts.normaliser({"type": "Precompiled"})
+
+
 def brute_components(corpus):
     sets = []
     for i, t in corpus:
@@ -158,7 +178,38 @@ def test_jaccard_join(docs, clashing, none, corpus):
     assert ids == sorted({c for i, n, c in want if n and c is not None} | {i for i, n, _ in want if not n and i is not None})
 
 
-def test_near_copies_of_one_text_stay_linked(spark):
+def test_keep_one_loses_no_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c + " more"), (None, a), (None, b + " more"), (None, "only here and nowhere else"), (11, None), (11, None), (None, ""), (12, c), (12, c)]
+    got = collections.Counter(tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    words = [(i, t) for (i, t), n in got.items() for _ in range(n) if t]
+    # Of each component one row, that of its smallest id; of rows equal in id, the text's hash decides.
+    assert sorted(i is None for i, _ in words) == [False, False, False, True]
+    assert (3, a) in got and (7, b) in got and ((9, c) in got) != ((9, c + " more") in got) and (None, "only here and nowhere else") in got
+    assert got[11, None] == 2 and got[None, ""] == 1 and sum(got.values()) == 7
+
+
+def test_null_ids_bridge_a_component(spark):
+    w = [f"w{k}" for k in range(200)]
+    far = ["x0", "x1"]
+    rows = [(5, " ".join(w)), (None, " ".join([*far, *w[2:]])), (8, " ".join([*far, *w[2:190], *(f"y{k}" for k in range(7)), *w[197:]]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard_join.link_components(d)) == sorted(brute_components(rows), key=lambda r: tuple((x is not None, str(type(x)), str(x)) for x in r))
+    assert {r["component_id"] for r in jaccard_join.link_components(d).collect()} == {5}
+
+
+def test_hot_keys_are_joined_in_place(spark, monkeypatch):
+    monkeypatch.setattr(tables, "HOT_SHARE", 3)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (None, 4), (4, 1)) for i in range(n)], "key long, v long")
+    table = spark.createDataFrame([(1, "a", 50), (2, "b", 3), (3, "c", 0)], "key long, name string, n long")
+    for how in ("inner", "left", "left_semi"):
+        got, want = tables.join_by(rows, table, "key", how=how), rows.join(table, "key", how)
+        assert got.columns == want.columns and rows_of(got) == rows_of(want)
+
+
+@pytest.mark.parametrize("sampled", [16, 1])
+def test_near_copies_of_one_text_stay_linked(spark, sampled, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_SAMPLE", sampled)  # with all classes in the sample most blocks are hot
     rng = np.random.default_rng(4)
     base = [f"w{x}" for x in rng.integers(0, 10**6, 160)]
     rows = []
@@ -226,6 +277,43 @@ def test_repeated_passages(clashing, none, corpus):
     assert suffix_dedup.repeated_passages(none).count() == 0
 
 
+def test_repeated_passages_of_hot_groups(spark, monkeypatch):
+    """A passage in most documents with other words around it, parts of it, ids that are null, and a repeat in one text only."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{k}" for k in range(70)]
+
+    def own(i, n):
+        return [f"d{i}_{k}" for k in range(n)]
+
+    rows = [(None if i % 3 == 0 else i, " ".join([*own(i, int(rng.integers(0, 40))), *passage, *own(i + 1000, int(rng.integers(0, 40)))])) for i in range(60)]
+    rows += [(100 + i, " ".join([*own(2000 + i, 9), *passage[int(rng.integers(0, 30)) : int(rng.integers(40, 71))], *own(3000 + i, 9)])) for i in range(60)]
+    # Left and right parts from different documents, and a third that has some of both.
+    x = [f"x{k}" for k in range(90)]
+    rows += [(300, " ".join(x)), (301, " ".join([*own(1, 5), *x[:55], *own(2, 30)])), (302, " ".join([*own(3, 30), *x[30:], *own(4, 5)])), (303, " ".join([*own(5, 12), *x[14:71], *own(6, 12)]))]
+    rows += [(400, " ".join([f"twice{k}" for k in range(60)] * 2)), (401, "tie " * 3000), (402, "tie " * 2000 + "end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for share, hot in ((1000, False), (3, True)):
+        monkeypatch.setattr(tables, "HOT_SHARE", share)
+        got = suffix_dedup.repeated_passages(d)
+        assert rows_of(got.drop("spans")) == brute_repeats(rows), hot
+        assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_repeated"] for r in got.collect())
+
+
+def test_neighbours_in_batches(monkeypatch):
+    """The same verdict however the sorted rows are cut into batches."""
+    rng = np.random.default_rng(9)
+    n = 300
+    right = np.sort(rng.integers(0, 2, (n, suffix_dedup.LENGTH)), axis=0).astype(np.uint64)
+    right = right[np.lexsort(right.T[::-1])]
+    left = rng.integers(0, 2, (n, suffix_dedup.REACH)).astype(np.uint64)
+    names = np.repeat(rng.integers(0, 5, n // 3), 3).astype(np.uint64)[:, None] * np.ones((1, 2), np.uint64)
+    ints = lambda v: pa.array(np.full(n, v), pa.int32())
+    batch = pa.RecordBatch.from_arrays([ws.binaries(names), pa.array(np.arange(n), pa.int32()), pa.array(np.zeros(n, np.int64)), ws.binaries(left), ws.binaries(right), ints(suffix_dedup.REACH), ints(suffix_dedup.LENGTH)], names=list(suffix_dedup.Suffixes.NAMES))
+    got = [pa.Table.from_batches(suffix_dedup._neighbours(batch.slice(i, size) for i in range(0, n, size))).to_pylist() for size in (n, 7, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == n and [r["place"] for r in got[0]] == list(range(n))
+    assert any(r["mask"] for r in got[0]) and sum(not r["known"] for r in got[0]) < n // 3
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -277,6 +365,56 @@ def test_disclosing_terms_are_found(spark):
     assert "Zanzibarov" not in text[0] and "[EMAIL]" in text[0] and text[50] == rows[6][1]
 
 
+def brute_terms(rows):
+    """Spans of disclosing terms, by counting contexts one by one; ASCII texts with emails only."""
+    term, contexts, n_e, n_te, held = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])"), [], collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in rows:
+        for m in re.finditer(BASE["email"], t):
+            a, b = max(0, m.start() - pii.REACH), min(len(t), m.end() + pii.REACH)
+            while a > 0 and a < len(t) and t[a].isalnum() and t[a - 1].isalnum():
+                a += 1
+            if a == max(0, m.start() - pii.REACH) and a > 0 and t[a].isalnum():
+                while t[a].isalnum():
+                    a += 1
+            while b < len(t) and t[b - 1].isalnum():
+                b -= 1
+            found = [(x[0].lower(), a + x.start(), a + x.end()) for x in term.finditer(t[a:b])]
+            e = m[0].lower()
+            n_e[e] += 1
+            n_te.update((w, e) for w, _, _ in found)
+            held.update({(w, e) for w, _, _ in found})
+            contexts.append((i, e, m.start(), m.end(), found))
+    n_t = collections.Counter(w for _, t in rows for w in re.findall("[a-z0-9]+", t.lower()))
+    total, out = sum(len(t) for _, t in rows), collections.defaultdict(set)
+    for i, e, start, end, found in contexts:
+        for w, a, b in found:
+            if held[w, e] >= pii.SUPPORT and 1 - math.log(max(n_t[w], n_te[w, e]) / n_te[w, e]) / math.log(max(total / n_e[e], 2)) >= pii.GENERALISE and (b <= start or a >= end):
+                out[i].add(f"term:{a}:{b}")
+    return out
+
+
+def test_disclosure_against_counting(spark):
+    rng = random.Random(5)
+    common = [a + b for a in "ba de fo gi lu ma no re".split() for b in "l n r s t".split()]
+    people = [f"{a}{b} {a}.{b}@corp{k % 3}.org" for k, (a, b) in enumerate(itertools.product("Anna Bob Cy Di".split(), "Orr Li Zanzibarov".split()))]
+    rows = []
+    for i in range(400):
+        w = [rng.choice(common) for _ in range(rng.randint(3, 60))]
+        for _ in range(rng.randint(0, 3)):
+            w.insert(rng.randint(0, len(w)), rng.choice(people))
+        rows.append((i, " ".join(w)))
+    want = brute_terms(rows)
+    got = {r["doc_id"]: {x for x in r["spans"].split(",") if x.startswith("term")} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    base = {i: [tuple(map(int, x.split(":")[1:])) for x in base_spans(t)] for i, t in rows}
+    free = {i: {x for x in want[i] if not any(int(x.split(":")[1]) < b and int(x.split(":")[2]) > a for a, b in base[i])} for i, _ in rows}
+    assert got == free and sum(map(len, got.values())) > 100
+
+
+def test_terms_are_generalised_to_their_kind(spark):
+    d = spark.createDataFrame([("Smith",), ("FBI",), ("blue",), ("Émile",)], "t string")
+    assert [r[0] for r in d.select(pii.generalised(F.col("t"))).collect()] == ["[NAME]", "[ACRONYM]", "[WORD]", "[NAME]"]
+
+
 def test_disclosing_terms_of_copies_are_found(spark):
     """Copies count in all counts or in none: terms that occur only beside their entity stay disclosing."""
     filler = "common words only " * 40
@@ -314,7 +452,15 @@ def test_quality(clashing, none, corpus):
     order = list(quality.rules())
     verdicts = [rows_of(quality.measured(clashing).select("doc_id", quality.cascade(quality.rules(), o).isNull())) for o in (order, order[::-1])]
     assert verdicts[0] == verdicts[1]
-    assert quality.ordered({"slow": (2.0, 0.5), "fast": (0.1, 0.2), "never": (0.1, 0.0)}) == ["fast", "slow", "never"]
+
+
+def test_rules_are_ordered_by_what_earlier_ones_leave(spark, none):
+    sets = {frozenset(): 50, frozenset({"wide"}): 10, frozenset({"wide", "same"}): 30, frozenset({"own"}): 10}
+    cost = {"never": 0.1, "same": 1.0, "own": 1.0, "wide": 1.0}
+    # "same" rejects more rows than "own", but none that "wide" leaves.
+    assert quality.ordered(quality.Estimate(cost, sets)) == ["wide", "own", "never", "same"]
+    assert quality.ordered(quality.Estimate(cost | {"own": 0.1}, sets)) == ["own", "wide", "never", "same"]
+    assert quality.ordered(quality.estimate(quality.measured(none), quality.rules())) == list(quality.rules())
 
 
 def test_sharding(clashing, none, corpus):
@@ -330,6 +476,17 @@ def test_sharding(clashing, none, corpus):
     assert sharding.shard(none).count() == 0
 
 
+def test_slots_of_a_hot_key(spark):
+    """Rows alike, and rows of one key (null), take slots of their own without gaps."""
+    rows = [(None, f"text {i % 50}") for i in range(3000)] + [(1, "same")] * 2000 + [(i, None) for i in range(500)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert collections.Counter((r["doc_id"], r["text_crc32"]) for r in got) == collections.Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+
+
 def test_sharding_growth_and_balance(spark):
     keys = spark.range(20000).select(F.col("id").cast("string").alias("k"))
     many = keys.select(*(sharding.descend(F.col("k"), sharding.tree(n)).alias(f"s{n}") for n in (40, 41, 42))).collect()
@@ -340,8 +497,6 @@ def test_sharding_growth_and_balance(spark):
 
 
 def test_slabs_and_words_cross_no_text():
-    from formloom.llm import wordspans as ws
-
     texts = pa.array(["ab", None, "", "cd ef", "g"])
     got = []
     for a, b, data, offsets in ws.slabs(texts, 3):

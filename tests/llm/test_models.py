@@ -1,15 +1,20 @@
 """Trained models: held-out accuracy and defined results; the pipeline against brute force."""
 
 import collections
+import hashlib
 import math
+import random
 import re
 
 import duckdb
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 
 import corpus_pipeline
-from formloom.llm import lm_score, queries, toxicity
+from formloom.llm import bpe, lm_score, queries, toxicity
 from formloom.llm.quality import ORACLE_SQL
 
 FOLDER = "/root/testdata/sf0.1"
@@ -19,9 +24,55 @@ def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     toxic = got["toxic"] == 1
-    # About 3,000 labels; with 16,000 (check_s) held-out accuracy is 1.0.
-    assert ((got["predicted"] == 1) == toxic).mean() > 0.94
-    assert (got["predicted"][toxic] == 1).mean() > 0.6
+    right, recall = ((got["predicted"] == 1) == toxic).mean(), (got["predicted"][toxic] == 1).mean()
+    # About 3,000 labels in four languages, 350 of them toxic; check_s has 16,000.
+    assert right > 0.96 and recall > 0.72, (right, recall)
+
+
+def test_toxicity_features_against_counting():
+    texts = ["Toxic toxic ox", None, "", "ab", "é toxé", "plain " * 50]
+    want = []
+    for t in texts:
+        raw = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode()
+        n = collections.Counter(raw[i : i + k] for k in toxicity.SIZES for i in range(len(raw) - k + 1))
+        want.append({int.from_bytes(g, "big") | (len(g) - min(toxicity.SIZES)) << 40: c / n.total() for g, c in n.items()})
+    got = [{} for _ in texts]
+    for a, _, row, key, share in toxicity.shares(pa.array(texts, pa.string())):
+        for r, k, x in zip(row.tolist(), key.tolist(), share.tolist(), strict=True):
+            got[a + r][k] = x
+    assert [{k: round(x, 12) for k, x in g.items()} for g in got] == [{k: round(x, 12) for k, x in w.items()} for w in want]
+    keys = np.array(sorted({k for w in want for k in w})[::2])
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(-0.5, keys, rng.normal(size=len(keys)), rng.normal(size=len(keys)))
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    asked = np.array([k for w in want for k in w] + [5, 1 << 41])
+    assert model.places(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+    for w, s in zip(want, model.scores(pa.array(texts, pa.string())), strict=True):
+        x = {place[k]: v * model.ratio[place[k]] for k, v in w.items() if k in place}
+        z = -0.5 + sum(v * model.weight[i] for i, v in x.items()) / max(1e-12, math.sqrt(sum(v * v for v in x.values())))
+        assert abs(s - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_logistic_fit_finds_the_optimum():
+    """The fit's loss against that of plain gradient descent carried to its end."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 6)) * (rng.random((200, 6)) < 0.7)
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+    y = (rng.random(200) < 1 / (1 + np.exp(-(x @ np.array([3, -2, 1, 0, 0.5, -1])) * 2))).astype(float)
+
+    def loss(bias, w):
+        z = bias + x @ w
+        return np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z)
+
+    bias, w = 0.0, np.zeros(6)
+    for _ in range(20_000):
+        e = (1 / (1 + np.exp(-(bias + x @ w))) - y) / 200
+        bias, w = bias - 2 * e.sum(), w - 2 * (x.T @ e)
+    blocks = []
+    for a in range(0, 200, 50):
+        r, c = np.nonzero(x[a : a + 50])
+        blocks.append((y[a : a + 50], np.searchsorted(r, np.arange(51)), c.astype(np.int32), x[a : a + 50][r, c]))
+    assert loss(*toxicity.fit(blocks, 6)) < loss(bias, w) + 0.01
 
 
 def test_toxicity_odd_cases(spark, clashing, none):
@@ -117,5 +168,54 @@ def test_pipeline(spark, stages):
             docs.write.mode("overwrite").parquet(f"{stages}/stage{k}")
             docs = spark.read.parquet(f"{stages}/stage{k}")
     assert rows_of(docs.drop("ids")) == rows_of(corpus_pipeline.run(spark, stages).drop("ids"))
-    ids = [r["doc_id"] for r in docs.collect() if r["doc_id"] is not None]
-    assert len(ids) == len(set(ids)) and 507 in ids
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over toxic texts, near copies, benchmark passages and personal data, and what is left by plain Python."""
+    rng = random.Random(8)
+    word = [a + b + c for a in "bdfglmnprst" for b in "aeiou" for c in "lnrst"]
+    bad = ["vile", "filth", "scum"]
+    item = " ".join(f"bench{k}" for k in range(14))
+    rows, toxic = [], set()
+    for i in range(120):
+        w = [rng.choice(word) + str(rng.randint(0, 999)) for _ in range(rng.randint(25, 90))]
+        if i % 4 == 0:
+            toxic.add(i)
+            w = [rng.choice(bad) if rng.random() < 0.5 else x for x in w]
+        rows.append((i, " ".join(w)))
+    clean = [(i, t) for i, t in rows if i not in toxic]
+    rows += [(1000 + i, t) for i, t in clean[:10]] + [(2000 + i, t + " tail") for i, t in clean[10:20]]
+    rows += [(3000 + i, f"{t}. {item} {t.split()[0]}") for i, t in clean[30:33]] + [(4000, "Write to someone.here@corp.org or +1 (499) 555-6503 about " + clean[40][1][:60]), (5000, clean[1][1]), (5000, " ".join(rng.choice(word) + str(rng.randint(0, 999)) for _ in range(40)))]
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows] + [(6000, None, "en", "s", None), (6001, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        return {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+
+    left = []
+    for i, t in sorted((r for r in rows if r[0] not in toxic), key=lambda r: (r[0], r[1])):
+        x = shingles(t)
+        if not any(100 * len(x & y) >= 90 * len(x | y) for _, _, y in left):
+            left.append((i, t, x))
+    t = bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = collections.Counter()
+    for i, text, _ in left:
+        text = text.replace(item, "").replace("someone.here@corp.org", "[EMAIL]").replace("+1 (499) 555-6503", "[PHONE]")
+        want[i, hashlib.sha256(text.encode()).hexdigest()] += 1
+    want[6000, hashlib.sha256(b"").hexdigest()] += 1
+    want[6001, hashlib.sha256(b"").hexdigest()] += 1
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == want
+    assert all(hashlib.sha256(t.decode(np.array(r["ids"], dtype="<u4").tobytes())).hexdigest() == r["decoded_sha256"] for r in got)
+
+
+@pytest.mark.parametrize("missing", ["documents", "labels", "benchmark"])
+def test_pipeline_of_an_empty_table(spark, stages, tmp_path, missing):
+    for t in ("documents", "labels", "benchmark"):
+        d = spark.read.parquet(f"{stages}/{t}.parquet")
+        (d.limit(0) if t == missing else d).write.parquet(f"{tmp_path}/{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert (out.count() == 0) == (missing == "documents")
