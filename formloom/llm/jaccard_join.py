@@ -44,15 +44,15 @@ from pyspark.sql import functions as F
 from . import wordspans as ws
 from .columns import carrying
 from .components import components
-from .tables import BROADCAST_IDS, Scratch, by_identity, discard, identified, join_by, repeats, texts_of, written
+from .tables import Scratch, by_identity, discard, identified, is_one_of, join_by, repeats, texts_of, written
 
 SHINGLE = 3
 NEED, OF = 90, 100
 SKETCH_WORDS = 16
 #: Shares (one in ...) of the groups in which pairs across components are sought, in turn; the last is all.
 PASSES = (16, 1)
-#: One class in so many is sampled for blocks that more than one in HOT_BLOCK of them share: where rows go, not which.
-HOT_SAMPLE, HOT_BLOCK = 16, 100
+#: One class in so many is sampled for blocks that more than one in HOT_BLOCK of them share, at most HOT_KEYS: where rows go, not which.
+HOT_SAMPLE, HOT_BLOCK, HOT_KEYS = 16, 100, 2_000
 _SEEN = 1 << 20
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
@@ -201,13 +201,12 @@ def _shared(classes: DataFrame, scratch: Scratch) -> DataFrame:
     rows = classes.select("label", F.explode("keys").alias("key"))
     some = rows.where(F.pmod("label", F.lit(HOT_SAMPLE)) == 0)
     n = classes.where(F.pmod("label", F.lit(HOT_SAMPLE)) == 0).count()
-    # At most HOT_BLOCK times the blocks of a set.
-    hot = scratch.write(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(8, n // HOT_BLOCK)).select("key"))
-    if hot.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
-        hot = hot.limit(0)
+    often = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(8, n // HOT_BLOCK))
+    # Further ones are shuffled like the rest.
+    hot = [r["key"] for r in often.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()]
     meet = W.partitionBy("key")
-    cold = rows.join(F.broadcast(hot), "key", "left_anti").select("key", "label", F.min("label").over(meet).alias("first"), F.max("label").over(meet).alias("last")).where("first < last").select("key", "label")
-    return scratch.write(cold.unionByName(rows.join(F.broadcast(hot), "key", "left_semi").select("key", "label")))
+    cold = rows.where(~is_one_of("key", hot)).select("key", "label", F.min("label").over(meet).alias("first"), F.max("label").over(meet).alias("last")).where("first < last").select("key", "label")
+    return scratch.write(cold.unionByName(rows.where(is_one_of("key", hot)).select("key", "label")) if hot else cold)
 
 
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -178,7 +178,7 @@ def generalised(term: Column) -> Column:
 
 def _term_spans(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """_key, _term: the spans of disclosing terms of each document that has any, sorted; value: how it is replaced."""
-    pair = F.struct("entity", "term").alias("pair")
+    pair = F.concat_ws("\0", "entity", "term").alias("pair")
     revealing = written(disclosing_terms(docs, contexts).select(pair, F.col("disclosure").alias("d"), F.col("n_te").alias("n")))
     spots = contexts.select("_key", "entity", "at", F.explode(spans_of(F.col("context"), TERM)).alias("s"), F.col("start").alias("e_start"), F.col("end").alias("e_end"))
     spots = spots.select("_key", "entity", F.lower("s.value").alias("term"), "s.value", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"), "e_start", "e_end")

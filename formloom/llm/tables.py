@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more than one in so many of the rows is hot: there are at most so many of these keys.
@@ -58,15 +58,25 @@ class Scratch:
         discard(*(t for t in self.made if all(t is not k for k in keep)))
 
 
+def is_one_of(key: str, values: list) -> Column:
+    """Whether a column is one of a few values; null is none."""
+    return F.coalesce(F.col(key).isin([bytes(v) if isinstance(v, bytearray) else v for v in values]), F.lit(False)) if values else F.lit(False)
+
+
 def join_by(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
     """rows joined (inner, left or left_semi) with a table of one row for each key, whose column n says how many rows it meets.
 
-    Hot keys, at most HOT_SHARE of them, go to the executors and their rows stay where they are; the others are shuffled.
+    Rows of hot keys, of which there are at most HOT_SHARE, stay where they are; the others are shuffled.
     """
     most = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] // HOT_SHARE
     hot, cold = table.where(F.col(n) > most), table.where(F.col(n) <= most)
-    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key, "left_semi" if how == "left_semi" else "inner").unionByName(apart.join(cold, key, how))
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return rows.join(cold, key, how)
+    here = rows.where(is_one_of(key, keys))
+    here = here.select(*(F.col(c) for c in rows.columns)) if how == "left_semi" else here.join(F.broadcast(hot), key)
+    apart = rows.where(~is_one_of(key, keys)).join(cold, key, how)
+    return here.select(*apart.columns).unionByName(apart)
 
 
 def by_identity(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
