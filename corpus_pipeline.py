@@ -7,14 +7,13 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from formloom.llm import bpe, decontaminate, jaccard_join, pii, toxicity
+from formloom.llm.tables import discard, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,18 +49,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encode),
 ]
 
-#: A trained classifier and a tokenizer can't be written in SQL; tests/llm compares run() with brute force.
+#: A trained classifier and a tokenizer can't be written in SQL; tests/llm compares the rows of run() with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; intermediate tables go to the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    """All stages over documents; each stage's table goes to the shared folder and leaves it when the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(path := f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(path)
+            docs = written(docs)
+            if last is not None:
+                discard(last)
+            last = docs
     return docs
