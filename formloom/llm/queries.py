@@ -75,8 +75,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import alignment
+
+    return alignment(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs, planted
+
+    return periodic_runs(_read(spark, sf_dir, "documents"), planted, texts=False)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_byte_bpe, op4_lm_score, op5_quality, op6_toxicity, op7_sharding, op8_token_counts, op9_jaccard_join, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_byte_bpe, op4_lm_score, op5_quality, op6_toxicity, op7_sharding, op8_token_counts, op9_jaccard_join, op10_suffix_dedup, op11_align, op12_periodic_runs, op13_embedding_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
