@@ -123,7 +123,17 @@ SELECT s.doc_id, len(x)::BIGINT AS n_shingles, c AS component_id FROM s JOIN (SE
 """
 
 
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from . import quality, sharding
 
-    return {"op1_decontaminate": OP1_SQL, "op5_quality": quality.ORACLE_SQL, "op7_sharding": sharding.oracle_sql(), "op9_jaccard_join": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_quality": quality.ORACLE_SQL, "op7_sharding": sharding.oracle_sql(), "op9_jaccard_join": OP9_SQL, "op13_embedding_dedup": OP13_SQL}
