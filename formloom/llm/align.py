@@ -52,7 +52,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 AGREED = re.compile(r"[\t\n\r -~ -ɏΑ-ΡΣ-ωЀ-ҁҊ-ӿ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣\U0001f300-\U0001f64f]*")
 
-SPACED = re.compile(r" +[^ ]+(?: +$)?| +$", re.DOTALL)
+SPACED = re.compile(r" +[^ ]+(?: +\Z)?| +\Z")
 LABELS = np.frombuffer(b"-ABX", dtype=np.uint8)
 SPAN = re.compile(rb"[^X]*X")
 _SIDES: dict[tuple[str, str], Sides] = {}
