@@ -51,19 +51,9 @@ _SLICE = 10_000
 _SPAN = "struct<start:int,end:int>"
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n word hashes, from prefix sums: the same cost for any n."""
-    if len(h) < n:
-        return h[:0]
-    power, inverse = ws._powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * power[: len(h)], out=total[1:])
-    return ws.mix((total[n:] - total[:-n]) * inverse[: len(h) - n + 1] + np.uint64(n))
-
-
 def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes of the PREFIX-word grams) of the sampled suffixes of one text."""
-    g = grams(h, PREFIX)
+    g = ws.gram_hashes(h, PREFIX)
     width = REACH + 1
     if len(g) < width:
         return np.zeros(0, np.int64), g[:0]
@@ -114,7 +104,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = batch.column("anchors")
         for k, h in enumerate(_texts(batch.column("text"))):
             padded = np.concatenate([np.zeros(REACH, np.uint64), h, np.zeros(LENGTH, np.uint64)])
-            gram = grams(h, PREFIX)
+            gram = ws.gram_hashes(h, PREFIX)
             every = np.array(anchors[k].as_py(), dtype=np.int64)
             for x in range(0, len(every), _SLICE):
                 at = every[x : x + _SLICE]

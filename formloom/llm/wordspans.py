@@ -1,7 +1,8 @@
 """Flat numpy kernels over Arrow string buffers: word spans, word hashes and shingle hashes.
 
 A text never becomes a list of Python strings: words are found as byte ranges of the
-Arrow buffer and hashed with a polynomial over prefix sums, a few nanoseconds a byte.
+Arrow buffer and hashed with a polynomial over prefix sums, a few nanoseconds a byte. Hashes have
+64 bits: two of a billion words or grams that are compared share one with a chance of 3 %.
 Work is cut into slabs of about ``SLAB`` bytes so that memory stays bounded whatever the
 size of an Arrow batch.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLAB = 1 << 20
+LONG_WORD = 32
 BATCH_BYTES = 4 << 20
 _MMAP_THRESHOLD = -3  # of mallopt
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -93,20 +96,39 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; equal bytes, equal hash, on every machine."""
+    """64-bit hash of each byte range; equal bytes, equal hash, on every machine.
+
+    Polynomials modulo 2^64 give equal sums for some long words of a known shape, whatever the multiplier, so words
+    of more than LONG_WORD bytes are hashed by a digest of their bytes.
+    """
     power, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of each pair; the finaliser keeps sums of several levels from cancelling."""
+    return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n consecutive word hashes (len(h) - n + 1 of them)."""
-    out = h[: len(h) - n + 1].copy()
-    for j in range(1, n):
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out += h[j : len(h) - n + 1 + j]
-    return mix(out)
+    """Hash of each run of n consecutive word hashes (len(h) - n + 1 of them), from runs of twice the length each time."""
+    if len(h) < n:
+        return h[:0]
+    count, at, size, part, out = len(h) - n + 1, 0, 1, h, None
+    while True:
+        if n & size:
+            own = part[at : at + count]
+            out = own if out is None else _joined(out, own)
+            at += size
+        size *= 2
+        if size > n:
+            return mix(out + np.uint64(n))
+        part = _joined(part[: len(part) - size // 2], part[size // 2 :])
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

@@ -503,3 +503,50 @@ def test_slabs_and_words_cross_no_text():
         s, e, first = ws.words(data, offsets, ws.NOT_SPACE)
         got += [[bytes(data[x:y]) for x, y in zip(s[first[i] : first[i + 1]], e[first[i] : first[i + 1]], strict=True)] for i in range(b - a)]
     assert got == [[b"ab"], [], [], [b"cd", b"ef"], [b"g"]]
+
+
+def complementary(n):
+    """A word of n letters a and b, and the one with both swapped: equal sums under any polynomial modulo 2^64 from 1,024 on."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [16, 32, 64, 1024, 2048, 4096])
+def test_complementary_words_differ(spark, n):
+    a, b = complementary(n)
+    data = np.frombuffer((a + b).encode(), dtype=np.uint8)
+    x, y = ws.word_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert x != y
+    # Runs of two words in the same shape.
+    h = np.array([7, 11], dtype=np.uint64)
+    runs = [h[np.frombuffer(w.encode(), dtype=np.uint8) - 97] for w in (a, b)]
+    assert ws.gram_hashes(runs[0], n)[0] != ws.gram_hashes(runs[1], n)[0]
+
+
+def test_complementary_words_are_apart(spark, bench):
+    a, b = complementary(2048)
+    rows = [(1, a), (2, b), (3, f"x {a} y z"), (4, f"x {b} y z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard_join.link_components(d).select("doc_id", "component_id")) == [(i, i) for i in (1, 2, 3, 4)]
+    assert rows_of(jaccard_join.keep_one(d)) == rows
+    items = spark.createDataFrame([(9, a)], "item_id long, text string")
+    assert rows_of(decontaminate.contamination(d, items).select("doc_id", "contaminated")) == [(1, True), (2, False), (3, True), (4, False)]
+    passage = [f"w{k}" for k in range(49)]
+    long = spark.createDataFrame([(i, " ".join([*passage[:20], w, *passage[20:]])) for i, w in ((1, a), (2, b), (3, a))], "doc_id long, text string")
+    assert [r["doc_id"] for r in suffix_dedup.repeated_passages(long).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_gram_hashes_follow_the_words():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 4, 300).astype(np.uint64)
+    for n in (1, 2, 3, 10, 25, 50):
+        found = ws.gram_hashes(h, n)
+        assert len(found) == 300 - n + 1
+        seen = collections.defaultdict(set)
+        for k, g in enumerate(found.tolist()):
+            seen[tuple(h[k : k + n].tolist())].add(g)
+        assert all(len(v) == 1 for v in seen.values())
+        assert len(set(found.tolist())) == len(seen)
+    assert len(ws.gram_hashes(h[:3], 4)) == 0
