@@ -161,7 +161,8 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     entities = distinct.groupBy("entity").agg(F.sum("m").alias("n_e"))
     wanted = pairs.select("term").distinct()
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term"))
+    # Cut first, then lower-cased, as the terms are: a letter may become two characters, one of which would cut.
+    words = docs.select(F.explode(F.transform(F.split("text", r"[^\p{L}\p{N}]+"), F.lower)).alias("term"))
     if few:
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
