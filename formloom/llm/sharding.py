@@ -12,7 +12,7 @@ and the number of shards decide, and one more shard takes rows only into itself.
 Slots are dealt without putting a shard into one task: rows alike in key, size and crc are counted
 first and take slots that follow one another; these counts are added up within (shard, bucket), for
 ``BUCKETS`` hash buckets of key, size and crc, and a table of shards x buckets counts, of a fixed size,
-gives each bucket's first slot. So neither a key with a third of all rows nor a shard is one task.
+gives each bucket's first slot. Rows alike get their slots ``STEP`` at a time, so no array is longer. So neither a key with a third of all rows nor a shard is one task.
 
 Defined results: equal keys (repeated rows too) share a shard and get slots of their own; a null doc_id
 is the key "null"; a null text has 16 bytes and the crc of no bytes; texts of any length count whole;
@@ -34,6 +34,8 @@ SHARDS = 40
 RACKS, RACK = 2, 5
 BUCKETS = 256
 OVERHEAD = 16
+#: Equal rows beyond so many are told apart by several tasks, so many at a time.
+STEP = 10_000
 
 
 @dataclass(frozen=True)
@@ -60,26 +62,34 @@ def tree(shards: int, planned: int = SHARDS) -> Node:
     return Node("root", sum(r.weight for r in regions), tuple(regions))
 
 
-def _draw(key: Column, node: Node) -> Column:
+def _draw(key: Column, name: Column, weight: Column) -> Column:
     """-log(u) / weight with u in (0, 1) from 52 bits of an md5."""
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit("/" + node.name)).cast("binary")), 1, 13), 16, 10).cast("double")
-    return -F.log((bits + 0.5) / F.lit(float(1 << 52))) / F.lit(node.weight)
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit("/"), name).cast("binary")), 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / F.lit(float(1 << 52))) / weight
+
+
+def _constant(children: tuple[Node, ...]) -> Column:
+    """The nodes below one, as an array: each with those below it."""
+    if not children:
+        return F.array()
+    fields = [(F.lit(c.name).alias("name"), F.lit(c.weight).alias("weight"), F.lit(c.shard).alias("shard"), *((_constant(c.children).alias("children"),) if c.children else ())) for c in children]
+    return F.array(*(F.struct(*f) for f in fields))
 
 
 def descend(key: Column, node: Node) -> Column:
-    """The shard that a key reaches from a node. Only the branch taken is drawn."""
-    if node.shard >= 0:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return descend(key, node.children[0])
-    draws = F.array(*(F.struct(_draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(node.children)))
-    best = F.array_min(draws)["i"]
-    if all(c.shard >= 0 for c in node.children):
-        return F.element_at(F.array(*(F.lit(c.shard) for c in node.children)), best + 1)
-    out = None
-    for i, child in enumerate(node.children):
-        out = F.when(best == i, descend(key, child)) if out is None else out.when(best == i, descend(key, child))
-    return out
+    """The shard that a key reaches from a node: at each level the child of the least draw, the first of equals.
+
+    The tree is a constant that the levels walk down, so the generated code doesn't grow with the number of shards.
+    """
+    at = _constant(node.children)
+    below = node.children
+    while True:
+        draws = F.transform(at, lambda c: _draw(key, c["name"], c["weight"]))
+        best = F.when(F.size(at) == 1, F.lit(1)).otherwise(F.array_position(draws, F.array_min(draws)).cast("int"))
+        taken = F.element_at(at, best)
+        if all(c.shard >= 0 for c in below):
+            return taken["shard"]
+        at, below = taken["children"], tuple(c for b in below for c in b.children)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -97,8 +107,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     earlier = W.partitionBy("shard", "_bucket").orderBy(*alike).rowsBetween(W.unboundedPreceding, -1)
     # shards x BUCKETS rows: a bounded broadcast.
     out = rows.withColumn("_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(F.broadcast(first), (F.col("shard") == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
-    from_slot = F.col("_first") + F.col("_slot")
-    return out.select(*alike, F.lit("key").alias("law"), "shard", F.explode(F.sequence(from_slot, from_slot + F.col("_n") - 1)).alias("slot"), "grown_shard")
+    out = out.select(*alike, F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_slot")).alias("_from"), "_n", "grown_shard")
+    # Equal rows are told apart by their slots again, STEP at a time; many of them over all tasks.
+    few = out.where(F.col("_n") <= STEP)
+    many = out.where(F.col("_n") > STEP).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(STEP).cast("long")))).repartition(docs.sparkSession.sparkContext.defaultParallelism * 4)
+    many = many.select(*alike, "law", "shard", (F.col("_from") + F.col("_part")).alias("_from"), F.least(F.col("_n") - F.col("_part"), F.lit(STEP)).alias("_n"), "grown_shard")
+    return few.unionByName(many).select(*alike, "law", "shard", F.explode(F.sequence("_from", F.col("_from") + F.col("_n") - 1)).alias("slot"), "grown_shard")
 
 
 def _sql(node: Node) -> str:
