@@ -2,7 +2,8 @@ r"""LM scoring by cross-entropy difference.
 
 Two bigram models are counted over the corpus: the background on all documents, the target on those
 that ``labels`` marks as of good quality. They are matched: one vocabulary (all words of the
-corpus), one order, one smoothing. The score of a document is the mean over its tokens of
+corpus), one order, one smoothing, and the end of a text counts as a word that may follow, so each
+context's probabilities sum to one; a context that a model hasn't seen leaves the word's own share. The score of a document is the mean over its tokens of
 
     loss(token | target) - loss(token | background)    (natural logarithm)
 
@@ -76,7 +77,7 @@ def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count_words(marked: DataFrame) -> DataFrame:
-    """word (hash), target, n: all words of the marked documents and of all."""
+    """word (hash), target, n: all words of the marked documents and of all; under _START the numbers of texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
@@ -86,7 +87,9 @@ def count_words(marked: DataFrame) -> DataFrame:
         for batch in batches:
             target = batch.column("target").to_numpy(zero_copy_only=False)
             for a, b, h, first in hashes(batch.column("text")):
-                k, c = _summed([h], [np.stack([np.repeat(target[a:b], np.diff(first)), np.ones(len(h), bool)], axis=1).astype(np.int64)])
+                sizes = np.diff(first)
+                mine = np.concatenate([np.repeat(target[a:b], sizes), target[a:b][sizes > 0]])
+                k, c = _summed([h, np.full(len(mine) - len(h), _START)], [np.stack([mine, np.ones(len(mine), bool)], axis=1).astype(np.int64)])
                 keys.append(k)
                 counts.append(c)
                 size += len(k)
@@ -136,14 +139,18 @@ class Chunk:
         part = (self.keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
 
-    def loss(self, n: np.ndarray, tokens: int, words: int) -> np.ndarray:
-        """Mean loss of each document under the model with the counts n of the keys."""
+    def loss(self, n: np.ndarray, tokens: int, texts: int, words: int) -> np.ndarray:
+        """Mean loss of each document's tokens under the model with the counts n of the keys.
+
+        In each context the words of the vocabulary and the end of the text have probabilities that sum to one.
+        """
         if not len(self.word):
             return np.zeros(len(self.sizes))
         word = n[self.word]
         before = np.concatenate([word[:1], word[:-1]])
         before[self.first] = n[self.start]
-        p = MIX * n[self.bigram] / np.maximum(before, 1) + (1 - MIX) * (word + ADD) / (tokens + ADD * words)
+        single = (word + ADD) / (tokens + texts + ADD * (words + 1))
+        p = np.where(before > 0, MIX * n[self.bigram] / np.maximum(before, 1) + (1 - MIX) * single, single)
         return -np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), weights=np.log(p), minlength=len(self.sizes)) / np.maximum(self.sizes, 1)
 
 
@@ -176,8 +183,9 @@ def _unpacked(column: pa.ChunkedArray, kind: type, rising: bool = False) -> list
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means over the tokens) and score of every document."""
     marked = _marked(docs, labels)
-    size = count_words(marked).agg(F.count("*").alias("words"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    words, target_tokens, all_tokens = size["words"], size["target"], size["n"]
+    start = F.col("word") == int(np.int64(_START.view(np.int64)))
+    size = count_words(marked).agg(*(F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0)).alias(f"{c}_{name}") for name, own in (("words", ~start), ("texts", start)) for c in ("target", "n")), F.coalesce(F.sum((~start).cast("long")), F.lit(0)).alias("words")).first()
+    words, target_tokens, all_tokens = size["words"], size["target_words"], size["n_words"]
     chunks, parts = all_tokens // CHUNK_TOKENS + 1, all_tokens // PART_TOKENS + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = marked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(chunks, "chunk")
@@ -207,11 +215,11 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
         c = Chunk(table.column("text"))
         answers = answers.sort_by("part")
         losses = []
-        for name, tokens in (("target", target_tokens), ("n", all_tokens)):
+        for name, tokens, texts in (("target", target_tokens, size["target_texts"]), ("n", all_tokens, size["n_texts"])):
             n = np.concatenate([np.zeros(0, np.int64), *_unpacked(answers.column(name), np.int64)])
             if len(n) != len(c.keys):
                 raise ValueError(f"{len(n)} counts for {len(c.keys)} n-grams")
-            losses.append(c.loss(n, max(1, tokens), words))
+            losses.append(c.loss(n, tokens, texts, words))
         t, g = losses
         return pa.table([table.column("doc_id"), pa.array(c.sizes, pa.int64()), pa.array(t), pa.array(g), pa.array(t - g if target_tokens else np.zeros(len(t)))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
