@@ -410,6 +410,16 @@ def test_disclosure_against_counting(spark):
     assert got == free and sum(map(len, got.values())) > 100
 
 
+def test_terms_whose_lower_case_is_longer(spark):
+    """A capital I with a dot is two characters in lower case; terms that hold it are found like others."""
+    rows = [(i, f"note{i} {w} writes from p{k}@corp{k}.org today again") for k, w in enumerate(("Olkay", "İlkay", "Dİlek")) for i in range(10 * k, 10 * k + 4)]
+    rows += [(100 + i, "writes from today again " * 9) for i in range(20)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:12]:
+        at = t.index(" ") + 1
+        assert f"term:{at}:{at + 5}" in got[i]
+
+
 def test_terms_are_generalised_to_their_kind(spark):
     d = spark.createDataFrame([("Smith",), ("FBI",), ("blue",), ("Émile",)], "t string")
     assert [r[0] for r in d.select(pii.generalised(F.col("t"))).collect()] == ["[NAME]", "[ACRONYM]", "[WORD]", "[NAME]"]
@@ -476,8 +486,10 @@ def test_sharding(clashing, none, corpus):
     assert sharding.shard(none).count() == 0
 
 
-def test_slots_of_a_hot_key(spark):
+@pytest.mark.parametrize("step", [10_000, 300])
+def test_slots_of_a_hot_key(spark, step, monkeypatch):
     """Rows alike, and rows of one key (null), take slots of their own without gaps."""
+    monkeypatch.setattr(sharding, "STEP", step)
     rows = [(None, f"text {i % 50}") for i in range(3000)] + [(1, "same")] * 2000 + [(i, None) for i in range(500)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     slots = collections.defaultdict(list)

@@ -117,16 +117,22 @@ def test_lm_counts_every_ngram(spark, clashing, corpus, monkeypatch):
         one, two = collections.Counter(), collections.Counter()
         for i, w in words:
             if mine(i):
-                one.update(["", *w] if w else [])
-                two.update(zip(["", *w[:-1]], w, strict=True) if w else [])
-        models.append((one, two))
-    v = len(models[1][0]) - 1
-
-    def loss(w, one, two):
-        n = one.total() - one[""]
-        p = [0.7 * two[a, b] / max(1, one[a]) + 0.3 * (one[b] + 0.5) / (n + 0.5 * v) for a, b in zip(["", *w[:-1]], w, strict=True)] if w else []
-        assert all(0 < x <= 1 for x in p)
-        return -sum(map(math.log, p)) / max(1, len(w))
+                one.update(["", *w, None] if w else [])
+                two.update(zip(["", *w], [*w, None], strict=True) if w else [])
+        models.append((one, two, one.total() - one[""]))
+    # The words and the end of a text (None); the start ("") is a context only.
+    vocabulary = [b for b in models[1][0] if b != ""]
+
+    def chance(a, b, one, two, n):
+        own = (one[b] + 0.5) / (n + 0.5 * len(vocabulary))
+        return 0.7 * two[a, b] / one[a] + 0.3 * own if one[a] else own
+
+    for model in models:
+        for a in ["", "tie", "one", "two", "rare7", "rare59999", "unheard"]:
+            assert math.isclose(sum(chance(a, b, *model) for b in vocabulary), 1)
+
+    def loss(w, *model):
+        return -sum(math.log(chance(a, b, *model)) for a, b in zip(["", *w], w, strict=False)) / max(1, len(w))
 
     want = sorted((i is not None, i or 0, len(w), round(loss(w, *models[0]), 6), round(loss(w, *models[1]), 6)) for i, w in words)
     for chunk, part in ((lm_score.CHUNK_TOKENS, lm_score.PART_TOKENS), (5_000, 9_000)):
