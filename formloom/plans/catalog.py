@@ -1042,13 +1042,6 @@ def box_shift(s, d):
     return out.select("doc_id", "k", *(F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
-@query("SELECT a.doc_id, a.k AS anchor, b.k AS neighbour FROM {boxes} a JOIN {boxes} b ON a.doc_id = b.doc_id AND a.k <> b.k AND b.x1 >= a.x1 AND abs(b.y1 - a.y1) <= 1.4 * (a.y2 - a.y1)")
-def same_row_neighbours(s, d):
-    a, b = fx(s, d, "boxes").alias("a"), fx(s, d, "boxes").alias("b")
-    near = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.k") != F.col("b.k")) & (F.col("b.x1") >= F.col("a.x1")) & (F.abs(F.col("b.y1") - F.col("a.y1")) <= (F.col("a.y2") - F.col("a.y1")) * 1.4)
-    return a.join(b, near).select("a.doc_id", F.col("a.k").alias("anchor"), F.col("b.k").alias("neighbour"))
-
-
 TEMPLATE = """fields:
   - {key: applicant.name, page: 1, kind: text, box: [0.1, 0.2, 0.5, 0.25]}
   - {key: release.parole, page: 2, kind: checkbox_group, boxes: {yes: [0, 0, 0.1, 0.1], no: [0.2, 0, 0.3, 0.1]}, threshold: 0.07}
@@ -1127,4 +1120,4 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 QUERIES["flagship_verification"] = flagship
 
 
-from . import catalog_more  # noqa: E402, F401  registers the rest
+from . import catalog_more, catalog_scans  # noqa: E402, F401  register the rest

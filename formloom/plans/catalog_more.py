@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ..sources.fixtures import fixture as fx
 from ..streaming.incremental import incremental
 from . import oracle as o
 from .catalog import TEMPLATE, _pairs, compare_truth, joined, known, matched, query, readings, truth_source
+from .shared import workplace
 
 # --- recognised text -----------------------------------------------------------------------------
 
@@ -456,9 +455,7 @@ def embedded_numbers(s, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_incremental(s, d):
     """Events through a file stream with a checkpoint, appended to a sink and counted: the stream equals the batch."""
-    from .shared import scratch
-
-    folder = scratch(s) or tempfile.mkdtemp(prefix="stream-")
+    folder = workplace(s)
     source = fx(s, d, "events")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
     source.write.parquet(f"{folder}/source")

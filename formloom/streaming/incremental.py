@@ -18,28 +18,36 @@ def incremental(spark: SparkSession, source: str, schema: str, plan: Callable[[D
     return plan(new).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_missing(spark: SparkSession, source: str, schema: str, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Like ``incremental`` for plans with joins or windows: each batch is a plain DataFrame, keys already written are skipped.
+def _once(rows: DataFrame, key: str, time: str | None, live: str) -> DataFrame:
+    """Rows of a stream whose key hasn't come before."""
+    return rows.dropDuplicates([key]) if time is None else rows.withWatermark(time, live).dropDuplicatesWithinWatermark([key])
+
+
+def keyed(spark: SparkSession, source: str, schema: str, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "doc_id", time: str | None = None, live: str = "30 days") -> StreamingQuery:
+    """Like ``incremental`` for a source of one row for each key: a row whose key has come before, in whatever batch, is skipped.
+
+    plan: what is done with the rows that are new (maps, filters, explosions, joins with tables). The keys are in a state store,
+    partitioned by the key as its shuffle is, so nothing that is written is read again. time: a timestamp column; a key is
+    forgotten when the stream is ``live`` beyond its time, so the state holds the keys of that span only, and rows that far
+    behind the stream are dropped. Without it all keys stay. Null is a key like others.
+    """
+    new = plan(_once(spark.readStream.schema(schema).parquet(source), key, time, live))
+    return new.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_missing(spark: SparkSession, source: str, schema: str, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "doc_id", time: str | None = None, live: str = "30 days") -> StreamingQuery:
+    """Like ``keyed`` for plans with joins or windows over one batch: a batch is a plain DataFrame of the source's rows, one for each new key.
 
     A batch goes to a folder of its own, which a repeated batch replaces whole, so a crash leaves no half-written keys behind.
-    Only the key column of earlier batches is read.
     """
+    new = _once(spark.readStream.schema(schema).parquet(source), key, time, live)
+
     def write(batch: DataFrame, number: int) -> None:
-        rows = plan(batch)
-        if _there(spark, sink):
-            earlier = spark.read.option("basePath", sink).parquet(sink).where(F.col("batch") < number)
-            rows = rows.join(earlier.select(key).distinct(), key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        plan(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    new = spark.readStream.schema(schema).parquet(source)
     return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _there(spark: SparkSession, sink: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Extension: events by type and tumbling window, with a watermark on a stream. ts: timestamp."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -1,5 +1,8 @@
 """Files in and out, resuming, and batch equal to stream."""
 
+import datetime
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from formloom.operators import extract
 from formloom.plans import engines
 from formloom.sources import readers, sinks
 from formloom.sources.fixtures import fixture
-from formloom.streaming.incremental import incremental, upsert_missing
+from formloom.streaming.incremental import incremental, keyed, upsert_missing
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -70,7 +73,7 @@ def test_a_path_stands_for_the_model_engine(tmp_path, monkeypatch):
         engines.engine(str(tmp_path / "none"))
 
 
-@pytest.mark.parametrize("run", [incremental, upsert_missing])
+@pytest.mark.parametrize("run", [incremental, keyed, upsert_missing])
 def test_batch_equals_stream(spark, tmp_path, run):
     forms = fixture(spark, FOLDER, "forms").where("doc_id < 60")
     source = str(tmp_path / "in")
@@ -86,6 +89,28 @@ def test_batch_equals_stream(spark, tmp_path, run):
     assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).isEmpty()
 
 
+@pytest.mark.parametrize("time", [None, "ts"])
+def test_keys_come_once(spark, tmp_path, time):
+    """Over restarts a key is taken once; with a time the state forgets what is out of its span."""
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    first = datetime.datetime(2025, 1, 1)
+
+    def run(rows):
+        spark.createDataFrame([(i, v, first + datetime.timedelta(days=day)) for i, v, day in rows], "doc_id long, v string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        q = keyed(spark, source, "doc_id long, v string, ts timestamp", lambda d: d.where("v <> 'no'"), sink, str(tmp_path / "cp"), time=time, live="2 days")
+        q.awaitTermination()
+        return q, sorted(((r["doc_id"], r["v"]) for r in spark.read.parquet(sink).collect()), key=str)
+
+    # A row that the plan leaves out has come, too.
+    assert run([(1, "a", 0), (2, "c", 0), (None, "n", 0), (4, "no", 0)])[1] == [(1, "a"), (2, "c"), (None, "n")]
+    assert run([(1, "z", 1), (3, "d", 1), (None, "m", 1), (4, "e", 1)])[1] == [(1, "a"), (2, "c"), (3, "d"), (None, "n")]
+    run([(9, "far", 30)])
+    q, got = run([(1, "again", 30)])
+    assert ((1, "again") in got) == (time is not None) and (9, "far") in got
+    held = [s["numRowsTotal"] for p in q.recentProgress for s in json.loads(p.json)["stateOperators"]][-1]
+    assert held == 2 if time else held == 6
+
+
 def test_page_text_rules(spark):
     pages = spark.createDataFrame([(1, 1, "short"), (1, 2, "x" * 60 + " 123456 "), (2, 1, "y")], "doc_id int, page int, text string")
     r = readers.embedded_candidates(pages).collect()
