@@ -174,7 +174,7 @@ def _after_sql(anchor: str, most: int) -> str:
     return f"CASE WHEN {i} = 0 THEN '' WHEN {rest} <> '' THEN {rest} ELSE {o.clean(f"coalesce(array_to_string({block}, ' '), '')")} END"
 
 
-def _rule_sql(f: extract.Field, v: str) -> str:
+def _rule_sql(rule: str, cut: str, v: str) -> str:
     date = f"CASE WHEN regexp_full_match(v, '[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}') THEN v ELSE '' END"
     rules = {
         "id": f"CASE WHEN length(ltrim({o.digits('v')}, '0')) BETWEEN 5 AND 6 THEN ltrim({o.digits('v')}, '0') ELSE '' END",
@@ -184,11 +184,11 @@ def _rule_sql(f: extract.Field, v: str) -> str:
         "phone": f"CASE WHEN length({o.digits('v')}) >= 7 THEN v ELSE '' END",
         "email": "CASE WHEN regexp_full_match(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN v ELSE '' END",
         "bool": "CASE WHEN lower(v) IN ('yes', 'no') THEN lower(v) ELSE '' END",
-        "name": f"CASE WHEN regexp_matches(lower(v), '{extract.NOT_NAMES}') THEN '' ELSE trim(regexp_replace(v, '\\s*\\(.*?\\)\\s*$', '')) END",
+        "name": f"CASE WHEN regexp_matches(lower(v), '{o.NOT_NAMES}') THEN '' ELSE trim(regexp_replace(v, '\\s*\\(.*?\\)\\s*$', '')) END",
         "": "v",
     }
-    out = f"(SELECT {rules[f.rule]} FROM (SELECT {v} AS v))"
-    return f"trim(regexp_replace({out}, {o.lit(f.cut)}, '', 'g'))" if f.cut else out
+    out = f"(SELECT {rules[rule]} FROM (SELECT {v} AS v))"
+    return f"trim(regexp_replace({out}, {o.lit(cut)}, '', 'g'))" if cut else out
 
 
 def _multi_sql(anchor: str, stop: str) -> str:
@@ -204,10 +204,10 @@ def _multi_sql(anchor: str, stop: str) -> str:
 
 def _form_sql() -> str:
     parts = []
-    for f in extract.DIGITAL_FORM:
-        each = ", ".join(f"nullif({_rule_sql(f, _after_sql(a, f.most))}, '')" for a in f.anchors)
-        extra = ", nullif(trim(regexp_replace(stem, '\\s+[0-9]{1,2}-[0-9]{1,2}-[0-9]{2,4}$', '')), '')" if f.name == "applicant.name" else ""
-        parts.append(f"SELECT doc_id, '{f.name}' AS field, '{f.kind}' AS kind, coalesce({each}{extra}, '') AS value FROM l")
+    for name, labels, most, rule, cut, kind in o.FORM:
+        each = ", ".join(f"nullif({_rule_sql(rule, cut, _after_sql(label, most))}, '')" for label in labels)
+        extra = ", nullif(trim(regexp_replace(stem, '\\s+[0-9]{1,2}-[0-9]{1,2}-[0-9]{2,4}$', '')), '')" if name == "applicant.name" else ""
+        parts.append(f"SELECT doc_id, '{name}' AS field, '{kind}' AS kind, coalesce({each}{extra}, '') AS value FROM l")
     day = "CASE WHEN regexp_full_match({0}, '[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}') THEN {0} ELSE '' END"
     parts.append(f"SELECT doc_id, 'housing.needed_by', 'text', {day.format('v')} FROM (SELECT doc_id, {_multi_sql('Housing needed by', 'Phone')} AS v FROM l)")
     charges = f"coalesce(nullif({_multi_sql('EXPLAIN IN DETAIL ALL', 'Name of Case')}, ''), {_multi_sql('List all charges', 'Name of Case')})"

@@ -18,13 +18,93 @@ NICKNAMES_SQL = """bob robert, bobby robert, rob robert, robby robert, bill will
 CONFUSED, MEANT = r"ILJ/\|![]{}OQDCUSZB&$%GEAHT", "111111111110000052888866447"
 CONFUSED_SHORT, MEANT_SHORT = r"OoIlLJZSBG/\|!", "00111125861111"
 LENGTH_SCORES = {6: 5, 5: 4, 7: 4, 8: 3, 4: 2}
-PROMPTS = "please check;additional information form;housing application;phone number;current status;company:;page 3 of 4;page 4 of 4;v2.0;special accommodations;of information;for your convenience".split(";")
-PROMPTS_COMPACT = "page3of4;page4of4;idocdatasensitivityclassification;pleasecheckboxes".split(";")
-LABELS = (
-    "today's date;idoc or le#;name;gender;physical address;city;state;zipcode;e-mail;date of birth;age:;phone number;emergency contact:;name & phone;please select a;preferred city of;"
-    "have you previously;are you an;alcohol and/or drugs;date of last use;do you have to register;housing needed by;phone:;are you currently;employer:;list any medications;have you been;"
-    "where you under;list all charges;explain in detail;name of case;will you be on;probation/parole;your signature;date;you can edit this"
-).split(";")
+PROMPTS = [
+    "please check",
+    "additional information form",
+    "housing application",
+    "phone number",
+    "current status",
+    "company:",
+    "page 3 of 4",
+    "page 4 of 4",
+    "v2.0",
+    "special accommodations",
+    "of information",
+    "for your convenience",
+]
+PROMPTS_COMPACT = [
+    "page3of4",
+    "page4of4",
+    "idocdatasensitivityclassification",
+    "pleasecheckboxes",
+]
+LABELS = [
+    "today's date",
+    "idoc or le#",
+    "name",
+    "gender",
+    "physical address",
+    "city",
+    "state",
+    "zipcode",
+    "e-mail",
+    "date of birth",
+    "age:",
+    "phone number",
+    "emergency contact:",
+    "name & phone",
+    "please select a",
+    "preferred city of",
+    "have you previously",
+    "are you an",
+    "alcohol and/or drugs",
+    "date of last use",
+    "do you have to register",
+    "housing needed by",
+    "phone:",
+    "are you currently",
+    "employer:",
+    "list any medications",
+    "have you been",
+    "where you under",
+    "list all charges",
+    "explain in detail",
+    "name of case",
+    "will you be on",
+    "probation/parole",
+    "your signature",
+    "date",
+    "you can edit this",
+]
+#: Fields of the digital form: name, labels, lines below a label, rule, what is cut off (a pattern) and kind.
+FORM = [
+    ("applicant.name", ["Name"], 1, "name", "", "text"),
+    ("applicant.idoc_or_le_number", ["IDOC or LE#"], 1, "id", "", "text"),
+    ("applicant.gender", ["Gender"], 1, "gender", "", "text"),
+    ("applicant.date_of_birth", ["Date of Birth"], 1, "date", "", "text"),
+    ("applicant.age", ["Age:"], 1, "age", "", "text"),
+    ("contacts.phone", ["Phone Number", "Phone:"], 1, "phone", "", "text"),
+    ("contacts.email", ["E-mail"], 1, "email", "", "text"),
+    ("contacts.emergency_contact", ["Name & Phone", "Emergency Contact:"], 3, "", "", "text"),
+    ("housing.preferred_city", ["preferred city of"], 2, "", "(?i)housing:?\\s*", "text"),
+    ("addictions.drug_of_choice", ["Alcohol and/or drugs"], 2, "", "(?i)of choice\\s*", "text"),
+    ("addictions.date_of_last_use", ["Date of last use"], 1, "date", "", "text"),
+    ("support.prescribed_medications", ["List any medications"], 2, "", "(?i)you are prescribed:?\\s*", "text"),
+    ("employment.currently_employed", ["Are you currently", "employed?"], 2, "bool", "", "checkbox_group"),
+    ("employment.employer", ["Employer:"], 1, "", "", "text"),
+    ("criminal.convicted_misdemeanor_or_felony", ["convicted of a", "misdemeanor or"], 2, "bool", "", "checkbox_group"),
+    ("criminal.under_influence_during_crime", ["influence of", "drugs/alcohol when"], 2, "bool", "", "checkbox_group"),
+    ("contacts.case_manager", ["Name of Case"], 2, "", "(?i)Manager:?\\s*", "text"),
+    ("supervision.on_probation_or_parole_while_housed", ["Will you be on", "probation or parole while"], 2, "bool", "", "checkbox_group"),
+    ("supervision.probation_or_parole_officer", ["Probation/Parole"], 2, "", "(?i)Officer,?\\s*if known:?\\s*", "text"),
+    ("supervision.reporting_county", ["Name of Idaho County"], 1, "", "(?i)you will be reporting to:?\\s*", "text"),
+    ("requirements.sex_offender_registration", ["sex offender?", "register as a sex offender"], 2, "bool", "", "checkbox_group"),
+    ("history.previously_resided", ["resided at"], 2, "bool", "", "checkbox_group"),
+    ("history.alcoholic_or_addict", ["alcoholic/addict"], 2, "bool", "", "checkbox_group"),
+    ("signing.signature_name", ["Name)", "Your Signature"], 3, "", "(?i)^\\(Type.*?\\)\\s*", "text"),
+]
+#: Words that a name of the digital form doesn't have, as a pattern.
+NOT_NAMES = "gender|physical|address|male|female"
 QUESTIONS = """requirements.sex_offender_registration 1 doyouneedtoregisterasasexoffender
 requirements.backup_plan 1 isthisabackupplanforaninterstatecompactoranicedetainer
 requirements.children_visitation_required 1 isatransitionalhomewithvisitationorovernightstaysforchildrenrequired
@@ -169,11 +249,11 @@ def name_values(source: str) -> str:
     leaks = r"(?i)\b(?:ne:?|me:?|Age:?|DOB:?|D\.?O\.?B:?|Last\s*\d+\s*digits?\s*(?:of\s*)?(?:SSN)?:?|IDoc#?:?|ID[O0]C#?:?|special\s*accommodations?|of\s*information|Gender:?|Date\s*of\s*Birth:?|Hia\d+)\b.*"
     v = clean(rf"regexp_replace(trim(regexp_replace(trim(regexp_replace(value, '{leaks}', '')), '[Aa]ge\s*:\s*\d.*$', '')), '[_|]+', ' ', 'g')")
     stop = "[" + ", ".join(map(lit, STOPWORDS)) + "]"
-    return f"""(WITH t AS (SELECT doc_id, regexp_extract_all({v}, '[A-Za-z][A-Za-z''.-]*') AS ts FROM {source}),
- w AS (SELECT doc_id, ts, s, w, ts[s : s + w - 1] AS x FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS s FROM t), (SELECT unnest([1, 2, 3, 4]) AS w) WHERE s + w - 1 <= len(ts)),
+    return f"""(WITH r AS MATERIALIZED (SELECT doc_id, value FROM {source}), t AS (SELECT value, regexp_extract_all({v}, '[A-Za-z][A-Za-z''.-]*') AS ts FROM (SELECT DISTINCT value FROM r)),
+ w AS (SELECT value, ts, s, w, ts[s : s + w - 1] AS x FROM (SELECT value, ts, unnest(range(1, len(ts) + 1)) AS s FROM t), (SELECT unnest([1, 2, 3, 4]) AS w) WHERE s + w - 1 <= len(ts)),
  p AS (SELECT *, list_sum(list_transform(x, lambda k: least(length(k), 10) + 3 - CASE WHEN length(k) <= 2 THEN 3 ELSE 0 END - CASE WHEN list_contains({stop}, lower(k)) THEN 6 ELSE 0 END - CASE WHEN regexp_matches(lower(k), '{BLOCKED}') THEN 6 ELSE 0 END))
   + CASE WHEN w >= 2 THEN 4 ELSE 0 END + CASE WHEN len(list_filter(x, lambda k: list_contains({stop}, lower(k)))) = 0 THEN 2 ELSE 0 END AS points FROM w),
- b AS (SELECT doc_id, CASE WHEN len(x) > 2 AND length(x[1]) <= 2 THEN x[2:] ELSE x END AS x FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, s, w) = 1),
- g AS (SELECT doc_id, x, list_filter(range(1, len(x) + 1), lambda i: NOT list_contains({stop}, lower(x[i])) AND NOT regexp_matches(lower(x[i]), '{BLOCKED}')) AS good FROM b),
- n AS (SELECT doc_id, CASE WHEN len(good) > 0 THEN regexp_replace(array_to_string(x[list_min(good) : list_max(good)], ' '), '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g') ELSE '' END AS name FROM g)
- SELECT t.doc_id, CASE WHEN length(regexp_replace(coalesce(name, ''), '[^A-Za-z]', '', 'g')) >= 2 THEN name ELSE '' END AS name FROM t LEFT JOIN n USING (doc_id))"""
+ b AS (SELECT value, CASE WHEN len(x) > 2 AND length(x[1]) <= 2 THEN x[2:] ELSE x END AS x FROM p QUALIFY row_number() OVER (PARTITION BY value ORDER BY points DESC, s, w) = 1),
+ g AS (SELECT value, x, list_filter(range(1, len(x) + 1), lambda i: NOT list_contains({stop}, lower(x[i])) AND NOT regexp_matches(lower(x[i]), '{BLOCKED}')) AS good FROM b),
+ n AS (SELECT value, CASE WHEN len(good) > 0 THEN regexp_replace(array_to_string(x[list_min(good) : list_max(good)], ' '), '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g') ELSE '' END AS name FROM g)
+ SELECT r.doc_id, CASE WHEN length(regexp_replace(coalesce(name, ''), '[^A-Za-z]', '', 'g')) >= 2 THEN name ELSE '' END AS name FROM r LEFT JOIN n USING (value))"""
