@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: What each open ``sweeping`` has seen written.
+_SWEPT: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and an executor's loss costs tasks only."""
     spark = df.sparkSession
@@ -33,9 +39,27 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for seen in _SWEPT:
+        seen.append(out)
     return out
 
 
+@contextlib.contextmanager
+def sweeping(keep: list[DataFrame] | None = None) -> Iterator[None]:
+    """Deletes the tables that are written within the block when it ends, but for those in ``keep`` (which the block may fill).
+
+    For callers that have saved what an operator returned: the frame itself still reads its operator's tables.
+    """
+    seen: list[DataFrame] = []
+    _SWEPT.append(seen)
+    try:
+        yield
+    finally:
+        _SWEPT.remove(seen)
+        kept = {t.written_to for t in keep or []}
+        discard(*(t for t in seen if t.written_to not in kept))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that no plan reads any more."""
     for t in tables:

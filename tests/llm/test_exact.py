@@ -562,3 +562,19 @@ def test_gram_hashes_follow_the_words():
         assert all(len(v) == 1 for v in seen.values())
         assert len(set(found.tolist())) == len(seen)
     assert len(ws.gram_hashes(h[:3], 4)) == 0
+
+
+def test_swept_tables_leave_the_folder(spark, docs, tmp_path, monkeypatch):
+    """What operators write goes when their result is saved; what is kept stays readable."""
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: str(tmp_path))
+    kept = []
+    with tables.sweeping(kept):
+        kept.append(tables.written(jaccard_join.keep_one(docs)))
+        assert len(list(tmp_path.iterdir())) > 1
+        with tables.sweeping():
+            pii.sanitise(docs).write.format("noop").mode("overwrite").save()
+    assert [str(p) for p in tmp_path.iterdir()] == [kept[0].written_to] and kept[0].count() > 0
+    with pytest.raises(ZeroDivisionError), tables.sweeping():
+        tables.written(docs)
+        raise ZeroDivisionError
+    assert len(list(tmp_path.iterdir())) == 1
