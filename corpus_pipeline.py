@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from formloom.llm import bpe, decontaminate, jaccard_join, pii, toxicity
-from formloom.llm.tables import discard, written
+from formloom.llm.tables import discard, sweeping, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +54,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's table goes to the shared folder and leaves it when the next one is written."""
+    """All stages over documents. A stage's table goes to the shared folder; what the stage wrote on its way, and the table before it,
+    leave the folder when it is there. The last stage's input is left, as its result is still to be read."""
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
-            if last is not None:
-                discard(last)
-            last = docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        kept: list[DataFrame] = []
+        with sweeping(kept):
+            docs = written(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
