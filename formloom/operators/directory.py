@@ -47,6 +47,15 @@ def unknown_only(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 #: Digits of a candidate at most; longer ones are no candidates.
 LONGEST = 8
+#: A directory of more numbers, or of longer ones, is shuffled instead of sent to the tasks; six digits give fewer than this.
+BROADCAST_NUMBERS, BROADCAST_DIGITS = 1_200_000, 32
+
+
+def _sent(known: DataFrame) -> DataFrame:
+    """The directory's numbers as match, sent to the tasks while they are few and short enough."""
+    found = known.select(F.col("number").alias("match"))
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.max(F.char_length("match")), F.lit(0)).alias("longest")).first()
+    return F.broadcast(found) if size["n"] <= BROADCAST_NUMBERS and size["longest"] <= BROADCAST_DIGITS else found
 
 
 def _edits() -> Column:
@@ -64,7 +73,8 @@ def fuzzy(candidates: DataFrame, known: DataFrame) -> DataFrame:
     over 5 digits, to 5 at least) or swap of neighbours, and the number itself.
 
     The edits of each distinct candidate, some 150, are looked up by an equi-join with the directory: no two
-    numbers are compared, and what comes out are matches.
+    numbers are compared, and what comes out are matches. A directory of a size that is checked goes to the tasks, so
+    edits are made and looked up in one pass and only matches are shuffled.
     """
     x, n = F.col("candidate"), F.char_length("candidate")
     each = candidates.select("candidate").where("candidate is not null").distinct().where(n <= LONGEST).withColumn("e", F.explode(_edits()))
@@ -80,7 +90,7 @@ def fuzzy(candidates: DataFrame, known: DataFrame) -> DataFrame:
     near = each.where(fits).select("candidate", edit.alias("match"))
     # The empty candidate and one at its longest have no further edits; each is near itself.
     near = near.unionByName(candidates.select("candidate", F.col("candidate").alias("match")).where("candidate is not null"))
-    return near.join(known.select(F.col("number").alias("match")), "match", "left_semi").select("candidate", "match").distinct()
+    return near.join(_sent(known), "match", "left_semi").select("candidate", "match").distinct()
 
 
 def best_match(docs: DataFrame, known: DataFrame) -> DataFrame:

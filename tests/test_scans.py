@@ -328,3 +328,19 @@ def test_a_task_that_fails_leaves_no_file_and_no_double(tmp_path):
     replaced = workbook.WorkbookWriter(path, True)
     replaced.commit([replaced.write(iter(rows[:1]))])
     assert len(os.listdir(path)) == 1
+
+
+def test_fuzzy_join_sends_or_shuffles_the_directory(spark, monkeypatch):
+    from formloom.operators import directory
+
+    rows = [(str(n),) for n in range(12000, 12400, 3)] + [("123456789012",), ("9" * 40,)]
+    known = spark.createDataFrame(rows, "number string")
+    candidates = spark.createDataFrame([("12003",), ("12030",), ("1203",), ("120033",), ("123456789012",), ("9" * 40,), ("",), (None,)], "candidate string")
+    both = []
+    for most in (0, 1_200_000):
+        monkeypatch.setattr(directory, "BROADCAST_NUMBERS", most)
+        for longest in (32, 64):
+            monkeypatch.setattr(directory, "BROADCAST_DIGITS", longest)
+            both.append(sorted(tuple(r) for r in directory.fuzzy(candidates, known).collect()))
+    assert both[0] == both[1] == both[2] == both[3]
+    assert ("123456789012", "123456789012") in both[0] and ("9" * 40, "9" * 40) in both[0] and ("12003", "12003") in both[0]
