@@ -122,6 +122,11 @@ def leaderboard(rows: DataFrame, k: int = 5) -> DataFrame:
     return rows.orderBy(F.desc("eval_balanced_accuracy"), F.desc("test_balanced_accuracy"), "run").limit(k)
 
 
+def loss_board(rows: DataFrame, k: int = 5) -> DataFrame:
+    """Runs of the least loss, by name where it is equal; runs without a loss aren't ranked."""
+    return rows.where(F.col("loss").isNotNull() & ~F.isnan("loss")).orderBy(F.asc("loss"), "run").limit(k)
+
+
 def grid(**axes: DataFrame) -> DataFrame:
     """Every combination of a few settings: the axes are small tables of parameters."""
     out = None

@@ -164,13 +164,14 @@ def review_crops(reviews: DataFrame, template: DataFrame) -> DataFrame:
 
 
 def detected_checkbox(pages: DataFrame, templates: Sequence[CheckboxTemplate], most: int = 4, least: float = 0.55) -> DataFrame:
-    """doc_id, prediction, method, confidence, yes_score, no_score, page of documents' yes/no checkbox.
+    """doc_id, prediction, method, confidence, yes_score, no_score, page, crop_box of documents' yes/no checkbox.
 
     pages: doc_id, page (from 0), raw, h, w (grey); the first ``most`` pages are looked at. The page that a template fits best
-    decides, the first of equal ones: yes if its box is darker. Under ``least`` it is no, by default.
+    decides, the first of equal ones: yes if its box is darker. Under ``least`` it is no, by default, without a crop box (what
+    a reviewer is shown, as page fractions).
     """
     found = pages.where(F.col("page") < most).withColumn("m", find_checkbox(templates)("raw", "h", "w"))
-    best = found.groupBy("doc_id").agg(F.max(F.struct(F.col("m.confidence").alias("confidence"), (-F.col("page")).alias("p"), F.col("m.version").alias("version"), F.col("m.yes_score").alias("yes"), F.col("m.no_score").alias("no"))).alias("b"))
+    best = found.groupBy("doc_id").agg(F.max(F.struct(F.col("m.confidence").alias("confidence"), (-F.col("page")).alias("p"), F.col("m.version").alias("version"), F.col("m.yes_score").alias("yes"), F.col("m.no_score").alias("no"), *(F.col(f"m.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))).alias("b"))
     sure = F.col("b.confidence") >= least
     return best.select(
         "doc_id",
@@ -180,4 +181,5 @@ def detected_checkbox(pages: DataFrame, templates: Sequence[CheckboxTemplate], m
         F.when(sure, F.col("b.yes")).otherwise(0.0).alias("yes_score"),
         F.when(sure, F.col("b.no")).otherwise(0.0).alias("no_score"),
         F.when(sure, -F.col("b.p")).otherwise(-1).alias("page"),
+        F.when(sure, boxes.box(*(F.col(f"b.{c}") for c in ("x1", "y1", "x2", "y2")))).alias("crop_box"),
     )

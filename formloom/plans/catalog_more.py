@@ -255,7 +255,8 @@ def checkbox_detection(s, d):
     p = fx(s, d, "documents").select("doc_id", (i % 3).cast("int").alias("page"), raw.alias("raw"), F.lit(40).alias("h"), F.lit(40).alias("w"))
     image = bytes(0 if v else 200 for row in dark for v in row)
     t = CheckboxTemplate("V1", image, 4, 6, (0.3, 0.0), (0.5, 0.0), (0.1, 0.1))
-    return pages.detected_checkbox(p, [t])
+    found = pages.detected_checkbox(p, [t])
+    return found.select(*(c for c in found.columns if c != "crop_box"), *(F.round(f"crop_box.{c}", 9).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 # --- training sets -------------------------------------------------------------------------------
