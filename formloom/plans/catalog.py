@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import boxes, names, numbers, pixels, splits, text, udfs
+from ..functions import boxes, names, numbers, splits, text, udfs
 from ..operators import directory as dirs
 from ..operators import extract, metrics, rank, review, truth, verify
 from ..sources import readers, sinks
@@ -1089,13 +1089,6 @@ def resumable_scan(s, d):
     return readers.todo(fx(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), fx(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")))
 
 
-@query()
-def checkbox_pixels(s, d):
-    img = F.substring(F.concat(F.md5(F.col("doc_id").cast("string").cast("binary")), F.sha2(F.col("doc_id").cast("string"), 256)), 1, 64).cast("binary")
-    p = fx(s, d, "documents").select("doc_id", img.alias("raw"), F.lit(8).alias("h"), F.lit(8).alias("w"))
-    return p.select("doc_id", pixels.checkbox_fill("raw", "h", "w").alias("fill"), pixels.mostly_blank("raw", "h", "w").alias("blank"), pixels.template_score("raw", "h", "w", F.substring("raw", 1, 16), F.lit(4), F.lit(4)).alias("match"))
-
-
 @query()
 def unicode_normalise(s, d):
     return fx(s, d, "documents").select("doc_id", F.md5(udfs.nfkc("text").cast("binary")).alias("text_md5"))
