@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordspans as ws
@@ -237,15 +238,18 @@ def _sharing(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     return join_by(rows, meets, key, how="left_semi")
 
 
-def merged(spans: Column) -> Column:
-    """Sorted spans joined where they touch."""
+def merged(hits: DataFrame) -> DataFrame:
+    """class, spans: the spans of each class (rows class, spans), sorted and joined where they touch.
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")).cast(_SPAN)))
-        return F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{_SPAN}>"), step)
+    Spans are sorted as rows: a class may have as many of them as words, too many to compare in an array.
+    """
+    each = hits.select("class", F.explode("spans").alias("s")).select("class", "s.start", "s.end").repartition("class")
+    each = each.groupBy("class", "start").agg(F.max("end").alias("end"))
+    by = W.partitionBy("class").orderBy("start")
+    before = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    each = each.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    whole = each.groupBy("class", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("start", "end").cast(_SPAN))).alias("spans"))
 
 
 def _spans(mask: Column, place: Column) -> Column:
@@ -297,7 +301,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         windows = scratch.write(ws.mapped(join_by(contexts, rest, "gram", how="left_semi"), _windows, "class binary, start int, window binary"))
         one = F.struct(F.col("start"), (F.col("start") + LENGTH).alias("end")).cast(_SPAN)
         hits = hits.unionByName(_sharing(windows, "window", scratch).select("class", F.array(one).alias("spans")))
-    spans = hits.groupBy("class").agg(merged(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    spans = merged(hits)
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")).cast(_SPAN))
     out = classes.join(spans, "class", "left").withColumn("spans", F.when(F.col("n_copies") > 1, whole).otherwise(F.col("spans"))).where("spans is not null")
