@@ -40,10 +40,9 @@ def crop_manifest(manifest: DataFrame, candidates: DataFrame, split: str | None
     docs = rows.groupBy("source_pdf").agg(F.min(F.struct(place.alias("p"), expected.alias("e"), normal.alias("n"))).alias("b"), F.array_join(F.array_sort(F.collect_set("variant")), ",").alias("variants"))
     docs = docs.select("source_pdf", F.col("b.e").alias("expected_name"), F.col("b.n").alias("expected_normal"), "variants")
     read = candidates.join(rows.select("source_pdf", "variant").distinct(), ["source_pdf", "variant"], "left_semi")
-    # Agreement counts over all crops of a document; the first of equal candidates is the one of the tightest crop.
-    pooled = read.withColumn("_o", F.struct(review.variant_priority(F.col("variant")).alias("p"), "ord"))
-    same = pooled.groupBy("source_pdf", "value").agg(F.count("*").alias("copies"), F.max(F.struct("score", "confidence")).alias("m"), F.min(F.struct("_o", "source")).alias("f"))
-    order = F.struct(F.col("copies"), F.col("m.score").alias("score"), F.col("m.confidence").alias("confidence"), F.char_length("value").alias("n"))
+    # Agreement counts over all crops of a document; of equal candidates the greatest value is taken.
+    same = read.groupBy("source_pdf", "value").agg(F.count("*").alias("copies"), F.max(F.struct("score", "confidence")).alias("m"))
+    order = F.struct(F.col("copies"), F.col("m.score").alias("score"), F.col("m.confidence").alias("confidence"), F.char_length("value").alias("n"), "value")
     best = same.groupBy("source_pdf").agg(F.max_by(F.struct("value", F.col("m.confidence").alias("confidence")), order).alias("b"), F.sum("copies").alias("candidate_count"))
     out = docs.join(best, "source_pdf", "left").withColumn("extracted_name", F.coalesce("b.value", F.lit("")))
     out = out.withColumn("extracted_normal", names.normalise(F.col("extracted_name")))
