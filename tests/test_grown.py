@@ -38,10 +38,11 @@ def test_equal_crop_names_are_told_apart_by_value(spark):
     manifest = spark.createDataFrame([(f"f{i}", "tight", "train", "", "Ann Roe", "") for i in range(40)], "source_pdf string, variant string, split string, label_text string, expected_name string, normalized_label string")
     names = [f"{c}nn Roe" for c in "ABCDEFGHIJ"]
     read = [(f"f{i}", "tight", k, "crop", names[(i + j) % 10], 0.5, 1.0) for i in range(40) for k, j in enumerate((0, 3, 5))]
-    # Enough partitions that equal candidates of a document meet in either order.
-    candidates = spark.createDataFrame(read, "source_pdf string, variant string, ord long, source string, value string, confidence double, score double").repartition(7)
-    got = evaluate.crop_manifest(manifest, candidates)
-    assert {r["source_pdf"]: r["extracted_name"] for r in got.collect()} == {f"f{i}": max(names[(i + j) % 10] for j in (0, 3, 5)) for i in range(40)}
+    candidates = spark.createDataFrame(read, "source_pdf string, variant string, ord long, source string, value string, confidence double, score double")
+    # Partitions that aren't merged: equal candidates of a document meet in any order.
+    with settings(spark, **{"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = evaluate.crop_manifest(manifest, candidates).collect()
+    assert {r["source_pdf"]: r["extracted_name"] for r in got} == {f"f{i}": max(names[(i + j) % 10] for j in (0, 3, 5)) for i in range(40)}
 
 
 def test_places_of_work_when_partitions_are_merged(spark, tmp_path):
