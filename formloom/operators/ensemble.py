@@ -43,7 +43,8 @@ def name_crops(pages: DataFrame) -> DataFrame:
     cut = cut.where(~mostly_blank("raw", "h", "w"))
     name = F.element_at(F.array(*(F.lit(v) for v in REACHES)), F.col("variant") + 1)
     raw = cut.withColumn("source", F.concat(F.lit("name_crop_"), name, F.lit("_raw")))
-    made = cut.where(name.isin(*PREPARED)).withColumn("source", F.concat(F.lit("name_crop_"), name, F.lit("_prepared"))).withColumn("p", images.text_crop("raw", "h", "w", F.lit(False)))
+    made = cut.where(name.isin(*PREPARED)).withColumn("source", F.concat(F.lit("name_crop_"), name, F.lit("_prepared"))).withColumn("_multiline", F.lit(False))
+    made = images.with_text_crop(made, "p", "raw", "h", "w", "_multiline")
     return raw.unionByName(made.select("doc_id", "variant", "source", "p.raw", "p.h", "p.w"))
 
 

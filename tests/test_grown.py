@@ -53,3 +53,26 @@ def test_places_of_work_when_partitions_are_merged(spark, tmp_path):
         got = {r["doc_id"]: r["place"] for r in catalog.QUERIES["work_order"](spark, str(tmp_path)).collect()}
     order = sorted(range(n), key=lambda i: (i % 3 != 0, i % 7, f"f{i}"))
     assert got == {i: k for k, i in enumerate(order)}
+
+
+def test_images_are_handed_on_in_slices():
+    import pyarrow as pa
+
+    from formloom.functions import images
+    from formloom.plans import catalog_scans
+
+    texts = ["x" * 2400, None, "", "a"] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["id", "text"])
+    got = list(images._slices(iter([batch]), "p", lambda t: [catalog_scans.page_of(t)], ("text",), False))
+    assert len(got) > 3 and max(b.nbytes for b in got) < images.SLICE_BYTES + (1 << 20)
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(400))
+    assert all(len(r["p"]["raw"]) == r["p"]["h"] * r["p"]["w"] == catalog_scans.page_of(t).size for r, t in zip(rows, texts, strict=True))
+
+
+def test_pages_are_drawn_by_all_tasks(spark):
+    from formloom.plans import catalog_scans
+
+    pages = catalog_scans.drawn(spark.createDataFrame([(k, "word " * k) for k in range(50)], "doc_id long, text string").coalesce(1), "text")
+    assert pages.rdd.getNumPartitions() > 1 and pages.columns == ["doc_id", "raw", "h", "w"]
+    assert {r["doc_id"]: bytes(r["raw"]) for r in pages.collect()} == {k: catalog_scans.page_of("word " * k).tobytes() for k in range(50)}
