@@ -39,7 +39,7 @@ def crop_boxes(box: Column) -> Column:
 def name_crops(pages: DataFrame) -> DataFrame:
     """doc_id, variant (its place in REACHES), source, raw, h, w of all crops that aren't blank; pages: doc_id, raw, h, w, box (fractions)."""
     placed = pages.withColumn("_at", F.transform(crop_boxes(F.col("box")), lambda b: boxes.pixels(b, F.col("w"), F.col("h"), PADDING)))
-    cut = images.cut(placed.select("doc_id", "raw", "h", "w", "_at"), F.col("_at")).select("doc_id", F.col("box").alias("variant"), F.col("crop").alias("raw"), F.col("crop_h").alias("h"), F.col("crop_w").alias("w"))
+    cut = images.cut(placed, F.col("_at"), keep=["doc_id"]).select("doc_id", F.col("box").alias("variant"), F.col("crop").alias("raw"), F.col("crop_h").alias("h"), F.col("crop_w").alias("w"))
     cut = cut.where(~mostly_blank("raw", "h", "w"))
     name = F.element_at(F.array(*(F.lit(v) for v in REACHES)), F.col("variant") + 1)
     raw = cut.withColumn("source", F.concat(F.lit("name_crop_"), name, F.lit("_raw")))
