@@ -15,9 +15,10 @@ document. Words are runs of letters, digits and non-ASCII characters of the lowe
    common part to the left.
 3. *Extend.* From each pair of neighbours the match is extended to the left and to the right; from
    LENGTH words on it is a span in the document.
+   Neighbours in other partitions are met in a second pass over the first and last rows of each.
 4. *Rest.* A suffix isn't settled if its longest parts to the left and to the right come from different
-   neighbours and their spans leave a gap, or if a neighbour is in another partition. All suffixes of
-   such grams are compared by the windows of LENGTH words that cover them, so no passage is lost.
+   neighbours and their spans leave a gap. Its windows of LENGTH words in the gap are compared with
+   those of all suffixes of its gram, of which equal ones go on once a task, so no passage is lost.
 
 Documents of equal word sequences form one class first (128-bit digest), which is extended once; a
 class of several documents repeats as a whole. No pair of documents is ever formed, so a passage in n
@@ -31,11 +32,13 @@ with a null doc_id are documents like others; further columns are ignored, whate
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,8 +174,11 @@ class Suffixes:
         same = right >= PREFIX
         return np.where(same, left, 0).astype(np.int64), np.where(same, right, 0).astype(np.int64)
 
-    def settled(self, a: int, b: int) -> pa.RecordBatch:
-        """What rows a..b have in common with the nearest rows of another class; unknown where there is none in sight."""
+    def settled(self, a: int, b: int, turn: int = 0, *ends: int) -> pa.RecordBatch:
+        """What rows a..b have in common with the nearest rows of another class; unknown where there is none in sight.
+
+        turn: of the first row. Rows that aren't known, and those at ``ends``, have theirs and their words.
+        """
         start = self.runs()
         run = np.searchsorted(start, np.arange(a, b), "right") - 1
         before = start[run] - 1
@@ -186,56 +192,93 @@ class Suffixes:
             mask |= np.where(left + right >= LENGTH, _bits(LENGTH - right, left), 0)
             most_left, most_right = np.maximum(most_left, left), np.maximum(most_right, right)
             known &= there
-        own = _bits(LENGTH - self.c["n_right"][a:b].astype(np.int64), self.c["n_left"][a:b].astype(np.int64))
-        possible = np.where(known, _bits(LENGTH - most_right, most_left), own)
-        x = self.c["class"][a:b]
+        if b <= a:
+            return pa.RecordBatch.from_pylist([], schema=_SETTLED)
+        passed = ~known | np.isin(at, ends)
+        there = np.flatnonzero(passed)
+        which = pa.array(np.where(passed, np.cumsum(passed) - 1, 0), mask=~passed)
+        further = [pa.array(turn + at[there]), *(ws.binaries(self.c[k][at[there]]) for k in ("left", "right")), *(pa.array(self.c[k][at[there]], pa.int32()) for k in ("n_left", "n_right"))]
         return pa.RecordBatch.from_arrays(
-            [ws.binaries(x), pa.array(self.c["place"][a:b], pa.int32()), pa.array(self.c["gram"][a:b]), pa.array(mask), pa.array(most_left), pa.array(most_right), pa.array(own), pa.array(known)],
-            names=["class", "place", "gram", "mask", "most_left", "most_right", "own", "known"],
-        ) if len(possible) else pa.RecordBatch.from_pylist([], schema=_SETTLED)
+            [ws.binaries(self.c["class"][a:b]), pa.array(self.c["place"][a:b], pa.int32()), pa.array(self.c["gram"][a:b]), pa.array(mask), pa.array(most_left), pa.array(most_right), pa.array(known), *(c.cast(_SETTLED.field(n).type).take(which) for n, c in zip(_FURTHER, further, strict=True))],
+            schema=_SETTLED,
+        )
+
 
+_FURTHER = ["turn", "left", "right", "n_left", "n_right"]
+_SETTLED = pa.schema([("class", pa.binary()), ("place", pa.int32()), ("gram", pa.int64()), ("mask", pa.int64()), ("most_left", pa.int64()), ("most_right", pa.int64()), ("known", pa.bool_())] + list(zip(_FURTHER, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)))
+#: Bits of a row's turn below its partition's number, and below its order's.
+_ROWS, _PARTS = 36, 58
 
-_SETTLED = pa.schema([("class", pa.binary()), ("place", pa.int32()), ("gram", pa.int64()), ("mask", pa.int64()), ("most_left", pa.int64()), ("most_right", pa.int64()), ("own", pa.int64()), ("known", pa.bool_())])
 
+def _neighbours(batches: Iterator[pa.RecordBatch], order: int = 0) -> Iterator[pa.RecordBatch]:
+    """Compares each row of a sorted partition with the nearest rows of other classes before and after it.
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares each row of a sorted partition with the nearest rows of other classes before and after it."""
-    held, done = None, 0  # rows from the last of the run before the last run on; so many of them are settled
+    Rows of the first and the last run, which may have nearer ones in other partitions, and the row after and before these
+    runs are passed on with their turn in the whole order.
+    """
+    task = TaskContext.get()
+    turn = (order << _PARTS) + ((task.partitionId() if task else 0) << _ROWS)  # of the first row that is held
+    held, done, second = None, 0, -1  # rows from the last of the run before the last two on; so many of them are settled; where the second run begins
     for batch in batches:
         if not batch.num_rows:
             continue
         new = Suffixes.of(batch)
         rows = held + new if held is not None else new
-        last = int(rows.runs()[-1])
-        if last > done:
-            yield rows.settled(done, last)
-        keep = max(0, last - 1)
-        held, done = rows.part(keep, rows.n), last - keep
+        start = rows.runs()
+        if second < 0 and len(start) > 1:
+            second = turn + int(start[1])
+        upto = int(start[-1]) - 1
+        if upto > done:
+            yield rows.settled(done, upto, turn, second - turn)
+            done = upto
+        keep = max(int(start[-2]) - 1, 0) if len(start) > 1 else 0
+        held, done, turn = rows.part(keep, rows.n), done - keep, turn + keep
     if held is not None:
-        yield held.settled(done, held.n)
+        yield held.settled(done, held.n, turn, second - turn, int(held.runs()[-1]) - 1)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_neighbours`` of the rows that the partitions passed on, in their order: what isn't in sight here isn't there."""
+    for batch in _neighbours(batches):
+        yield batch.set_column(batch.schema.get_field_index("known"), "known", pa.array(np.ones(batch.num_rows, bool)))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 128-bit digests of all windows of LENGTH words that cover an anchor."""
+    """The 128-bit digests of the windows of LENGTH words that start so many places before an anchor as ``bits`` has bits set.
+
+    Windows that are open have their start. The others are there to be met: of equal ones, two classes are enough.
+    """
     for batch in batches:
         for x in range(0, batch.num_rows, _SLICE):
-            part = Suffixes.of(batch.slice(x, _SLICE))
-            c = part.c
-            words = np.concatenate([c["left"][:, ::-1], c["right"]], axis=1)
+            rows = batch.slice(x, _SLICE)
+            c, asked, opened = Suffixes.of(rows).c, rows.column("bits").to_numpy(), rows.column("open").to_numpy()
+            words, own = np.concatenate([c["left"][:, ::-1], c["right"]], axis=1), rows.column("class").to_pylist()
             names, starts, digests = [], [], []
+            met: dict[bytes, tuple[bytes, bytes]] = {}
             for back in range(REACH + 1):
-                good = np.flatnonzero((c["n_left"] >= back) & (c["n_right"] >= LENGTH - back))
+                good = np.flatnonzero((c["n_left"] >= back) & (c["n_right"] >= LENGTH - back) & (asked >> back & 1 == 1))
                 window = np.ascontiguousarray(words[good, REACH - back : REACH - back + LENGTH])
-                names.append(c["class"][good])
-                starts.append(c["place"][good] - back)
-                digests += [hashlib.blake2b(w, digest_size=16).digest() for w in window]
-            yield pa.RecordBatch.from_arrays([ws.binaries(np.concatenate(names)), pa.array(np.concatenate(starts), pa.int32()), pa.array(digests, pa.binary())], names=["class", "start", "window"])
-
-
-def _sharing(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """Rows of keys that stand in two classes or more."""
-    meets = scratch.write(rows.groupBy(key).agg(F.min("class").alias("_x"), F.max("class").alias("_y"), F.count("*").alias("n")).where("_x <> _y").select(key, "n"))
-    return join_by(rows, meets, key, how="left_semi")
+                for k, is_open, w in zip(good.tolist(), (opened[good] >> back & 1 == 1).tolist(), window, strict=True):
+                    digest = hashlib.blake2b(w, digest_size=16).digest()
+                    if is_open:
+                        names.append(own[k])
+                        starts.append(int(c["place"][k]) - back)
+                        digests.append(digest)
+                    else:
+                        least, most = met.get(digest, (own[k], own[k]))
+                        met[digest] = min(least, own[k]), max(most, own[k])
+            for digest, both in met.items():
+                for name in set(both):
+                    names.append(name)
+                    starts.append(None)
+                    digests.append(digest)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], names=["class", "start", "window"])
+
+
+def _sharing(rows: DataFrame, key: str, scratch: Scratch, asked: str = "true") -> DataFrame:
+    """Rows, of those asked for, whose keys stand in two classes or more."""
+    meets = scratch.write(rows.groupBy(key).agg(F.min("class").alias("_x"), F.max("class").alias("_y"), F.count_if(F.expr(asked)).alias("n")).where("_x <> _y and n > 0").select(key, "n"))
+    return join_by(rows.where(asked), meets, key, how="left_semi")
 
 
 def merged(hits: DataFrame) -> DataFrame:
@@ -283,24 +326,28 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     met = texts.alias("t").join(anchors.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.h") == F.col("a.h")))
     met = met.select("class", "text", F.sort_array("anchors").alias("anchors"))
     contexts = scratch.write(ws.mapped(met, _contexts, "class binary, place int, gram long, left binary, right binary, n_left int, n_right int"))
-    settled = "class binary, place int, gram long, mask long, most_left long, most_right long, own long, known boolean"
+    settled = "class binary, place int, gram long, mask long, most_left long, most_right long, known boolean, turn long, left binary, right binary, n_left int, n_right int"
 
-    def compared(*order: str) -> DataFrame:
-        return ws.mapped(contexts.repartitionByRange(*map(F.expr, order)).sortWithinPartitions(*map(F.expr, order)), _neighbours, settled)
+    def compared(order: int, *by: str) -> DataFrame:
+        return ws.mapped(contexts.repartitionByRange(*map(F.expr, by)).sortWithinPartitions(*map(F.expr, by)), functools.partial(_neighbours, order=order), settled)
 
-    both = compared("right", "left", "class", "place").unionByName(compared(f"substring(right, 1, {8 * PREFIX})", "left", "right", "class", "place"))
-    found = both.groupBy("class", "place").agg(F.first("gram").alias("gram"), F.bit_or("mask").alias("mask"), F.max("most_left").alias("l"), F.max("most_right").alias("r"), F.first("own").alias("own"), F.bool_and("known").alias("known"))
-    # Windows that could still be equal to another's: as far as the longest parts reach, or all where a neighbour isn't known.
+    both = scratch.write(compared(0, "right", "left", "class", "place").unionByName(compared(1, f"substring(right, 1, {8 * PREFIX})", "left", "right", "class", "place")))
+    # A few rows from each partition.
+    ends = both.where("turn is not null").select("turn", *Suffixes.NAMES).repartition(1).sortWithinPartitions("turn")
+    both = both.where("known").unionByName(ws.mapped(ends.select(*Suffixes.NAMES), _across, settled))
+    found = both.groupBy("class", "place").agg(F.first("gram").alias("gram"), F.bit_or("mask").alias("mask"), F.max("most_left").alias("l"), F.max("most_right").alias("r"))
+    # Windows that could still be equal to another's: as far as the longest parts reach.
     reached = F.expr(f"if(l + r >= {LENGTH}, shiftleft(1L, cast(l as int) + 1) - shiftleft(1L, cast(greatest({LENGTH} - r, 0L) as int)), 0L)")
-    found = scratch.write(found.withColumn("open", F.when(F.col("known"), reached).otherwise(F.col("own")).bitwiseAND(F.bitwise_not("mask")) != 0))
+    found = scratch.write(found.withColumn("open", reached.bitwiseAND(F.bitwise_not("mask"))))
     hits = found.where("mask <> 0").select("class", _spans(F.col("mask"), F.col("place")).alias("spans"))
 
     # What isn't settled is compared window by window.
-    rest = scratch.write(found.where("open").groupBy("gram").agg(F.count("*").alias("k")).join(found.groupBy("gram").agg(F.count("*").alias("n")), "gram").select("gram", "n"))
+    rest = scratch.write(found.groupBy("gram").agg(F.bit_or("open").alias("bits"), F.count("*").alias("n")).where("bits <> 0"))
     if not rest.isEmpty():
-        windows = scratch.write(ws.mapped(join_by(contexts, rest, "gram", how="left_semi"), _windows, "class binary, start int, window binary"))
+        asked = join_by(contexts, rest, "gram").join(found.where("open <> 0").select("class", "place", "open"), ["class", "place"], "left").fillna(0, ["open"])
+        windows = scratch.write(ws.mapped(asked, _windows, "class binary, start int, window binary"))
         one = F.struct(F.col("start"), (F.col("start") + LENGTH).alias("end")).cast(_SPAN)
-        hits = hits.unionByName(_sharing(windows, "window", scratch).select("class", F.array(one).alias("spans")))
+        hits = hits.unionByName(_sharing(windows, "window", scratch, "start is not null").select("class", F.array(one).alias("spans")))
     spans = merged(hits)
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")).cast(_SPAN))

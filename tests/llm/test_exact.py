@@ -299,6 +299,37 @@ def test_repeated_passages_of_hot_groups(spark, monkeypatch):
         assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_repeated"] for r in got.collect())
 
 
+def test_near_copies_over_many_partitions_open_few_windows(spark, monkeypatch):
+    """A partition's ends are met by the next partition's: they don't send all windows of a large group."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(160)]
+    rows = []
+    for i in range(150):
+        own = list(words)
+        for k in rng.integers(0, 160, 3):
+            own[k] = f"own{i}_{k}"
+        rows.append((i, " ".join(own)))
+    made, sharing = [], suffix_dedup._sharing
+
+    def counted(d, key, *more):
+        if key == "window":
+            made.append(d.count())
+        return sharing(d, key, *more)
+
+    monkeypatch.setattr(suffix_dedup, "_sharing", counted)
+    many = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = rows_of(suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).drop("spans"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == brute_repeats(rows)
+    assert sum(made) < 2000, made
+
+
 def test_neighbours_in_batches(monkeypatch):
     """The same verdict however the sorted rows are cut into batches."""
     rng = np.random.default_rng(9)
