@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, numbers, text
 from ..functions.pixels import CheckboxTemplate, find_checkbox
-from .rank import best_number, most_common, vote_override
+from .rank import best_and_voted, overridden
 
 # What ends a name in running text.
 NAME_STOPS = [r"ID[O0]C#?", r"Last\s*4\s*digits", "DOB", r"D\.?O\.?B", r"2\.?\s*Gender", "Gender", r"special\s+accommodations"]
@@ -134,12 +134,11 @@ def packet_number(readings: DataFrame) -> DataFrame:
     readings: doc_id, crop, strings (array). The best of all crops' numbers by length, dates left out; the
     most common one takes its place if as long, often read in the default crop and the best one seldom.
     """
-    each = readings.select("doc_id", "crop", F.explode(number_tokens(F.col("strings"))).alias("raw")).select("doc_id", "crop", numbers.normalise(F.col("raw")).alias("value"))
-    each = each.where("value <> ''").where(~numbers.looks_like_date(F.col("value")))
-    counts = each.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
-    default = each.where("crop = 'fixed_default'").groupBy("doc_id", "value").agg(F.count("*").alias("n"))
-    best, voted = best_number(counts), most_common(default)
-    return vote_override(best, voted)
+    # Filtered in the array, and an outer explode: a filter of rows, or the one that an inner explode brings, would work the values out again.
+    read = F.filter(F.transform(number_tokens(F.col("strings")), numbers.normalise), lambda v: (v != "") & ~numbers.looks_like_date(v))
+    each = readings.select("doc_id", "crop", F.explode_outer(read).alias("value")).where("value is not null")
+    counts = each.groupBy("doc_id", "value").agg(F.count("*").alias("n"), F.count_if(F.col("crop") == "fixed_default").alias("vn"))
+    return overridden(best_and_voted(counts, "vn"))
 
 
 def fields_on_pages(docs: DataFrame, template: DataFrame) -> DataFrame:

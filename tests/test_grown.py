@@ -76,3 +76,15 @@ def test_pages_are_drawn_by_all_tasks(spark):
     pages = catalog_scans.drawn(spark.createDataFrame([(k, "word " * k) for k in range(50)], "doc_id long, text string").coalesce(1), "text")
     assert pages.rdd.getNumPartitions() > 1 and pages.columns == ["doc_id", "raw", "h", "w"]
     assert {r["doc_id"]: bytes(r["raw"]) for r in pages.collect()} == {k: catalog_scans.page_of("word " * k).tobytes() for k in range(50)}
+
+
+def test_readings_are_worked_out_once(spark):
+    """The regular expressions of a reading stand once in the plan, however many filters and counts use the number."""
+    from formloom.operators import pages, rank
+
+    strings = spark.createDataFrame([(1, "fixed_default", ["IDOC# 12(456 x"])], "doc_id long, crop string, strings array<string>")
+    plan = pages.packet_number(strings)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and "Join" not in plan
+    readings = spark.createDataFrame([(1, "12(456"), (1, "123456.0"), (1, "123456"), (1, "01012025"), (2, "0000"), (2, "004321"), (3, "x")], "doc_id long, raw string")
+    assert rank.histogram(readings, dates=False)._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert [r["v"] for r in readings.select(numbers.normalise(F.col("raw")).alias("v")).collect()] == ["121456", "123456", "123456", "1012025", "0000", "4321", ""]
