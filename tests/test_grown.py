@@ -88,3 +88,27 @@ def test_readings_are_worked_out_once(spark):
     readings = spark.createDataFrame([(1, "12(456"), (1, "123456.0"), (1, "123456"), (1, "01012025"), (2, "0000"), (2, "004321"), (3, "x")], "doc_id long, raw string")
     assert rank.histogram(readings, dates=False)._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
     assert [r["v"] for r in readings.select(numbers.normalise(F.col("raw")).alias("v")).collect()] == ["121456", "123456", "123456", "1012025", "0000", "4321", ""]
+
+
+def test_best_match_meets_under_the_name_not_by_edits(spark):
+    import random
+
+    from formloom.operators import directory
+
+    rng = random.Random(8)
+    known = sorted({str(rng.randint(10**(n - 1), 10**(n - 1) + 60)) for n in (5, 6, 7, 8) for _ in range(40)} | {"7", "12a45", "123456789"})
+    cands = sorted({str(rng.randint(10**(n - 1), 10**(n - 1) + 60)) for n in (4, 5, 6, 7, 8) for _ in range(25)} | {"", "01000", "10a00", "123456789", "1000"})
+    numbers_known = spark.createDataFrame([(i, k, "Ann Roe" if i % 2 else "Bob Stone") for i, k in enumerate(known)], "ord long, number string, name string")
+    k = directory.directory(numbers_known)
+    docs = spark.createDataFrame([(i, [c], "Ann Roe") for i, c in enumerate(cands)], "doc_id long, candidates array<string>, name string")
+    under = {x for i, x in enumerate(known) if i % 2}
+    near = {}
+    for r in directory.fuzzy(spark.createDataFrame([(c,) for c in cands], "candidate string"), k).collect():
+        if r["match"] in under:
+            near.setdefault(r["candidate"], []).append(r["match"])
+    out = directory.best_match(docs, k)
+    got = {r["doc_id"]: (r["number"], r["method"]) for r in out.collect()}
+    assert got == {i: (c, "known_direct") if c in near.get(c, []) else (min(near[c]), "known_fuzzy_name") if c in near else (None, "no_match") for i, c in enumerate(cands)}
+    assert {m for _, m in got.values()} == {"known_direct", "known_fuzzy_name", "no_match"}
+    # Some hundred edits of a candidate were rows of the plan before.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("before") == 0
