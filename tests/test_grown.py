@@ -112,3 +112,19 @@ def test_best_match_meets_under_the_name_not_by_edits(spark):
     assert {m for _, m in got.values()} == {"known_direct", "known_fuzzy_name", "no_match"}
     # Some hundred edits of a candidate were rows of the plan before.
     assert out._jdf.queryExecution().optimizedPlan().toString().count("before") == 0
+
+
+def test_labels_of_a_name_that_the_sheet_repeats(spark):
+    from formloom.operators import datasets
+
+    sheet = spark.createDataFrame([("ann roe", "A1"), ("ann roe", "A2"), ("ann roe", None), ("ann b. roe", "B1"), ("ann b. roe", "B2")], "clean string, label string")
+    docs = spark.createDataFrame([(1, "Ann Roe 3-4-25"), (2, "Ann B. Roe 3-4-25"), (3, "Cher 3-4-25"), (4, "No One 3-4-25")], "doc_id long, stem string")
+    rows = spark.createDataFrame([(1, "Cher", "12345")], "ord long, name string, number string")
+    out = datasets.labelled(docs, rows, sheet)
+    got = sorted((r["doc_id"], r["label"]) for r in out.collect())
+    # Each label of the whole name as often as the first and last word have one; a missing one takes theirs.
+    assert got == sorted([(1, "A1")] * 3 + [(1, "A2")] * 3 + [(1, x) for x in ("A1", "A2", "Ann Roe")] + [(2, "B1")] * 3 + [(2, "B2")] * 3 + [(4, "No One")])
+    known = datasets.document_counts(out).collect()
+    assert sorted(map(tuple, known)) == sorted(map(tuple, datasets.split_counts(datasets.training_crops(out)).collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")  # rows aren't multiplied below a join
