@@ -128,3 +128,20 @@ def test_labels_of_a_name_that_the_sheet_repeats(spark):
     assert sorted(map(tuple, known)) == sorted(map(tuple, datasets.split_counts(datasets.training_crops(out)).collect()))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join")  # rows aren't multiplied below a join
+
+
+def test_known_candidates_have_no_edits_looked_up(spark, monkeypatch):
+    from formloom.operators import directory
+
+    asked, fuzzy = [], directory.fuzzy
+
+    def seen(candidates, known):
+        asked.extend(r["candidate"] for r in candidates.select("candidate").collect())
+        return fuzzy(candidates, known)
+
+    monkeypatch.setattr(directory, "fuzzy", seen)
+    known = spark.createDataFrame([(n,) for n in ("12345", "12346", "22345", "99999")], "number string")
+    docs = spark.createDataFrame([(1, ["55555", "12345", "12347"]), (2, ["99999"]), (3, []), (4, ["12345", "22346"])], "doc_id long, candidates array<string>")
+    got = {r["doc_id"]: r["candidates"] for r in directory.snapped(docs, known).collect()}
+    assert got == {1: ["12345", "12346", "55555"], 2: ["99999"], 3: [], 4: ["12345", "12346", "22345"]}
+    assert sorted(asked) == ["12347", "22346", "55555"]
