@@ -81,12 +81,12 @@ def failure_analysis(compared: DataFrame, readings: DataFrame, seen: DataFrame)
     """
     from .truth import failure_cause
 
-    counts = rank.histogram(readings)
-    top = rank.most_common(counts).select("doc_id", F.col("value").alias("top_candidate"), F.col("n").alias("top_n"))
-    n = counts.groupBy("doc_id").agg(F.count("*").alias("candidate_n"))
+    # The strings are read and counted once; a document's distinct candidates stand in one row.
+    own = F.struct(F.col("n"), *rank.lengths(), F.col("value"))
+    read = rank.histogram(readings).groupBy("doc_id").agg(F.count("*").alias("candidate_n"), F.max(own).alias("top"), F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("counts"))
     failed = compared.where(F.col("category").isin(CAUSED)).select("doc_id", "category", "extracted_number", "expected_number")
-    own = counts.select("doc_id", F.col("value").alias("expected_number"), F.col("n").alias("expected_n"))
-    out = failed.join(own, ["doc_id", "expected_number"], "left").join(n, "doc_id", "left").join(top, "doc_id", "left").join(seen, "doc_id", "left")
+    out = failed.join(read, "doc_id", "left").join(seen, "doc_id", "left")
+    out = out.withColumns({"expected_n": F.try_element_at("counts", F.col("expected_number")), "top_candidate": F.col("top.value"), "top_n": F.col("top.n")})
     present, label = F.col("expected_n").isNotNull(), F.coalesce("seen", F.lit(False))
     return out.select(
         "doc_id",

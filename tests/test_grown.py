@@ -145,3 +145,36 @@ def test_known_candidates_have_no_edits_looked_up(spark, monkeypatch):
     got = {r["doc_id"]: r["candidates"] for r in directory.snapped(docs, known).collect()}
     assert got == {1: ["12345", "12346", "55555"], 2: ["99999"], 3: [], 4: ["12345", "12346", "22345"]}
     assert sorted(asked) == ["12347", "22346", "55555"]
+
+
+def test_failures_read_each_string_once(spark):
+    from formloom.operators import truth
+
+    compared = spark.createDataFrame([(1, "single_digit_ocr_mismatch", "12345", "12346"), (2, "expected_present_extracted_blank", "", "22222"), (3, "match", "1", "1"), (4, "multi_digit_ocr_mismatch", "55555", "55566")], "doc_id long, category string, extracted_number string, expected_number string")
+    raws = spark.createDataFrame([(1, "12345"), (1, "12345"), (1, "12346"), (4, "5S555"), (4, "01234567")], "doc_id long, raw string")
+    seen = spark.createDataFrame([(2, True)], "doc_id long, seen boolean")
+    out = evaluate.failure_analysis(compared, raws, seen)
+    got = {r["doc_id"]: tuple(r[c] for c in ("present", "expected_n", "candidate_n", "top_candidate", "top_n", "label_seen", "cause")) for r in out.collect()}
+    assert got == {
+        1: (True, 1, 2, "12345", 2, False, "candidate_ranking_issue"),
+        2: (False, 0, 0, "", 0, True, "localization_or_detection_issue"),
+        4: (False, 0, 2, "55555", 1, False, "ocr_recognition_or_localization_issue"),
+    }
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1  # three times before
+    matched = spark.createDataFrame([(1, "A", "A B", "a b", "12(456", "121457"), (2, None, "A B", None, "1", None)], "doc_id long, source_name string, extracted_name string, truth_normal string, extracted_number string, expected_number string")
+    failed = truth.compared(matched).where("category = 'single_digit_ocr_mismatch'")
+    assert [(r["doc_id"], r["extracted_number"]) for r in failed.collect()] == [(1, "121456")]
+    assert failed._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_truth_meets_by_form_and_key_in_one_join(spark):
+    from formloom.operators import truth
+
+    rows = [(1, "Roe, Ann"), (2, "Ann Roe"), (3, "Ann B. Roe"), (4, "Cher"), (5, "Bob Stone"), (6, "Robert X Stone"), (7, "Prince"), (8, "Prince")]
+    known = truth.truth_rows(spark.createDataFrame([(i, n, str(10000 + i), "") for i, n in rows], "ord long, name string, number string, flag string"))
+    docs = [(1, "scan", "Ann Roe"), (2, "Ann B Roe", "x"), (3, "", "CHER"), (4, "Robert Stone", None), (5, "Prince", ""), (6, "Rob X. Y. Stone", "Cher"), (7, None, "No One")]
+    out = truth.match_truth(spark.createDataFrame(docs, "doc_id long, stem_name string, extracted_name string"), known)
+    got = {r["doc_id"]: (r["phase"], r["expected_number"]) for r in out.collect()}
+    # A form of one row by itself; else the key, with most words shared, then the first row; a single word that is repeated meets none.
+    assert got == {1: (3, "10001"), 2: (0, "10003"), 3: (1, "10004"), 4: (2, "10006"), 5: (None, None), 6: (1, "10004"), 7: (None, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
