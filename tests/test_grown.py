@@ -178,3 +178,31 @@ def test_truth_meets_by_form_and_key_in_one_join(spark):
     # A form of one row by itself; else the key, with most words shared, then the first row; a single word that is repeated meets none.
     assert got == {1: (3, "10001"), 2: (0, "10003"), 3: (1, "10004"), 4: (2, "10006"), 5: (None, None), 6: (1, "10004"), 7: (None, None)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_edits_of_digits_are_looked_up_as_bits(spark):
+    import random
+
+    from formloom.operators import directory
+
+    rng = random.Random(5)
+    known = {str(rng.randint(10**(n - 1), 10**(n - 1) + 90)) for n in (4, 5, 6, 7, 8) for _ in range(40)} | {"0", "00012", "012345", "99999999", "12a45", "", "123456789", "10-00", "11111", "111111"}
+    cands = {str(rng.randint(10**(n - 1), 10**(n - 1) + 90)) for n in (4, 5, 6, 7, 8) for _ in range(20)} | {"", "0", "00012", "0012", "10a00", "12a45", "12b45", "1234567890", "123456789", "11111", "11112", "1x111", "01000"}
+
+    def near(x):
+        out = {x}
+        n = len(x)
+        if n <= 8:
+            out |= {x[:i] + d + x[i + 1 :] for i in range(n) for d in "0123456789"}
+            out |= {x[:i] + d + x[i:] for i in range(n + 1) for d in "0123456789" if n + 1 <= 6}
+            out |= {x[:i] + x[i + 1 :] for i in range(n) if n > 5}
+            out |= {x[:i] + x[i + 1] + x[i] + x[i + 2 :] for i in range(n - 1)}
+        return out & known
+
+    rows = spark.createDataFrame([(k,) for k in sorted(known)], "number string")
+    out = directory.fuzzy(spark.createDataFrame([(c,) for c in sorted(cands)] * 2 + [(None,)], "candidate string"), rows)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(c, m) for c in cands for m in near(c)}
+    # Some hundred edits of each candidate were told apart by a shuffle before.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and plan.count("Aggregate [candidate") <= 5
