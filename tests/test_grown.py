@@ -206,3 +206,27 @@ def test_edits_of_digits_are_looked_up_as_bits(spark):
     # Some hundred edits of each candidate were told apart by a shuffle before.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or" in plan and plan.count("Aggregate [candidate") <= 5
+
+
+def test_similarity_is_that_of_sequence_matcher():
+    import random
+    from difflib import SequenceMatcher
+
+    from formloom.functions import udfs
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé ") for _ in range(rng.choice((0, 1, 3, 8, 14, 30)))) for _ in range(300)] + ["ab" * 120, "ba" * 110]
+    for a in words:
+        b = rng.choice(words)
+        assert udfs.similarity(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_live_tiers_meet_the_directory_once(spark):
+    from formloom.operators import directory, verify
+
+    known = directory.directory(spark.createDataFrame([(1, "12345", "Ann Roe"), (2, "12346", "Stone, Bob"), (3, "12347", "Cher")], "ord long, number string, name string"))
+    docs = [(1, ["12346", "12345"], ["ann roe", "ANN  ROE", "Bob Stone"]), (2, ["99999", "12347"], []), (3, ["99999"], ["Cher"]), (4, None, ["Cher"]), (5, [None, "12347"], [None, "cher"])]
+    out = verify.verify_live(spark.createDataFrame(docs, "doc_id long, candidates array<string>, names array<string>"), known)
+    got = {r["doc_id"]: (r["number"], r["match_level"], r["total_found"], r["status"]) for r in out.collect()}
+    assert got[1] == ("12346", "exact", 2, "green") and got[2] == ("12347", "none", 1, "yellow") and got[3] == ("99999", "none", 0, "red") and got[5] == ("12347", "exact", 1, "green")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("max_by(") == 1  # twice before
