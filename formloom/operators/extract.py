@@ -173,25 +173,37 @@ def _answers(c: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
-def binary_answer(page: Column, anchor: Column) -> Column:
-    """yes, no or null: the answer to a question in recognised text."""
-    compact = text.compact_text(page)
+def _joined_lines(small: Column) -> Column:
+    """Each line's compact text with the next one's."""
+    return F.transform(small, lambda x, i: F.concat(x, F.coalesce(F.try_element_at(small, i + 2), F.lit(""))))
+
+
+def _answer(compact: Column, lines: Column, joined: Column, anchor: Column) -> Column:
     at = F.position(anchor, compact)
     tail = F.substring(compact, at + F.char_length(anchor), F.lit(40))
-    lines = text.lines(page)
-    joined = F.transform(lines, lambda x, i: F.concat(text.compact_text(x), F.coalesce(text.compact_text(F.try_element_at(lines, i + 2)), F.lit(""))))
     k = F.array_position(F.transform(joined, lambda x: F.contains(x, anchor)), True).cast("int")
     window = text.checkbox_fold(F.array_join(F.slice(lines, F.greatest(k, F.lit(1)), 2), " "))
-    by_lines = F.when(k > 0, _answers(window, WINDOW_ANSWERS).when(window.rlike("y$") & ~F.contains(window, F.lit("n")), "yes"))
-    return F.when(at > 0, _answers(tail, TAIL_ANSWERS)).otherwise(by_lines)
+    by_lines = F.when(k > 0, text.let(window, lambda w: _answers(w, WINDOW_ANSWERS).when(w.rlike("y$") & ~F.contains(w, F.lit("n")), "yes")))
+    return F.when(at > 0, text.let(tail, lambda t: _answers(t, TAIL_ANSWERS))).otherwise(by_lines)
+
+
+def binary_answer(page: Column, anchor: Column) -> Column:
+    """yes, no or null: the answer to a question in recognised text."""
+    lines = text.lines(page)
+    return _answer(text.compact_text(page), lines, _joined_lines(F.transform(lines, text.compact_text)), anchor)
 
 
 def checkbox_overrides(pages: DataFrame) -> DataFrame:
     """doc_id, field, answer of pages (doc_id, page, text) for all questions that have one."""
     spark = pages.sparkSession
     hints = spark.createDataFrame([(k, p, a) for k, (p, a) in QUESTIONS.items()], "field string, page int, anchor string")
-    met = pages.join(F.broadcast(hints), "page")
-    return met.withColumn("answer", binary_answer(F.col("text"), F.col("anchor"))).where("answer is not null").select("doc_id", "field", "answer")
+    # What all questions of a page look at is worked out once a page.
+    out = pages.withColumns({"_compact": text.compact_text(F.col("text")), "_lines": text.lines(F.col("text"))})
+    out = out.withColumn("_small", F.transform("_lines", text.compact_text)).withColumn("_joined", _joined_lines(F.col("_small")))
+    met = out.join(F.broadcast(hints), "page")
+    # In an array of one: a filter of rows would work the answer out again.
+    answers = met.select("doc_id", "field", F.explode(F.array(_answer(F.col("_compact"), F.col("_lines"), F.col("_joined"), F.col("anchor")))).alias("answer"))
+    return answers.where("answer is not null")
 
 
 @dataclass(frozen=True)

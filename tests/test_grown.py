@@ -230,3 +230,19 @@ def test_live_tiers_meet_the_directory_once(spark):
     got = {r["doc_id"]: (r["number"], r["match_level"], r["total_found"], r["status"]) for r in out.collect()}
     assert got[1] == ("12346", "exact", 2, "green") and got[2] == ("12347", "none", 1, "yellow") and got[3] == ("99999", "none", 0, "red") and got[5] == ("12347", "exact", 1, "green")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("max_by(") == 1  # twice before
+
+
+def test_a_page_is_folded_once_for_all_questions(spark):
+    from formloom.operators import extract
+
+    rows = [(1, 1, "Do you need to register as a sex offender? Y/x N\nHave you had your\nparole hearing? y yes n"), (2, 1, "nothing"), (3, 2, "Do you have\naddictions? Y\nno"), (4, 1, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    out = extract.checkbox_overrides(pages)
+    got = sorted((r["doc_id"], r["field"], r["answer"]) for r in out.collect())
+    want = []
+    for field, (page, anchor) in extract.QUESTIONS.items():
+        each = pages.where(F.col("page") == page).select("doc_id", extract.binary_answer(F.col("text"), F.lit(anchor)).alias("a")).where("a is not null")
+        want += [(r["doc_id"], field, r["a"]) for r in each.collect()]
+    assert got == sorted(want) and got
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9/]+") == 2  # once a page, once a line; again in a filter of each question before
