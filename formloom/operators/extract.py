@@ -114,56 +114,74 @@ def is_label(line: Column) -> Column:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """docs (.., text) with _text, its lines stripped and without blank ones, worked out once for all fields."""
-    return docs.withColumn("_text", text.line_text(F.col("text")))
+    """docs (.., text) with _text, its lines stripped and without blank ones, _low, folded, and _ascii; worked out once for all fields."""
+    return docs.withColumn("_text", text.line_text(F.col("text"))).withColumns({"_low": text.fold(F.col("_text")), "_ascii": text.is_ascii(F.col("_text"))})
 
 
 _STARTS = "|".join(re.escape(x) for x in LABELS)
 
 
+def extract_after(c: Column, low: Column, ascii_: Column, label: str, rest: str, flags: str = "i") -> Column:
+    """First group of the first match of ``label`` and ``rest`` in c, '' without one.
+
+    low: c folded. label: a pattern of small letters; its first place is looked up in low, where capitals don't count, and the
+    match is looked for from there. Java and Spark count places alike in ASCII only; other texts are searched from their start.
+    """
+    at = F.when(ascii_, F.regexp_instr(low, F.lit(label))).otherwise(1)
+    return text.let(at, lambda i: F.when(i > 0, F.regexp_extract(F.substr(c, i), f"(?{flags}){label}{rest}", 1)).when(c.isNotNull(), ""))
+
+
 def value_after(anchor: str, most: int = 3) -> Column:
     """What stands after the first anchor: the rest of its line, else the next lines, ``most`` at most, up to a label.
 
-    One match over the column _text of ``prepared``: no line is looked at twice.
+    One match over the columns of ``prepared``: no line is looked at twice.
     """
-    pattern = rf"(?i){re.escape(anchor)}[^\S\n]*(\S.*|(?:\n(?!{_STARTS}).*){{0,{most}}})"
-    return text.clean(F.regexp_extract("_text", pattern, 1))
+    rest = rf"[^\S\n]*(\S.*|(?:\n(?!{_STARTS}).*){{0,{most}}})"
+    return text.clean(extract_after(F.col("_text"), F.col("_low"), F.col("_ascii"), re.escape(anchor.lower()), rest))
 
 
 def multiline_after(anchor: str, stop: str | None = None) -> Column:
-    """The rest of the anchor's line and all lines after it up to one that holds ``stop``; over _text of ``prepared``."""
-    after = F.regexp_extract("_text", rf"(?is){re.escape(anchor)}(.*)", 1)
+    """The rest of the anchor's line and all lines after it up to one that holds ``stop``; over the columns of ``prepared``."""
+    after = extract_after(F.col("_text"), F.col("_low"), F.col("_ascii"), re.escape(anchor.lower()), "(.*)", "is")
     if stop:
-        after = F.regexp_extract(after, rf"(?is)\A(.*?)(?:\n[^\n]*{re.escape(stop)}.*)?\z", 1)
+        after = F.regexp_replace(after, rf"(?is)\n[^\n]*{re.escape(stop)}.*", "")
     return text.clean(after)
 
 
+def either(*values: Column) -> Column:
+    """First value that is neither null nor '', '' without one; each is worked out once, and only if those before it are missing."""
+    out = F.coalesce(values[-1], F.lit(""))
+    for v in reversed(values[:-1]):
+        out = text.let(v, lambda x, rest=out: F.when(x != "", x).otherwise(rest))
+    return out
+
+
 def _first(found: Column) -> Column:
     """First value that is neither null nor '', '' without one."""
     return F.coalesce(F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1)), F.lit(""))
 
 
 def line_after(lines: Column, anchor: str, ignore: Sequence[str] = (), most: int = 4) -> Column:
-    """First of the next lines after an anchor's that has none of the ignored words; the first anchor with one decides."""
+    """First of the next lines after an anchor's (a pattern) that has none of the ignored words; the first anchor with one decides."""
 
     def good(x: Column) -> Column:
         return ~reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w)) for w in ignore), F.lit(False))
 
-    return _first(F.transform(lines, lambda x, i: F.when(x.rlike(f"(?i){anchor}"), _first(F.filter(F.slice(lines, i + 2, most), good)))))
+    return _first(F.transform(lines, lambda x, i: F.when(x.rlike(anchor), _first(F.filter(F.slice(lines, i + 2, most), good)))))
 
 
 def bool_by_regex(c: Column, pattern: str) -> Column:
-    return text.yes_no(F.regexp_extract(c, f"(?is){pattern}", 1))
+    return text.let(F.regexp_extract(c, f"(?s){pattern}", 1), text.yes_no)
 
 
 def bool_by_context(lines: Column, anchor: str) -> Column:
-    """yes or no, if only one of them stands in an anchor's line and the three after it; the first such anchor decides."""
+    """yes or no, if only one of them stands in an anchor's line and the three after it; the first such anchor decides. Over folded lines."""
 
     def read(window: Column) -> Column:
         yes, no = window.rlike(r"\byes\b"), window.rlike(r"\bno\b")
         return F.when(yes & ~no, "yes").when(no & ~yes, "no")
 
-    return _first(F.transform(lines, lambda x, i: F.when(x.rlike(f"(?i){anchor}"), text.let(F.lower(F.array_join(F.slice(lines, i + 1, 4), " ")), read))))
+    return _first(F.transform(lines, lambda x, i: F.when(x.rlike(anchor), text.let(F.lower(F.array_join(F.slice(lines, i + 1, 4), " ")), read))))
 
 
 def _answers(c: Column, patterns: Sequence[tuple[str, str]]) -> Column:
@@ -262,35 +280,51 @@ def digital_form(docs: DataFrame, fields: Sequence[Field] = DIGITAL_FORM, confid
 
     A missing name comes from the file stem, a missing signing date from the form's date.
     """
-    lines = prepared(docs)
+    return unpivot(prepared(docs), _form(fields), "digital_text", confidence)
+
+
+def _form(fields: Sequence[Field]) -> dict[str, tuple[str, Column]]:
+    """Kind and value of each field of the digital form, over the columns of ``prepared``."""
 
     def read(f: Field) -> Column:
         each = []
         for anchor in f.anchors:
-            v = _rule(f.rule, value_after(anchor, f.most))
+            v = text.let(value_after(anchor, f.most), lambda c: _rule(f.rule, c))
             each.append(text.strip(F.regexp_replace(v, f.cut, "")) if f.cut else v)
-        return F.coalesce(*(F.nullif(v, F.lit("")) for v in each), F.lit(""))
+        return either(*each)
+
+    def date(c: Column) -> Column:
+        return text.let(c, lambda v: text.valid_date(v, False))
 
-    today = text.valid_date(value_after("Today's Date", 1), False)
     values = {f.name: (f.kind, read(f)) for f in fields}
-    values["housing.needed_by"] = ("text", text.valid_date(multiline_after("Housing needed by", "Phone"), False))
-    charges = F.coalesce(F.nullif(multiline_after("EXPLAIN IN DETAIL ALL", "Name of Case"), F.lit("")), multiline_after("List all charges", "Name of Case"))
+    values["housing.needed_by"] = ("text", date(multiline_after("Housing needed by", "Phone")))
+    charges = either(multiline_after("EXPLAIN IN DETAIL ALL", "Name of Case"), multiline_after("List all charges", "Name of Case"))
     charges = F.regexp_replace(charges, r"(?i)\s*EXPLAIN IN DETAIL ALL\s*VIOLENT CHARGES:?\s*", "\n")
     values["criminal.charges"] = ("multiline_text", text.strip(F.regexp_replace(text.strip(charges), r"(?i)^VIOLENT CHARGES:?\s*", "")))
-    signed = text.valid_date(value_after("Date", 1), False)
-    values["signing.application_date"] = ("text", F.coalesce(F.nullif(signed, F.lit("")), today))
+    values["signing.application_date"] = ("text", either(date(value_after("Date", 1)), date(value_after("Today's Date", 1))))
     kind, name = values["applicant.name"]
-    values["applicant.name"] = (kind, F.coalesce(F.nullif(name, F.lit("")), text.stem_name(F.col("stem"), "2,4")))
-    return unpivot(lines, values, "digital_text", confidence)
+    values["applicant.name"] = (kind, either(name, text.stem_name(F.col("stem"), "2,4")))
+    return values
 
 
 def unpivot(docs: DataFrame, values: dict[str, tuple[str, Column]], source: str, confidence: float) -> DataFrame:
     """One row for each field, from one projection of all of them."""
-    each = [F.struct(F.lit(k).alias("field"), F.lit(kind).alias("kind"), v.alias("value")) for k, (kind, v) in values.items()]
-    long = docs.select("doc_id", F.explode(F.array(*each)).alias("f")).select("doc_id", "f.*")
+    # The array is made in the explode: of a column, Spark would first filter documents by its size and work all values out for that.
+    wide, each = _together(docs, values)
+    long = wide.select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.*")
     return long.select("doc_id", "field", "kind", F.lit(source).alias("source"), "value", F.when(F.col("value") != "", confidence).otherwise(0.0).alias("confidence"))
 
 
+def _together(docs: DataFrame, values: dict[str, tuple[str, Column]]) -> tuple[DataFrame, Column]:
+    """docs with a column for each value, and the array of field, kind and value over them.
+
+    The values are worked out before they stand in the array: within an explode Spark has no generated code for them.
+    """
+    wide = docs.select("doc_id", *(v.alias(f"_v{i}") for i, (_, v) in enumerate(values.values())))
+    each = [F.struct(F.lit(k).alias("field"), F.lit(kind).alias("kind"), F.col(f"_v{i}").alias("value")) for i, (k, (kind, _)) in enumerate(values.items())]
+    return wide, F.array(*each)
+
+
 #: Cities that the packet offers.
 PACKET_CITIES = ("Boise", "Caldwell", "Lewiston", "Twin Falls", "Idaho Falls", "Pocatello")
 
@@ -300,21 +334,30 @@ def _optional(docs: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) if name in docs.columns else F.lit("")
 
 
+def _squeezed_lines(c: Column) -> Column:
+    return text.lines(F.regexp_replace(c, r" [ \t]+|\t[ \t]*", " "))
+
+
 def packet_form(docs: DataFrame, confidence: float = 0.85, checkbox_confidence: float = 0.9) -> DataFrame:
     """The same for the scanned packet of docs (doc_id, text: its first page; page2, page3 and stem, if there are).
 
     The name is the file stem's, or where there is none what follows the name's label.
     """
     docs = docs.select("doc_id", *(_optional(docs, c).alias(n) for c, n in (("text", "_1"), ("page2", "_2"), ("page3", "_3"), ("stem", "_stem"))))
-    docs = docs.withColumns({f"_lines{k}": text.lines(F.regexp_replace(f"_{k}", r"[ \t]+", " ")) for k in (1, 2)})
-    p1, p2, p3, l1, l2 = (F.col(c) for c in ("_1", "_2", "_3", "_lines1", "_lines2"))
-    both, both_lines = F.concat(p1, F.lit("\n"), p2), F.concat(l1, l2)
+    # What looks for digits, or for words whose capitals don't count, reads the folded pages.
+    docs = docs.withColumns({f"_low{k}": text.fold(F.col(f"_{k}")) for k in (1, 2)} | {f"_ascii{k}": text.is_ascii(F.col(f"_{k}")) for k in (1, 2)})
+    docs = docs.withColumns({f"_lines{k}": _squeezed_lines(F.col(f"_low{k}")) for k in (1, 2)})
+    p1, p3, low1, low2, l1, l2 = (F.col(c) for c in ("_1", "_3", "_low1", "_low2", "_lines1", "_lines2"))
+    both, both_lines = F.concat(low1, F.lit("\n"), low2), F.concat(l1, l2)
+
+    def edged(c: Column) -> Column:
+        return F.btrim(text.squeeze(c), F.lit(" _:-"))
 
-    def either(*values: Column) -> Column:
-        return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+    def got(c: Column, pattern: str, flags: str = "") -> Column:
+        return edged(F.regexp_extract(c, f"(?{flags}){pattern}" if flags else pattern, 1))
 
-    def got(c: Column, pattern: str, flags: str = "i") -> Column:
-        return F.btrim(text.squeeze(F.regexp_extract(c, f"(?{flags}){pattern}", 1)), F.lit(" _:-"))
+    def as_is(page: int, label: str, rest: str, flags: str = "i") -> Column:
+        return edged(extract_after(*(F.col(f"{c}{page}") for c in ("_", "_low", "_ascii")), label, rest, flags))
 
     def tidy(c: Column) -> Column:
         return F.btrim(text.squeeze(c), F.lit(" _:-.,"))
@@ -329,8 +372,7 @@ def packet_form(docs: DataFrame, confidence: float = 0.85, checkbox_confidence:
         return text.let(c, lambda v: text.only_if(v, ~v.rlike(f"(?i){pattern}")))
 
     def gender(c: Column) -> Column:
-        v = F.lower(text.strip(c))
-        return F.when(v.isin("male", "m"), "Male").when(v.isin("female", "f"), "Female").otherwise("")
+        return text.let(F.lower(text.strip(c)), lambda v: F.when(v.isin("male", "m"), "Male").when(v.isin("female", "f"), "Female").otherwise(""))
 
     def phone(c: Column) -> Column:
         return text.let(tidy(c), lambda v: text.only_if(v, F.char_length(text.digits(v)) >= 10))
@@ -339,40 +381,42 @@ def packet_form(docs: DataFrame, confidence: float = 0.85, checkbox_confidence:
         return either(bool_by_regex(c, pattern), bool_by_context(of_lines, anchor))
 
     until = r"\s*(?:Name of Case Manager|Will you be on probation|I have completed)"
-    city = either(got(p1, r"preferred city of\s*(.*?)\s*Have you previously", "is"), line_after(l1, "preferred city of", ("housing", "please selecta")))
+    city = either(got(low1, r"preferred city of\s*(.*?)\s*have you previously", "s"), line_after(l1, "preferred city of", ("housing", "please selecta")))
+    # Lines as they are written are made only for documents without a stem.
+    first_line = line_after(_squeezed_lines(p1), r"(?i)^name\b", ("gender", "date of birth"))
     # The patterns of the packet's labels, here and below.
     texts = {
-        "applicant.name": either(text.stem_name(F.col("_stem")), line_after(l1, r"^name\b", ("gender", "date of birth"))),
-        "applicant.idoc_or_le_number": numbers.packet_id(got(p1, r"IDOC\s*or\s*LE\s*#\s*([A-Za-z0-9-]+)")),
+        "applicant.name": either(text.stem_name(F.col("_stem")), first_line),
+        "applicant.idoc_or_le_number": text.let(got(low1, r"idoc\s*or\s*le\s*#\s*([a-z0-9-]+)"), numbers.packet_id),
         "applicant.gender": gender(line_after(l1, r"^gender:?$", ("name", "please print clearly", "address", "physical address"))),
-        "applicant.date_of_birth": date(got(p1, r"Date of Birth\s*([0-9/.-]+)")),
-        "applicant.age": got(p1, r"Age:?\s*([0-9]{1,3})"),
-        "contacts.phone": phone(got(p1, r"Phone(?: Number)?:?\s*([0-9() -]{7,})")),
-        "contacts.email": passing(got(p1, r"e-?mail\s*([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-        "contacts.emergency_contact": got(p1, r"Emergency Contact:?\s*([A-Za-z0-9 .()/-]{6,})\s*Name(?:\s*&\s*Phone| and Phone)?"),
-        "housing.preferred_city": text.valid_city(tidy(city), PACKET_CITIES),
-        "addictions.drug_of_choice": unless(tidy(either(got(p1, r"Drug\(s\) of Choice:?\s*([^\n]+)"), got(p2, r"Alcohol and/or drugs\s*([^\n]+)"))), r"\?"),
-        "addictions.date_of_last_use": date(either(got(p1, r"Date[- ]of[- ]Last[- ]Use:?\s*([0-9/.-]+)"), got(p2, r"Date of last use\s*([0-9/.-]+)"))),
-        "housing.needed_by": date(either(got(p1, r"Date Housing Needed:?\s*([^\n]+)"), got(p2, r"Housing needed by\s*([^\n]+)"))),
-        "support.prescribed_medications": either(got(p1, r"List any medications you are prescribed:?\s*([^\n]+)"), got(p2, r"List any medications\s*([^\n]+)\s*you are prescribed")),
-        "contacts.case_manager": unless(either(got(p2, r"Name of Case\s*Manager:?\s*([^\n]+)"), got(p2, r"Name of CaseManager,? if applicable:?\s*([^\n]+)")), "if applicable|name of case"),
-        "supervision.reporting_county": got(p2, r"Name of Idaho County you will be reporting to:?\s*([^\n]+)"),
-        "supervision.probation_or_parole_officer": unless(got(p2, r"Probation/Parole Officer(?: Name)?(?:, if known)?:?\s*([^\n]+)"), "name,? ?if known"),
-        "signing.signature_name": either(got(p2, r"Your Signature \(Type Name\)\s*([^\n]+)"), got(p2, r"Print Name:?\s*([^\n]+)")),
-        "signing.application_date": either(date(got(p1, r"Today's Date:?\s*([0-9/.-]+)")), date(either(*(got(p, r"Date\s*([0-9/.-]+)") for p in (p2, p3))))),
+        "applicant.date_of_birth": date(got(low1, r"date of birth\s*([0-9/.-]+)")),
+        "applicant.age": got(low1, r"age:?\s*([0-9]{1,3})"),
+        "contacts.phone": phone(got(low1, r"phone(?: number)?:?\s*([0-9() -]{7,})")),
+        "contacts.email": passing(as_is(1, "e-?mail", r"\s*([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+        "contacts.emergency_contact": as_is(1, "emergency contact", r":?\s*([A-Za-z0-9 .()/-]{6,})\s*Name(?:\s*&\s*Phone| and Phone)?"),
+        "housing.preferred_city": text.let(tidy(city), lambda v: text.valid_city(v, PACKET_CITIES)),
+        "addictions.drug_of_choice": unless(tidy(either(as_is(1, r"drug\(s\) of choice", r":?\s*([^\n]+)"), as_is(2, "alcohol and/or drugs", r"\s*([^\n]+)"))), r"\?"),
+        "addictions.date_of_last_use": date(either(got(low1, r"date[- ]of[- ]last[- ]use:?\s*([0-9/.-]+)"), got(low2, r"date of last use\s*([0-9/.-]+)"))),
+        "housing.needed_by": date(either(got(low1, r"date housing needed:?\s*([^\n]+)"), got(low2, r"housing needed by\s*([^\n]+)"))),
+        "support.prescribed_medications": either(as_is(1, "list any medications you are prescribed", r":?\s*([^\n]+)"), as_is(2, "list any medications", r"\s*([^\n]+)\s*you are prescribed")),
+        "contacts.case_manager": unless(either(as_is(2, "name of case", r"\s*Manager:?\s*([^\n]+)"), as_is(2, "name of casemanager", r",? if applicable:?\s*([^\n]+)")), "if applicable|name of case"),
+        "supervision.reporting_county": as_is(2, "name of idaho county you will be reporting to", r":?\s*([^\n]+)"),
+        "supervision.probation_or_parole_officer": unless(as_is(2, "probation/parole officer", r"(?: Name)?(?:, if known)?:?\s*([^\n]+)"), "name,? ?if known"),
+        "signing.signature_name": either(as_is(2, r"your signature \(type name\)", r"\s*([^\n]+)"), as_is(2, "print name", r":?\s*([^\n]+)")),
+        "signing.application_date": either(date(got(low1, r"today's date:?\s*([0-9/.-]+)")), date(either(got(low2, r"date\s*([0-9/.-]+)"), got(p3, r"Date\s*([0-9/.-]+)", "i")))),
     }
     blocks = {
-        "criminal.charges": got(p2, rf"List all charges:?\s*(.*?){until}", "is"),
-        "criminal.violent_charge_explanation": got(p2, rf"violent charges:?\s*(.*?){until}", "is"),
+        "criminal.charges": as_is(2, "list all charges", rf":?\s*(.*?){until}", "is"),
+        "criminal.violent_charge_explanation": as_is(2, "violent charges", rf":?\s*(.*?){until}", "is"),
     }
     boxes = {
-        "history.previously_resided": yes_no(p1, r"Have you previously\s*(Yes|No)\s*resided at", l1, r"previously\s+resided\s+at"),
-        "history.alcoholic_or_addict": yes_no(p1, r"Are you an\s*(Yes|No)\s*alcoholic/addict", l1, "alcoholic/addict"),
-        "requirements.sex_offender_registration": yes_no(p2, r"register\s*(Yes|No)\s*as a sex offender", l2, r"register\s+as\s+a\s+sex\s+offender"),
-        "employment.currently_employed": yes_no(p2, r"currently\s*(Yes|No)\s*employed", l2, r"currently\s+employed"),
-        "criminal.convicted_misdemeanor_or_felony": yes_no(both, r"convicted of a\s*(Yes|No)\s*misdemeanor or\s*felony", both_lines, r"convicted\s+of\s+a\s+misdemeanor\s+or\s+felony"),
-        "criminal.under_influence_during_crime": yes_no(p2, r"influence of\s*(Yes|No)\s*drugs/alcohol", l2, r"under\s+the\s+influence.*crime\s+was\s+committed|where\s+you\s+under\s+the\s+influence"),
-        "supervision.on_probation_or_parole_while_housed": yes_no(p2, r"Will you be on\s*(Yes|No)\s*probation or parole", l2, r"probation\s+or\s+parole\s+while\s+in\s+housing"),
+        "history.previously_resided": yes_no(low1, r"have you previously\s*(yes|no)\s*resided at", l1, r"previously\s+resided\s+at"),
+        "history.alcoholic_or_addict": yes_no(low1, r"are you an\s*(yes|no)\s*alcoholic/addict", l1, "alcoholic/addict"),
+        "requirements.sex_offender_registration": yes_no(low2, r"register\s*(yes|no)\s*as a sex offender", l2, r"register\s+as\s+a\s+sex\s+offender"),
+        "employment.currently_employed": yes_no(low2, r"currently\s*(yes|no)\s*employed", l2, r"currently\s+employed"),
+        "criminal.convicted_misdemeanor_or_felony": yes_no(both, r"convicted of a\s*(yes|no)\s*misdemeanor or\s*felony", both_lines, r"convicted\s+of\s+a\s+misdemeanor\s+or\s+felony"),
+        "criminal.under_influence_during_crime": yes_no(low2, r"influence of\s*(yes|no)\s*drugs/alcohol", l2, r"under\s+the\s+influence.*crime\s+was\s+committed|where\s+you\s+under\s+the\s+influence"),
+        "supervision.on_probation_or_parole_while_housed": yes_no(low2, r"will you be on\s*(yes|no)\s*probation or parole", l2, r"probation\s+or\s+parole\s+while\s+in\s+housing"),
     }
     values = {k: (kind, v) for kind, group in (("text", texts), ("multiline_text", blocks), ("checkbox_group", boxes)) for k, v in group.items()}
     long = unpivot(docs, values, "raw_text", confidence)

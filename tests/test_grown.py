@@ -246,3 +246,32 @@ def test_a_page_is_folded_once_for_all_questions(spark):
     assert got == sorted(want) and got
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^a-z0-9/]+") == 2  # once a page, once a line; again in a filter of each question before
+
+
+def test_fields_are_worked_out_once_and_labels_found_in_folded_text(spark):
+    from formloom.operators import extract
+
+    page = "\U0001f600 naïve\r\nIDOC or LE # 12345\nGENDER: \n Address\nMALE\x85age: 34\nE-Mail Ann@Example.org\nare you AN\nalcoholic/addict no\nList Any Medications you are prescribed: Iron Pill"
+    second = "name of case MANAGER: Bo\nLIST ALL CHARGES: Theft\nand Fraud\nWill you be on probation"
+    docs = spark.createDataFrame([(1, page, second, None), (2, "IDOC OR LE # 99999\nAge 20", None, ""), (3, None, "DATE 1/2/2025", "Ann Roe 3-4-25")], "doc_id int, text string, page2 string, stem string")
+    out = extract.packet_form(docs)
+    got = {(r["doc_id"], r["field"]): r["value"] for r in out.collect() if r["value"]}
+    assert got == {
+        (1, "applicant.idoc_or_le_number"): "12345",
+        (1, "applicant.gender"): "Male",
+        (1, "applicant.age"): "34",
+        (1, "contacts.email"): "Ann@Example.org",
+        (1, "support.prescribed_medications"): "Iron Pill",
+        (1, "history.alcoholic_or_addict"): "no",
+        (1, "contacts.case_manager"): "Bo",
+        (1, "criminal.charges"): "Theft and Fraud",
+        (2, "applicant.idoc_or_le_number"): "99999",
+        (2, "applicant.age"): "20",
+        (3, "applicant.name"): "Ann Roe",
+        (3, "signing.application_date"): "1/2/2025",
+    }
+    forms = extract.digital_form(docs)
+    for rows, label in ((out, "emergency contact, 0"), (forms, "gender, 0")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        # Before: in the explode, as often as a rule or a choice used the value.
+        assert "regexp" not in plan[: plan.index("element_at")] and plan.count(label) == 1
