@@ -283,6 +283,12 @@ def digital_form(docs: DataFrame, fields: Sequence[Field] = DIGITAL_FORM, confid
     return unpivot(prepared(docs), _form(fields), "digital_text", confidence)
 
 
+def form_values(docs: DataFrame, fields: Sequence[Field] = DIGITAL_FORM) -> DataFrame:
+    """doc_id, fields (array of field, kind, value): those of ``digital_form``, a document's together in one row."""
+    wide, each = _together(prepared(docs), _form(fields))
+    return wide.select("doc_id", each.alias("fields"))
+
+
 def _form(fields: Sequence[Field]) -> dict[str, tuple[str, Column]]:
     """Kind and value of each field of the digital form, over the columns of ``prepared``."""
 
@@ -522,14 +528,21 @@ def best_variant(readings: DataFrame) -> DataFrame:
 
 
 def nested(fields: DataFrame) -> DataFrame:
-    """doc_id, extracted: JSON of section to field to value, from dotted field names."""
-    parts = fields.select("doc_id", F.substring_index("field", ".", 1).alias("section"), F.substring_index("field", ".", -1).alias("name"), "value")
-    by_section = parts.groupBy("doc_id", "section").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("m"))
-    return by_section.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", F.col("m"))), _by_section))).alias("extracted"))
+    """doc_id, extracted: JSON of section to field to value, from dotted field names.
+
+    fields: rows of doc_id, field and value, which meet once by document; or ``form_values``, where a document's stand together.
+    """
+    if "fields" not in fields.columns:
+        fields = fields.groupBy("doc_id").agg(F.collect_list(F.struct("field", "value")).alias("fields"))
+
+    def part(f: Column) -> Column:
+        return F.struct(F.substring_index(f["field"], ".", 1).alias("section"), F.substring_index(f["field"], ".", -1).alias("name"), f["value"].alias("value"))
 
+    def of(parts: Column) -> Column:
+        sections = F.array_distinct(F.transform(parts, lambda p: p["section"]))
+        return F.map_from_entries(F.transform(sections, lambda s: F.struct(s, F.map_from_entries(F.transform(F.filter(parts, lambda p: p["section"] == s), lambda p: F.struct(p["name"], p["value"]))))))
 
-def _by_section(a: Column, b: Column) -> Column:
-    return F.when(a["section"] < b["section"], -1).when(a["section"] > b["section"], 1).otherwise(0)
+    return fields.select("doc_id", F.to_json(text.let(F.array_sort(F.transform("fields", part)), of)).alias("extracted"))
 
 
 def text_overrides(docs: DataFrame) -> DataFrame:

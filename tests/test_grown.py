@@ -275,3 +275,21 @@ def test_fields_are_worked_out_once_and_labels_found_in_folded_text(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         # Before: in the explode, as often as a rule or a choice used the value.
         assert "regexp" not in plan[: plan.index("element_at")] and plan.count(label) == 1
+
+
+def test_fields_that_stand_together_are_nested_without_a_shuffle(spark):
+    import json
+
+    from formloom.operators import extract
+
+    docs = spark.createDataFrame([(1, "Name\nAnn Stone\nAge: 34", None), (2, None, "Bo Roe 3-4-25"), (3, "Name of Case\nManager: \"Q\"\nList all charges\na\nb", "")], "doc_id int, text string, stem string")
+    out, rows = extract.nested(extract.form_values(docs)), extract.nested(extract.digital_form(docs))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (out, rows)]
+    assert [p.count("Aggregate") for p in plans] == [0, 1]  # two of rows before
+    got = {r["doc_id"]: r["extracted"] for r in out.collect()}
+    assert got == {r["doc_id"]: r["extracted"] for r in rows.collect()}
+    read = {k: json.loads(v) for k, v in got.items()}
+    assert read[1]["applicant"] == {"age": "34", "date_of_birth": "", "gender": "", "idoc_or_le_number": "", "name": "Ann Stone"}
+    assert read[2]["applicant"]["name"] == "Bo Roe" and read[3]["applicant"]["name"] == "of Case" and read[2]["criminal"]["charges"] == ""
+    assert (read[3]["contacts"]["case_manager"], read[3]["criminal"]["charges"]) == ('"Q"', "a b")
+    assert list(read[1]) == sorted(read[1])
