@@ -126,8 +126,8 @@ def batch(docs: DataFrame, rows: DataFrame) -> DataFrame:
     listed = F.when(direct & ~F.array_contains("candidates", F.col("m")), F.concat(F.array("m"), F.col("candidates"))).when(by_name, F.concat(F.array("f"), F.col("candidates"))).otherwise(F.col("candidates"))
     how = F.when(direct, F.concat_ws("+", "method", "how")).when(by_name & (F.size("candidates") == 0), "spreadsheet_name_fallback").when(by_name, F.concat_ws("+", "method", F.lit("name_fallback"))).otherwise(F.col("method"))
     j = j.withColumns({"extraction_method": how, "candidates": listed})
-    tier = verify.verify_batch(j.select("doc_id", "candidates", "name"), known)
-    hits = verify.lookup(j.select("doc_id", "candidates"), known).groupBy("doc_id").agg(F.count("*").alias("candidates_found"))
+    tier = verify.verify_batch(j.select("doc_id", "candidates", "name"), known, verify.TRIED)
+    hits = verify.lookup(j.select("doc_id", "candidates"), known, verify.TRIED).groupBy("doc_id").agg(F.count("*").alias("candidates_found"))
     out = j.join(tier, "doc_id", "left").join(hits, "doc_id", "left").withColumn("candidates_found", F.coalesce("candidates_found", F.lit(0)))
     some = F.size("candidates") > 0
     status = F.when(~some, "no_candidates").when(F.col("candidates_found") == 0, "not_in_database").when(F.col("name_match") == "exact", "verified").when(F.col("name_match") == "partial", "partial_match").otherwise("name_mismatch")

@@ -293,3 +293,16 @@ def test_fields_that_stand_together_are_nested_without_a_shuffle(spark):
     assert read[2]["applicant"]["name"] == "Bo Roe" and read[3]["applicant"]["name"] == "of Case" and read[2]["criminal"]["charges"] == ""
     assert (read[3]["contacts"]["case_manager"], read[3]["criminal"]["charges"]) == ('"Q"', "a b")
     assert list(read[1]) == sorted(read[1])
+
+
+def test_all_candidates_are_looked_up(spark):
+    from formloom.operators import directory, verify
+
+    known = directory.directory(spark.createDataFrame([(k, str(20000 + k), f"Bob Stone{k}") for k in range(8)] + [(9, "30000", "Ann Roe")], "ord long, number string, name string"))
+    listed = [str(20000 + k) for k in range(8)] + ["30000"]
+    docs = spark.createDataFrame([(1, listed, ["Ann Roe"], "Ann Roe"), (2, ["1"] * 7 + ["30000"], ["Ann Roe"], "Ann Roe")], "doc_id long, candidates array<string>, names array<string>, name string")
+    live = {r["doc_id"]: (r["number"], r["match_level"], r["total_found"], r["status"]) for r in verify.verify_live(docs, known).collect()}
+    assert live == {1: ("30000", "exact", 9, "green"), 2: ("30000", "exact", 1, "green")}  # yellow and red before: six were tried
+    told = {r["doc_id"]: r for r in verify.explained(docs.withColumns({"raw_capture": F.lit(""), "extraction_method": F.lit("")}), known).collect()}
+    assert [x["number"] for x in told[1]["candidates_tried"]] == listed and len(told[1]["candidate_results"]) == 9 and told[2]["status"] == "green"
+    assert {r["doc_id"]: r["status"] for r in verify.verify_batch(docs.drop("names"), known).collect()} == {1: "green", 2: "green"}
