@@ -306,3 +306,22 @@ def test_all_candidates_are_looked_up(spark):
     told = {r["doc_id"]: r for r in verify.explained(docs.withColumns({"raw_capture": F.lit(""), "extraction_method": F.lit("")}), known).collect()}
     assert [x["number"] for x in told[1]["candidates_tried"]] == listed and len(told[1]["candidate_results"]) == 9 and told[2]["status"] == "green"
     assert {r["doc_id"]: r["status"] for r in verify.verify_batch(docs.drop("names"), known).collect()} == {1: "green", 2: "green"}
+
+
+def test_images_of_one_size_are_worked_on_together():
+    import numpy as np
+
+    from formloom.functions import images, pixels
+    from formloom.plans import catalog_scans
+
+    rng = np.random.default_rng(5)
+    for h, w in ((1, 1), (1, 9), (2, 3), (8, 320), (30, 41), (200, 170)):
+        stack = np.where(rng.random((4, h, w)) < 0.2, rng.integers(0, 256, (4, h, w)), 255).astype(np.uint8)
+        stack[0], stack[1, h // 2] = 7, 0
+        assert pixels.thresholds(stack).tolist() == [pixels.otsu(x) for x in stack]
+        for many in (False, True):
+            found = images.cleaned(stack, many)  # one image at a time before
+            assert found.shape == (4, 2 * h, 2 * w) and all(np.array_equal(a, images.cleaned(x, many)) for a, x in zip(found, stack, strict=True))
+        assert all(np.array_equal(images.doubled_bits(x > 99), images.doubled(np.where(x > 99, 255, 0).astype(np.uint8))) for x in stack)
+    texts = [None, "", "a", "Ann Roe", "\0 é\n" * 15, "\U0001f600 x" * 30, "word " * 700]
+    assert all(a.shape == b.shape and np.array_equal(a, b) for a, b in zip(catalog_scans.pages_of(texts), map(catalog_scans.page_of, texts), strict=True))
