@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import boxes, images, text
-from ..functions.pixels import mostly_blank
+from ..functions.pixels import _image, blank
 from . import rank
 from .pages import page_names
 
@@ -36,16 +39,44 @@ def crop_boxes(box: Column) -> Column:
     return F.array(*(box if not any(reach) else boxes.expanded(box, *reach) for reach in REACHES.values()))
 
 
+_CROPS = [("variant", pa.int32(), T.IntegerType()), ("prepared", pa.bool_(), T.BooleanType()), ("raw", pa.binary(), T.BinaryType()), ("h", pa.int32(), T.IntegerType()), ("w", pa.int32(), T.IntegerType())]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches doc_id, raw, h, w, at: a row for each crop that isn't blank, and each prepared one. Pages of one size with the same boxes are one stack."""
+    for batch in batches:
+        # Three crops, and two prepared ones of four times their pixels.
+        for part, (raw, h, w, at) in images.parts(batch, ("raw", "h", "w", "_at"), images.SLICE_BYTES // 16, each=64):
+            pages = [_image(*x) for x in zip(raw, h, w, strict=True)]
+            kinds = [tuple((k, b["y1"], b["y2"], b["x1"], b["x2"]) for k, b in enumerate(found or []) if b is not None) for found in at]
+            rows, found = [], []
+            for (each,), places, stack in images.by_size(pages, kinds):
+                for k, y1, y2, x1, x2 in each:
+                    crops = stack[:, max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)]
+                    seen = np.flatnonzero(~blank(crops)).tolist()
+                    if not seen:
+                        continue
+                    crops = crops[seen]
+                    made = [(False, crops)] + ([(True, images.cleaned(crops, False))] if list(REACHES)[k] in PREPARED else [])
+                    for prepared, stacked in made:
+                        rows += [places[j] for j in seen]
+                        found += [(k, prepared, x.tobytes(), *x.shape) for x in stacked]
+            if found:
+                columns = [pa.array(v, kind) for v, (_, kind, _) in zip(zip(*found, strict=True), _CROPS, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows, pa.int64())), *columns], names=["doc_id", *(c for c, _, _ in _CROPS)])
+
+
 def name_crops(pages: DataFrame) -> DataFrame:
-    """doc_id, variant (its place in REACHES), source, raw, h, w of all crops that aren't blank; pages: doc_id, raw, h, w, box (fractions)."""
-    placed = pages.withColumn("_at", F.transform(crop_boxes(F.col("box")), lambda b: boxes.pixels(b, F.col("w"), F.col("h"), PADDING)))
-    cut = images.cut(placed, F.col("_at"), keep=["doc_id"]).select("doc_id", F.col("box").alias("variant"), F.col("crop").alias("raw"), F.col("crop_h").alias("h"), F.col("crop_w").alias("w"))
-    cut = cut.where(~mostly_blank("raw", "h", "w"))
+    """doc_id, variant (its place in REACHES), source, raw, h, w of all crops that aren't blank; pages: doc_id, raw, h, w, box (fractions).
+
+    A page goes to Python once, and its crops are cut, looked at and prepared there.
+    """
+    at = F.transform(crop_boxes(F.col("box")), lambda b: boxes.pixels(b, F.col("w"), F.col("h"), PADDING))
+    placed = pages.select("doc_id", "raw", "h", "w", at.alias("_at"))
+    cut = placed.mapInArrow(_cut, T.StructType([placed.schema["doc_id"], *(T.StructField(c, kind) for c, _, kind in _CROPS)]))
     name = F.element_at(F.array(*(F.lit(v) for v in REACHES)), F.col("variant") + 1)
-    raw = cut.withColumn("source", F.concat(F.lit("name_crop_"), name, F.lit("_raw")))
-    made = cut.where(name.isin(*PREPARED)).withColumn("source", F.concat(F.lit("name_crop_"), name, F.lit("_prepared"))).withColumn("_multiline", F.lit(False))
-    made = images.with_text_crop(made, "p", "raw", "h", "w", "_multiline")
-    return raw.unionByName(made.select("doc_id", "variant", "source", "p.raw", "p.h", "p.w"))
+    source = F.concat(F.lit("name_crop_"), name, F.when(F.col("prepared"), "_prepared").otherwise("_raw"))
+    return cut.select("doc_id", "variant", source.alias("source"), "raw", "h", "w")
 
 
 def ensemble(pages: DataFrame, read: Reader, clean: Callable[[Column], Column] = text.name_value, k: int | None = None) -> DataFrame:
@@ -59,7 +90,8 @@ def ensemble(pages: DataFrame, read: Reader, clean: Callable[[Column], Column] =
     crops = name_crops(pages)
     readings = read(crops.select("doc_id", "source", "raw", "h", "w")).withColumn("value", clean(F.col("text"))).where("value <> ''")
     variant = F.coalesce(*(F.when(F.col("source").startswith(f"name_crop_{v}_"), i) for i, v in enumerate(REACHES)))
-    each = readings.select(F.struct("doc_id", variant.alias("variant")).alias("doc_id"), F.when(F.col("source").endswith("_raw"), 0).otherwise(1).alias("ord"), "source", "value", F.col("confidence").cast("double").alias("confidence"))
-    best = rank.ranked_names(each, WEIGHTS)
-    of_crops = best.select("doc_id.doc_id", ((F.col("doc_id.variant") + 1) * 1000 + F.col("rank")).cast("int").alias("ord"), "source", "value", "confidence")
-    return rank.ranked_names(told.unionByName(of_crops), WEIGHTS, k).select("doc_id", "rank", "source", "value", "confidence", "score")
+    each = readings.select("doc_id", variant.alias("variant"), F.when(F.col("source").endswith("_raw"), 0).otherwise(1).alias("ord"), "source", "value", F.col("confidence").cast("double").alias("confidence"))
+    best = rank.ranked_names(each, WEIGHTS, by=("doc_id", "variant"))
+    of_crops = best.select("doc_id", ((F.col("variant") + 1) * 1000 + F.col("rank")).cast("int").alias("ord"), "source", "value", "confidence")
+    # All windows stand on one shuffle, by the document.
+    return rank.ranked_names(told.unionByName(of_crops).repartition("doc_id"), WEIGHTS, k).select("doc_id", "rank", "source", "value", "confidence", "score")

@@ -325,3 +325,45 @@ def test_images_of_one_size_are_worked_on_together():
         assert all(np.array_equal(images.doubled_bits(x > 99), images.doubled(np.where(x > 99, 255, 0).astype(np.uint8))) for x in stack)
     texts = [None, "", "a", "Ann Roe", "\0 é\n" * 15, "\U0001f600 x" * 30, "word " * 700]
     assert all(a.shape == b.shape and np.array_equal(a, b) for a, b in zip(catalog_scans.pages_of(texts), map(catalog_scans.page_of, texts), strict=True))
+
+
+def test_name_crops_are_made_in_one_pass(spark):
+    from formloom.operators import datasets, ensemble
+    from formloom.plans import catalog_scans
+
+    pages = catalog_scans.drawn(spark.createDataFrame([(k, "Ann Roe" * (k % 4) + "x") for k in range(40)], "doc_id long, name string"), "name")
+    pages = pages.withColumn("box", F.expr("named_struct('x1', {}d, 'y1', {}d, 'x2', {}d, 'y2', {}d)".format(*datasets.NAME_BOXES["tight"])))
+    out = ensemble.name_crops(pages)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Pages were drawn and cut twice before, and went to Python four times.
+    assert plan.count("MapInArrow") == 2 and "EvalPython" not in plan and "Union" not in plan
+    sizes = {(r["doc_id"], r["source"]): (r["h"], r["w"], len(r["raw"])) for r in out.collect()}
+    for (doc, source), (h, w, n) in sizes.items():
+        assert n == h * w
+        if source.endswith("_prepared"):
+            assert (h, w) == tuple(2 * x for x in sizes[doc, source.replace("_prepared", "_raw")][:2])
+
+
+def test_crop_files_dont_shuffle_pixels(spark, monkeypatch):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from formloom.functions import images
+    from formloom.plans import catalog_scans
+    from formloom.sources import image_files
+
+    seen = []
+    write = image_files.write_images
+    monkeypatch.setattr(image_files, "write_images", lambda crops, path, **how: (seen.append((crops, how)), write(crops, path, **how)))
+    assert all(r["is_png"] for r in catalog.QUERIES["crop_files"](spark, "/root/testdata/sf0.001").collect())
+    (crops, how), = seen
+    plan = crops._jdf.queryExecution().executedPlan().toString()
+    assert how == {"dealt": True} and plan.index("MapInArrow") < plan.index("Exchange") and plan.count("Exchange") == 1
+    page = catalog_scans.page_of("A page of two greys has a bit for each pixel")
+    file = images.png(page)
+    assert struct.unpack(">IIBB", file[16:26]) == (*page.shape[::-1], 1, 3) and file[37:41] == b"PLTE" and file[41:47] == bytes([20] * 3 + [255] * 3)
+    at = file.index(b"IDAT")
+    lines = np.frombuffer(zlib.decompress(file[at + 4 : at + 4 + struct.unpack(">I", file[at - 4 : at])[0]]), dtype=np.uint8).reshape(len(page), -1)
+    assert not lines[:, 0].any() and np.array_equal(np.where(np.unpackbits(lines[:, 1:], axis=1)[:, : page.shape[1]], 255, 20), page)
