@@ -74,17 +74,25 @@ def label_on_any_page(pages: DataFrame, label: str) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.bool_or(F.contains(text.compact(F.col("text")), F.lit(label))).alias("seen"))
 
 
-def registration(anchors: DataFrame, references: DataFrame) -> DataFrame:
+def registration(anchors: DataFrame, references: DataFrame, *order: str) -> DataFrame:
     """doc_id, class, shift_x, shift_y, anchor_count, name_x, has_label, any_anchor and subtype of each document.
 
     anchors: doc_id, class, key, x, y (found on the page; a row with a null key for a document without any);
-    references: class, key, x, y (where they should be: a small table of the form's designer).
+    references: class, key, x, y (where they should be: a small table of the form's designer). order: columns of anchors; a document's
+    shifts are added in their order, as sums of doubles, and what stands on a threshold, hang on it.
     """
+
+    def mean(c: Column) -> Column:
+        if not order:
+            return F.coalesce(F.avg(c), F.lit(0.0))
+        each = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(*order, c.alias("v")))))
+        return F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda t, x: t + x["v"]) / F.size(each)).otherwise(0.0)
+
     ref = references.select("class", "key", F.col("x").alias("rx"), F.col("y").alias("ry"))
     met = anchors.join(F.broadcast(ref), ["class", "key"], "left")
     out = met.groupBy("doc_id", "class").agg(
-        F.coalesce(F.avg(F.when(F.col("rx").isNotNull(), F.col("x") - F.col("rx"))), F.lit(0.0)).alias("shift_x"),
-        F.coalesce(F.avg(F.when(F.col("ry").isNotNull(), F.col("y") - F.col("ry"))), F.lit(0.0)).alias("shift_y"),
+        mean(F.when(F.col("rx").isNotNull(), F.col("x") - F.col("rx"))).alias("shift_x"),
+        mean(F.when(F.col("ry").isNotNull(), F.col("y") - F.col("ry"))).alias("shift_y"),
         F.count("rx").alias("anchor_count"),
         F.min(F.when(F.col("key") == "name", F.col("x"))).alias("name_x"),
         F.coalesce(F.bool_or(F.col("key") == "idoc_or_le"), F.lit(False)).alias("has_label"),

@@ -367,3 +367,22 @@ def test_crop_files_dont_shuffle_pixels(spark, monkeypatch):
     at = file.index(b"IDAT")
     lines = np.frombuffer(zlib.decompress(file[at + 4 : at + 4 + struct.unpack(">I", file[at - 4 : at])[0]]), dtype=np.uint8).reshape(len(page), -1)
     assert not lines[:, 0].any() and np.array_equal(np.where(np.unpackbits(lines[:, 1:], axis=1)[:, : page.shape[1]], 255, 20), page)
+
+
+def test_shifts_are_added_in_the_tables_order(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(400) * 4 + 1, rng.choice((0, 2, 2, 2)), rng.randrange(9) / 100, rng.randrange(11) / 100) for _ in range(6000)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_tax double, l_discount double")
+    table.coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["layout_registration"]).fetchall()
+    # Several tasks read the file; their sums met in any order before.
+    with settings(spark, **{"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "0"}):
+        got = catalog.QUERIES["layout_registration"](spark, str(tmp_path))
+        assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
