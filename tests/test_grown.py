@@ -386,3 +386,19 @@ def test_shifts_are_added_in_the_tables_order(spark, tmp_path):
         got = catalog.QUERIES["layout_registration"](spark, str(tmp_path))
         assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_training_records_are_lines_of_a_document(spark, tmp_path):
+    from formloom.operators import datasets
+
+    sheet = spark.createDataFrame([("ann roe", 'A"1\\ é'), ("ann roe", "A\n2"), ("ann roe", None), ("bob stone", "B1")], "clean string, label string")
+    docs = spark.createDataFrame([(1, "Ann Roe 3-4-25", 4), (2, 'Bob "x" Stone 3-4-25', 4), (3, "Cher 3-4-25", 4), (4, "No\tOne/z 3-4-25", 4), (5, "Zed", 3)], "doc_id long, stem string, page_count int")
+    rows = spark.createDataFrame([(1, "Cher", "12345"), (2, "Roe, Ann", "54321")], "ord long, name string, number string")
+    told = datasets.write_training_set(docs, rows, sheet, f"{tmp_path}/t")
+    known = datasets.labelled(datasets.eligible(docs), rows, sheet)
+    want = datasets.training_crops(known).select("split", "image", "text", "task")
+    got = spark.read.json(f"{tmp_path}/t").select("split", "image", "text", "task")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert told["samples"] == want.count() and told["labelled"] == known.count() and told["names"] == want.where("task = 'name'").count()
+    # A record was a row, written by itself, before.
+    assert known.select(datasets.record_lines().alias("v")).count() == known.count()
