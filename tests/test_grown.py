@@ -402,3 +402,17 @@ def test_training_records_are_lines_of_a_document(spark, tmp_path):
     assert told["samples"] == want.count() and told["labelled"] == known.count() and told["names"] == want.where("task = 'name'").count()
     # A record was a row, written by itself, before.
     assert known.select(datasets.record_lines().alias("v")).count() == known.count()
+
+
+def test_equal_training_records_are_one_row(spark, monkeypatch):
+    from formloom.operators import datasets
+
+    monkeypatch.setattr(datasets, "MOST_TIMES", 2)
+    sheet = spark.createDataFrame([("ann roe", f"A{k}") for k in range(5)] + [("ann roe", None), ("ann b. roe", "B1"), ("ann b. roe", None)], "clean string, label string")
+    docs = spark.createDataFrame([(1, "Ann Roe 3-4-25"), (2, "Ann B. Roe 3-4-25"), (3, "Cher 3-4-25"), (4, "No One 3-4-25"), (5, "Zed")], "doc_id long, stem string")
+    rows = spark.createDataFrame([(1, "Cher", "12345")], "ord long, name string, number string")
+    found = datasets.counted_labels(docs, rows, sheet).collect()
+    got = sorted((r["doc_id"], r["name"], r["number"] or "", r["label"] or "") for r in found for _ in range(r["times"]))
+    want = datasets.labelled(docs, rows, sheet).collect()
+    assert got == sorted((r["doc_id"], r["name"], r["number"] or "", r["label"] or "") for r in want)
+    assert max(r["times"] for r in found) == 2 and len(found) < len(want)  # a row each before
